@@ -7,19 +7,34 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, secrets, token_files
+from . import decontaminate, html_text, secrets, token_files, toxicity
 from .shared import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_files.token_positions(spark, path)
 
 
+def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
+    """Learned from the labelled rows that are not held out."""
+    return toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), toxicity_machine(spark, sf_dir))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -30,7 +45,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_token_files, op7_secret_scans, op8_decontamination)}
+    return {f.__name__: f for f in (op2_html_extraction, op3_token_files, op5_toxicity, op7_secret_scans, op8_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
