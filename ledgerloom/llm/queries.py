@@ -9,12 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, secrets, token_files, toxicity
+from . import decontaminate, html_text, near_dup, secrets, token_files, toxicity
 from .shared import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -45,7 +49,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_html_extraction, op3_token_files, op5_toxicity, op7_secret_scans, op8_decontamination)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_html_extraction, op3_token_files, op5_toxicity, op7_secret_scans, op8_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
