@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, near_dup, secrets, token_files, toxicity
+from . import decontaminate, html_text, near_dup, repeats, secrets, token_files, top_inner, toxicity
 from .shared import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_positions(spark, path)
 
 
+def op4_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner.top_inner_products(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
 def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
     """Learned from the labelled rows that are not held out."""
     return toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~toxicity.held_out()))
@@ -48,9 +52,30 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_html_extraction, op3_token_files, op5_toxicity, op7_secret_scans, op8_decontamination)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_html_extraction, op3_token_files, op4_top_inner_products, op5_toxicity, op7_secret_scans, op8_decontamination, op10_repeated_bytes)}
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL states the result on whole tables in reasonable time; the tests hold the others against brute force."""
+    return {"op4_top_inner_products": OP4_SQL}
