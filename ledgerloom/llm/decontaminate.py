@@ -8,12 +8,14 @@ an occurrence. Documents are only scanned, never shuffled.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import ALPHANUMERIC, Words, chain, slices
@@ -118,6 +120,19 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
+def _blocks(spark: SparkSession, benchmark: DataFrame, window: int) -> Iterator[tuple[Patterns, Broadcast]]:
+    """The benchmark as blocks of bounded size, each broadcast."""
+    items = texts(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"), "item_id")
+    sized = items.withColumn("n", F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))
+    total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = int(total // BLOCK_WORDS) + 1
+    for block in range(blocks):
+        chosen = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        patterns = Patterns([(r.item_id, r.text) for r in chosen.toLocalIterator()], window)
+        patterns.last = block == blocks - 1
+        yield patterns, spark.sparkContext.broadcast(patterns)
+
+
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, items (ids of the items with a window in it, sorted as strings), spans (hit word ranges).
 
@@ -125,18 +140,10 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     repeated document or item rows are each searched; an item without id counts as the item "". An empty
     benchmark hits nothing. Columns other than doc_id, item_id and text are ignored, whatever their names.
     """
-    items = texts(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"), "item_id")
-    sized = items.withColumn("n", F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))
-    total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blocks = int(total // BLOCK_WORDS) + 1
     found = texts(documents, "doc_id")
     key = documents.schema["doc_id"].dataType.simpleString()
     counts = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-    for block in range(blocks):  # each pass adds to what the one before has found
-        chosen = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        patterns = Patterns([(r.item_id, r.text) for r in chosen.toLocalIterator()], window)
-        patterns.last = block == blocks - 1
-        held = documents.sparkSession.sparkContext.broadcast(patterns)
+    for patterns, held in _blocks(documents.sparkSession, benchmark, window):  # each pass adds to what the one before has found
         found = found.mapInArrow(lambda batches, held=held: _scan(held.value, batches), f"doc_id {key}, " + ("" if patterns.last else "text string, ") + counts)
     return found
 
@@ -152,3 +159,25 @@ def digest(found: DataFrame) -> DataFrame:
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
 
+
+
+def _clean(patterns: Patterns, batches):
+    for part in slices(batches):
+        plain = part.select(["doc_id", "text"])
+        for found in _scan(patterns, iter([plain])):
+            hit, words = found.column("n_hit").to_numpy(), found.column("n_words").to_numpy()
+            yield part.filter(pa.array(~((hit > 0) & (20 * hit >= words))))
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """The documents that are not contaminated, all columns kept.
+
+    While the benchmark is one block each task drops its own rows; with more blocks the verdicts are joined
+    by doc_id, and rows without doc_id stay.
+    """
+    first = list(itertools.islice(_blocks(documents.sparkSession, benchmark, window), 1))
+    if first[0][0].last:
+        held = first[0][1]
+        return documents.mapInArrow(lambda batches: _clean(held.value, batches), documents.schema)
+    bad = digest(find_contamination(documents, benchmark, window)).where("contaminated").select("doc_id")
+    return documents.join(bad, "doc_id", "left_anti").select(documents.columns)

@@ -15,8 +15,8 @@ def _place(column):
     return column.bitwiseAND(F.lit(BITS - 1)).bitwiseXOR(F.shiftright(column, 24).bitwiseAND(F.lit(BITS - 1)))
 
 
-def rows_with_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows whose integer key may be among the ids: all that are, and few others. Nothing of the rows is shuffled."""
+def rows_with_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id", others: bool = False) -> DataFrame:
+    """The rows whose integer key may be among the ids: all that are, and few others; or all the other rows. Nothing of the rows is shuffled."""
     spot = _place(F.col(key).cast("long"))
     words = ids.where(F.col(key).isNotNull()).select(F.shiftright(spot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     bitmap = np.zeros(BITS >> 6, np.uint64)
@@ -29,6 +29,7 @@ def rows_with_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataF
             x = key_values.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
             at = (x & (BITS - 1)) ^ ((x >> 24) & (BITS - 1))
             found = (held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            yield batch.filter(pa.array((found == 1) & ~np.asarray(key_values.is_null())))
+            among = (found == 1) & ~np.asarray(key_values.is_null())
+            yield batch.filter(pa.array(~among if others else among))
 
     return rows.mapInArrow(keep, rows.schema)
