@@ -6,9 +6,11 @@ texts counts the samples they don't share. The sketch estimates high similaritie
 candidates near or above the threshold have their full sets compared.
 
 Texts with the same set are one class from the start. In a band's bucket every class is first compared with
-the smallest class only; what that leaves in one bucket but in different components is joined on the bucket
-with the sketch as a join condition. So a large group costs a link per member, yet each pair that shares a
-bucket is either in one component already or decided on its full sets.
+the smallest class only, which links most of a group at the cost of one pair a member. Classes that their
+sketches tie together, directly or over others, are a family; in a family that is not one component yet,
+blocks of members meet block by block inside tasks, and only confirmed links come out. Pairs that share a
+bucket but no family are joined on the bucket with the sketch as the join condition. So each pair that
+shares a bucket and passes its sketches is in one component already or decided on its full sets.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 _LONGS = SKETCH_BITS // 64
+#: Members of a family in one block, about.
+BLOCK = 1024
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 _TIMES = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -134,6 +138,85 @@ def confirmed(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> D
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _compare(batches, n, percent), f"a {kind}, b {kind}"))
 
 
+def _sets(batches, n: int):
+    for part in slices(batches):
+        sets = shingle_sets(part.column("text"), n)
+        keep = [part.column(k) for k in range(part.num_columns) if part.schema.names[k] != "text"]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array([s.tobytes() for s in sets], pa.binary())], [*(k for k in part.schema.names if k != "text"), "shingles"])
+
+
+def _block_links(batches, limit: int, percent: int):
+    """Rows sorted by family and pair of blocks, each pair of blocks whole in a partition: its confirmed links between components."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        start, edges = 0, _edges(held)
+        for stop in edges[:-1]:
+            yield from _links_of(held.slice(start, stop - start), limit, percent)
+            start = stop
+        held = held.slice(start)
+    if held is not None:
+        yield from _links_of(held, limit, percent)
+
+
+def _edges(rows: pa.Table) -> list[int]:
+    keys = np.stack([rows.column(k).to_numpy() for k in ("family", "one", "two")])
+    return [*(np.flatnonzero((np.diff(keys) != 0).any(0)) + 1).tolist(), rows.num_rows]
+
+
+def _links_of(rows: pa.Table, limit: int, percent: int):
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    docs, parts = rows.column("doc_id").to_pylist(), rows.column("component").to_pylist()
+    place = np.stack([rows.column(c).to_numpy() for c in _sketch_columns()], 1).view(np.uint64)  # bitwise_count() takes absolute values
+    block = rows.column("block").to_numpy()
+    one, two = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+    left, right = (np.flatnonzero(block == one), np.flatnonzero(block == two)) if one != two else (np.arange(len(docs)),) * 2
+    component = np.array(parts)
+    out: list[tuple[int, int]] = []
+    for i in left.tolist():
+        others = right[right > i] if one == two else right
+        others = others[component[others] != component[i]]
+        others = others[np.bitwise_count(place[others] ^ place[i]).sum(1) <= limit]
+        for j in others.tolist():
+            a, b = find(parts[i]), find(parts[j])
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if a == b or 100 * small < percent * large:
+                continue
+            same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if same and 100 * same >= percent * (small + large - same):
+                root[max(a, b)] = min(a, b)
+                out.append((docs[i], docs[j]))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], rows.schema.field("doc_id").type), pa.array([y for _, y in out], rows.schema.field("doc_id").type)], ["a", "b"])
+
+
+def family_links(families: DataFrame, sketch: DataFrame, documents: DataFrame, n: int, percent: int, limit: int) -> DataFrame:
+    """The confirmed links between components inside each family (rows: family, doc_id, component)."""
+    spark = documents.sparkSession
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = families.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    members = cut(members)
+    texts_of = rows_with_ids(texts(documents, "doc_id"), members).join(members.join(sketch, "doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    schema = f"doc_id {kind}, family {kind}, component {kind}, blocks int, block int, " + ", ".join(f"{c} long" for c in _sketch_columns()) + ", shingles binary"
+    ready = texts_of.select("doc_id", "family", "component", "blocks", "block", *_sketch_columns(), "text").mapInArrow(lambda b: _sets(b, n), schema)
+    meeting = ready.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other", "blocks")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = meeting.repartition(spread, "family", "one", "two").sortWithinPartitions("family", "one", "two", "doc_id")
+    return cut(ordered.mapInArrow(lambda b: _block_links(b, limit, percent), f"a {kind}, b {kind}"))
+
+
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (doc_id = component_id).
 
@@ -159,19 +242,25 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     limit = sketch_limit(percent / 100)
 
     stars = crowded.where(F.col("doc_id") != F.col("center")).select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = stars.join(right, "b").join(left, "a").select("a", "b", _differing("p", "q").alias("apart")).where(F.col("apart") <= limit)
+    near = cut(stars.join(right, "b").join(left, "a").select("a", "b", _differing("p", "q").alias("apart")).where(F.col("apart") <= limit))
     tried = cut(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
     links = confirmed(tried, documents, n, percent)
     found = components(links)
 
-    # Buckets that still hold several components: each of their pairs across components is decided.
-    placed = crowded.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("key")
+    # Families that are not one component yet: their blocks of members meet inside tasks.
+    family = cut(components(near.select("a", "b")).select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "family", F.coalesce("component", "doc_id").alias("component")))
+    links = links.union(family_links(family, sketch, documents, n, percent, limit))
+    found = cut(components(links))
+
+    # What shares a bucket, but neither family nor component.
+    placed = crowded.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(family.select("doc_id", "family"), "doc_id", "left")
+    placed = placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("family", "doc_id").alias("family"))
+    mixed = placed.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high")).where(F.col("low") < F.col("high")).select("key")
     open_rows = cut(placed.join(mixed, "key").join(sketch, "doc_id"))
-    one = open_rows.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), *(F.col(c).alias(f"p{k}") for k, c in enumerate(_sketch_columns())))
-    two = open_rows.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), *(F.col(c).alias(f"q{k}") for k, c in enumerate(_sketch_columns())))
-    across = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_differing("p", "q") <= limit)).select("a", "b").distinct()
-    rest = cut(across.join(tried, ["a", "b"], "left_anti"))
+    one = open_rows.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("family").alias("fa"), *(F.col(c).alias(f"p{k}") for k, c in enumerate(_sketch_columns())))
+    two = open_rows.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("family").alias("fb"), *(F.col(c).alias(f"q{k}") for k, c in enumerate(_sketch_columns())))
+    apart = (F.col("ca") != F.col("cb")) & (F.col("fa") != F.col("fb")) & (_differing("p", "q") <= limit)
+    rest = cut(one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & apart).select("a", "b").distinct())
     if not rest.isEmpty():
         found = components(links.union(confirmed(rest, documents, n, percent)))
 
