@@ -162,7 +162,9 @@ def learn_weights(pages: DataFrame, rows: int = TRAINING_PAGES) -> dict[str, flo
 
     Words are held to -2..1 and tags to -6..-0.05. Keys are names of known elements, so the result has a fixed bound.
     """
-    sample = pages.where(F.col("html").contains("<article")).select("html", F.xxhash64(F.col("page_id").cast("string"), "html").alias("_order")).orderBy("_order").limit(rows).select("html")
+    marked = pages.where(F.col("html").contains("<article")).withColumn("_order", F.xxhash64(F.col("page_id").cast("string"), F.col("url")))
+    last = marked.select("_order").orderBy("_order").limit(rows).agg(F.max("_order")).first()[0]
+    sample = marked.where(F.col("_order") <= F.lit(last)).select("html")
     found = sample.mapInArrow(_learn, "key string, inside long, outside long").groupBy("key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
     weights = {}
     for words in (True, False):
