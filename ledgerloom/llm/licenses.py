@@ -70,23 +70,27 @@ class Index:
 
 
 def align(template: np.ndarray, text: np.ndarray, start: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched, first, last) of the best in-order match of template word i with text word start + i +- band.
+    """(matched, first, last) of the best local alignment of template word i with text word start + i +- band.
 
-    first and last are word places in the text; of equally good matches the tightest that ends first is taken.
+    A matched word counts 2, a word left out between matches -1. first and last are word places in the text.
     """
     width = 2 * band + 1
-    before: list[tuple[int, int, int]] = [(0, 0, 0)] * (width + 2)  # matched, -first, -last
+    none = (0, 0, 0)  # score, matched, -first
+    before, found = [none] * (width + 2), (0, 0, 0, 0)
     for i, word in enumerate(template.tolist()):
-        now = [(0, 0, 0)] * (width + 2)
+        now = [none] * (width + 2)
         for j in range(width):
             at = start + i + j - band
-            best = max(before[j + 2], now[j])  # the template word, or the text word, is left out
+            up, left = before[j + 2], now[j]  # the template word, or the text word, is left out
+            best = max((up[0] - 1, *up[1:]), (left[0] - 1, *left[1:]), none)
             if 0 <= at < len(text) and int(text[at]) == word:
-                matched, first, _ = before[j + 1]
-                best = max(best, (matched + 1, first if matched else -at, -at))
-            now[j + 1] = best
+                score, matched, first = before[j + 1]
+                hit = (score + 2, matched + 1, first if matched else -at)
+                best = max(best, hit)
+                found = max(found, (*hit, -at))
+            now[j + 1] = best if best[0] > 0 else none
         before = now
-    matched, first, last = max(before)
+    _, matched, first, last = found
     return matched, -first, -last
 
 
@@ -107,12 +111,13 @@ def _find(index: Index, coverage: float, batches):
         for (row, t), guesses in sorted(starts.items()):
             own = words.hash[words.first[row] : words.first[row + 1]]
             template, covered = index.words[t], -1
+            band = max(1, min(BAND, len(template) // 3))
             last = None
             for guess in sorted(guesses):
-                if last is not None and guess - last <= BAND // 2:
+                if last is not None and guess - last <= band // 2:
                     continue
                 last = guess
-                matched, first, end = align(template, own, guess)
+                matched, first, end = align(template, own, guess, band)
                 if matched >= coverage * len(template) and first > covered:
                     covered = end
                     base = words.first[row]
