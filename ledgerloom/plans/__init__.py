@@ -1,7 +1,7 @@
 """Every ledger query with its SQL: importing this registers them."""
 
-from . import cells, chain, views
+from . import cells, chain, extra, views
 
 QUERIES, SQL = views.QUERIES, views.SQL
 
-__all__ = ["QUERIES", "SQL", "cells", "chain"]
+__all__ = ["QUERIES", "SQL", "cells", "chain", "extra"]

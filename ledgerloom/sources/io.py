@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,3 +90,18 @@ def compare_summaries(base: DataFrame, current: DataFrame, by: str, slower: floa
     change = F.col("p95") / F.col("base_p95") - 1
     verdict = F.when(F.col("base_p95").isNull(), "new").when(F.col("p95").isNull(), "gone").when(change > slower, "regression").when(change < -faster, "improvement").otherwise("same")
     return a.join(b, by, "full_outer").withColumn("verdict", verdict)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-work-')}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stream_table(spark: SparkSession, folder: str, name: str, schema: T.StructType, files: int = 1) -> DataFrame:
+    """A given table as a file stream."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files).parquet(folder)

@@ -132,7 +132,7 @@ def canonical(blocks: DataFrame, number: str = "number", hash_: str = "hash", pa
 def switch_events(events: DataFrame, old_tip: str, new_tip: str, key: str) -> DataFrame:
     """Switches with the later one that reversed them, if any."""
     back = events.select(F.col(old_tip).alias(new_tip), F.col(new_tip).alias(old_tip), F.col(key).alias("_k"))
-    return events.join(back, [new_tip, old_tip], "left").where(F.col("_k").isNull() | (F.col("_k") > F.col(key))).groupBy(*events.columns).agg(F.min("_k").alias("reversed_by"))
+    return events.join(back, [new_tip, old_tip], "left").groupBy(*events.columns).agg(F.min(F.when(F.col("_k") > F.col(key), F.col("_k"))).alias("reversed_by"))
 
 
 def pending_proposals(proposals: DataFrame, committed: DataFrame, tip: int, key: str, proposed: str, farthest: int) -> DataFrame:
