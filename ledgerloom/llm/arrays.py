@@ -6,14 +6,26 @@ once. Batches are cut into slices of a few megabytes, which bounds the memory of
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
+
+def _give_back_memory() -> None:
+    """Let a worker return the buffers of a slice to the system at once, so that stages after it start small."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # blocks of 1 MB and more are mapped, and unmapped when freed
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+_give_back_memory()
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BYTE_FOLDED = _BYTE.copy()
