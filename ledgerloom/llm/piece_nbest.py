@@ -16,15 +16,18 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .arrays import slices
+from .arrays import flat, prefix_hash, slices, span_hash
 from .shared import texts
 
 _UNIT = re.compile(r" *[^ ]+| +")
 #: Units that a worker remembers; beyond that it starts afresh, which changes no result.
 REMEMBERED = 1_000_000
 _NONE = -(10**17)
+#: Bytes of a unit up to which many are passed at once.
+_SHORT = 48
 _models: dict[str, "Pieces"] = {}
 
 
@@ -56,6 +59,165 @@ class Pieces:
         self.lengths = {c: tuple(sorted(n)) for c, n in lengths.items() if len(c) == 2}
         self.unknown = min((s for s in (score for _, score in self.id.values()) if s > -(10**8)), default=0) - 10
         self.units: dict[str, tuple[bytes, int, float]] = {}
+        self._index()
+        self._forget()
+
+    def _index(self) -> None:
+        """The vocabulary as an open-addressed table from the hash of a piece's bytes to its id, and the pieces' scores."""
+        whole = dict(self.id)
+        for byte in range(128):  # a character of one byte without a piece is its byte's piece
+            whole.setdefault(chr(byte), (self.byte[byte], self.unknown))
+        names = list(whole)
+        data, at = flat(pa.array(names, pa.large_string()))
+        keys = span_hash(prefix_hash(data), at[:-1], at[1:])
+        self.score_of = np.zeros(len(self.text), np.int64)
+        self.score_of[[whole[x][0] for x in names]] = [whole[x][1] for x in names]
+        self.longest = int(np.diff(at).max())
+        self.table_bits = 20
+        self.table_key, self.table_id = np.zeros(1 << self.table_bits, np.uint64), np.full(1 << self.table_bits, -1, np.int32)
+        for key, name in zip(keys.tolist(), names, strict=True):
+            spot = key >> (64 - self.table_bits)
+            while self.table_id[spot] >= 0:
+                spot = (spot + 1) % (1 << self.table_bits)
+            self.table_key[spot], self.table_id[spot] = key, whole[name][0]
+
+    def _forget(self) -> None:
+        self.hashes, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, self.kind)
+        self.scores, self.losses = np.zeros(0, np.int64), np.zeros(0)
+
+    def _ids_at(self, keys: np.ndarray) -> np.ndarray:
+        """Ids of pieces by their hashes, -1 where there's none."""
+        spot = (keys >> np.uint64(64 - self.table_bits)).astype(np.int64)
+        found = np.where(self.table_key[spot] == keys, self.table_id[spot], -1)
+        open_ = np.flatnonzero((found < 0) & (self.table_id[spot] >= 0))
+        while len(open_):  # a few collide
+            spot[open_] = (spot[open_] + 1) % (1 << self.table_bits)
+            here = spot[open_]
+            hit = (self.table_key[here] == keys[open_]) & (self.table_id[here] >= 0)
+            found[open_[hit]] = self.table_id[here[hit]]
+            open_ = open_[~hit & (self.table_id[here] >= 0)]
+        return found
+
+    def _forward_all(self, data: np.ndarray, sums: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The forward pass of many units of known bytes at once, place by place: (ids of all, sizes, scores, losses).
+
+        Units with a character of several bytes that is no piece aren't reached to their end; their size is -1.
+        """
+        order = np.argsort(-size, kind="stable")
+        start, size = start[order], size[order]
+        n, most = len(size), int(size[0])
+        best, second = np.full((most + 1, n), _NONE, np.int64), np.full((most + 1, n), _NONE, np.int64)
+        step, piece = np.zeros((most + 1, n), np.int16), np.zeros((most + 1, n), np.int32)
+        best[0] = 0
+        for t in range(1, most + 1):
+            live = int(np.searchsorted(-size, -t, "right"))  # units of at least t bytes come first
+            now, other, back, which = best[t, :live], second[t, :live], step[t, :live], piece[t, :live]
+            end = start[:live] + t
+            for length in range(min(t, self.longest), 0, -1):
+                ids = self._ids_at(span_hash(sums, end - length, end))
+                hit = np.flatnonzero((ids >= 0) & (best[t - length, :live] > _NONE))
+                if not len(hit):
+                    continue
+                gain = self.score_of[ids[hit]]
+                score, less = best[t - length, hit] + gain, second[t - length, hit] + gain
+                old = now[hit]
+                better = score > old
+                other[hit] = np.where(better, np.maximum(old, less), np.maximum(other[hit], np.maximum(score, less)))
+                won = hit[better]
+                now[won], back[won], which[won] = score[better], length, ids[hit][better]
+        column = np.arange(n)
+        total, runner = best[size, column], second[size, column]
+        losses = np.where(runner > _NONE // 2, (total - runner).astype(float), np.inf)
+        reached = total > _NONE
+        at, backward = np.where(reached, size, 0), []
+        while at.any():
+            on = np.flatnonzero(at)
+            backward.append((on, piece[at[on], on]))
+            at[on] -= step[at[on], on]
+        sizes = np.zeros(n, np.int64)
+        for on, _ in backward:
+            sizes[on] += 1
+        ends = np.cumsum(sizes)
+        out = np.zeros(int(ends[-1]) if n else 0, self.kind)
+        for k, (on, ids) in enumerate(backward):
+            out[ends[on] - 1 - k] = ids
+        # back to the order of the units
+        place = np.empty(n, np.int64)
+        place[order] = column
+        final = np.where(reached, sizes, -1)[place]
+        begin = (ends - sizes)[place]
+        keep = np.maximum(final, 0)
+        spread = np.concatenate([[0], np.cumsum(keep)])
+        ids = out[np.repeat(begin - spread[:-1], keep) + np.arange(spread[-1])]
+        return ids, final, total[place], losses[place]
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, sums: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        short, slow = np.flatnonzero(size <= _SHORT), [np.flatnonzero(size > _SHORT)]
+        parts = []  # keys, ids, sizes, scores, losses
+        for at in range(0, len(short), 16384):
+            some = short[at : at + 16384]
+            ids, sizes, scores, losses = self._forward_all(data, sums, start[some], size[some])
+            ok = sizes >= 0
+            slow.append(some[~ok])
+            parts.append((keys[some[ok]], ids, sizes[ok], scores[ok], losses[ok]))
+        for i in np.concatenate(slow).tolist():
+            own, score, loss = self.unit(data[start[i] : start[i] + size[i]].tobytes().decode())
+            ids = np.frombuffer(own, self.kind)
+            parts.append((keys[i : i + 1], ids, np.array([len(ids)]), np.array([score]), np.array([loss], float)))
+        new, ids, sizes, scores, losses = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        first = len(self.scores)
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.scores, self.losses = np.concatenate([self.scores, scores]), np.concatenate([self.losses, losses])
+        order = np.argsort(new)
+        at = np.searchsorted(self.hashes, new[order])
+        self.hashes, self.slot = np.insert(self.hashes, at, new[order]), np.insert(self.slot, at, first + order)
+
+    def encode_all(self, column: pa.Array, n: int) -> list[tuple[np.ndarray, int, list]]:
+        """encode() for a column of texts: units are found, looked up and joined for all of them at once."""
+        filled = pc.fill_null(column, "")
+        padded = pc.if_else(pc.equal(pc.binary_length(filled), 0), "", pc.binary_join_element_wise("", filled, " "))
+        data, rows = flat(padded)
+        if not len(data):
+            return [(np.zeros(0, self.kind), 0, []) for _ in range(len(column))]
+        blank = data == 32
+        opens = blank.copy()
+        opens[1:] &= ~blank[:-1]
+        opens[rows[:-1][np.diff(rows) > 0]] = True
+        start = np.flatnonzero(opens)
+        size = np.diff(np.append(start, len(data)))
+        sums = prefix_hash(data)
+        keys = span_hash(sums, start, start + size)
+        known, which, back = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, known)
+        new = np.ones(len(known), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != known[inside]
+        if new.any():
+            if len(self.scores) + int(new.sum()) > REMEMBERED:
+                self._forget()
+                new[:] = True
+            self._learn(known[new], data, sums, start[which[new]], size[which[new]])
+            at = np.searchsorted(self.hashes, known)
+        slot = self.slot[at][back]
+        begin, many = self.begin[slot], self.begin[slot + 1] - self.begin[slot]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        ids = self.ids[np.repeat(begin - ends[:-1], many) + np.arange(ends[-1])]
+        scores, losses = self.scores[slot], self.losses[slot]
+        first = np.searchsorted(start, rows)
+        out = []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            score, others = int(scores[a:b].sum()), []
+            if n > 1 and b > a:
+                few = np.sort(_smallest(losses[a:b], min(n - 1, b - a)))
+                chosen = [data[start[a + i] : start[a + i] + size[a + i]].tobytes().decode() for i in few.tolist()]
+                best = [tuple(ids[ends[a + i] : ends[a + i + 1]].tolist()) for i in few.tolist()]
+                rest = score - int(scores[a + few].sum())
+                for total, parts in self.n_best(chosen, n):
+                    others.append((total + rest, [(int(few[i]), p) for i, p in enumerate(parts) if p != best[i]]))
+            out.append((ids[ends[a] : ends[b]], score, others))
+        return out
 
     def edges(self, unit: str, at: int) -> list[tuple[int, tuple[int, ...], int]]:
         """(end, ids, score) of the pieces that start at a place of a unit."""
@@ -219,8 +381,8 @@ _OTHERS = pa.list_(pa.struct([("score", pa.int64()), ("changes", pa.list_(pa.str
 
 def _encode(batches, path: str, n: int):
     model = pieces(path)
-    for part in slices(batches, most=1 << 20):
-        rows = [model.encode(t or "", n) for t in part.column("text").to_pylist()]
+    for part in slices(batches, most=2 << 20):
+        rows = model.encode_all(part.column("text"), n)
         others = [[{"score": s, "changes": [{"unit": u, "pieces": p} for u, p in c]} for s, c in r[2]] for r in rows]
         kept = [part.column(k) for k in range(part.num_columns) if part.schema.names[k] != "text"]
         names = [k for k in part.schema.names if k != "text"]
@@ -255,10 +417,9 @@ def decode_pieces(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
 
 def _digest(batches, path: str, n: int):
     model = pieces(path)
-    for part in slices(batches, most=1 << 20):
+    for part in slices(batches, most=2 << 20):
         rows = []
-        for text in part.column("text").to_pylist():
-            ids, score, others = model.encode(text, n)
+        for text, (ids, score, others) in zip(part.column("text").to_pylist(), model.encode_all(part.column("text"), n), strict=True):
             rows.append((len(ids), score, zlib.crc32(ids.astype("<u4").tobytes()), ",".join(str(s) for s, _ in others), model.decode(ids) == text))
         columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_pieces", "score", "ids_crc32", "best_scores", "round_trip"])
