@@ -476,10 +476,7 @@ def A52_composition_daily(spark, d):
     return series.state_over_time(v.cells(spark, d), "created_day", "consumed_day", ["type"], capacity="capacity")
 
 
-W05_state_over_time = query(f"WITH {OVER_TIME} SELECT type, day, CAST(sum(c) OVER (PARTITION BY type ORDER BY day ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM s", "cells")
-
-
-@W05_state_over_time
+@query(f"WITH {OVER_TIME} SELECT type, day, CAST(sum(c) OVER (PARTITION BY type ORDER BY day ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM s", "cells")
 def W05_state(spark, d):
     return series.state_over_time(v.cells(spark, d), "created_day", "consumed_day", ["type"], total="capacity")
 

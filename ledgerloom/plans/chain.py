@@ -1,7 +1,6 @@
 """Queries over blocks and transactions."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import exact
 from ..functions.calendar import complete_only, day_end_ms, day_key, local_hour
@@ -132,8 +131,7 @@ def A12_epoch_histogram(spark, d):
     return e.groupBy(exact.half_up("duration_ms", F.lit(60_000)).alias("minutes")).agg(F.count(F.lit(1)).alias("epochs"))
 
 
-@query("SELECT t.tx, b.number AS as_of FROM txs t ASOF LEFT JOIN blocks b ON t.ts_ms >= b.ts_ms AND true", "txs", "blocks") if False else query(
-    "SELECT t.tx, max(b.number) AS as_of FROM txs t LEFT JOIN (SELECT min(number) AS number, day FROM timed GROUP BY day) b ON b.day <= t.day GROUP BY t.tx", "txs", "timed")
+@query("SELECT t.tx, max(b.number) AS as_of FROM txs t LEFT JOIN (SELECT min(number) AS number, day FROM timed GROUP BY day) b ON b.day <= t.day GROUP BY t.tx", "txs", "timed")
 def J07_as_of(spark, d):
     firsts = v.timed(spark, d).groupBy("day").agg(F.min("number").alias("number")).select(F.datediff("day", F.lit("1970-01-01").cast("date")).cast("bigint").alias("at"), "number")
     t = v.txs(spark, d).select("tx", F.datediff("day", F.lit("1970-01-01").cast("date")).cast("bigint").alias("at"))
@@ -271,7 +269,7 @@ def A65_pool_summary(spark, d):
     return ledger.pool_summary(fees(spark, d), "size", "fee", "ts_ms")
 
 
-@query(f"WITH f AS ({FEES}) SELECT tx, fee, size FROM f ORDER BY CAST(fee AS DECIMAL(30,12)) / size DESC, ts_ms, tx LIMIT 100", "txs") if False else query(f"WITH f AS ({FEES}) SELECT tx, fee, size FROM f ORDER BY fee * 60 // size DESC, ts_ms, tx LIMIT 100", "txs")
+@query(f"WITH f AS ({FEES}) SELECT tx, fee, size FROM f ORDER BY fee * 60 // size DESC, ts_ms, tx LIMIT 100", "txs")
 def L09_pool_order(spark, d):
     return ranking.pool_order(fees(spark, d), "fee", "size", "ts_ms", "tx").select("tx", "fee", "size").limit(100)
 
@@ -495,5 +493,3 @@ def J20_channel_lifecycle(spark, d):
     c = joins.channel_lifecycle(v.txs(spark, d), "party", ["block", "tx"], "kind")
     return c.select("party", F.col("opened.block").alias("first_seen"), F.col("last.block").alias("last_seen"), "state", "events")
 
-
-_ = Window
