@@ -99,6 +99,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, slot: np.ndarray, epochs:
 
 
 def _counts(batches):
+    """Every bucket that a task has seen, however seldom: sums over all tasks decide, whatever the number of tasks."""
     found = np.zeros((2, 1 << BUCKET_BITS), np.int64)
     for part in slices(batches):
         row, bucket = _terms(part.column("text"))
@@ -106,7 +107,7 @@ def _counts(batches):
         toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[key >> BUCKET_BITS]
         for label in (0, 1):
             found[label] += np.bincount((key & ((1 << BUCKET_BITS) - 1))[toxic == label], minlength=1 << BUCKET_BITS)
-    seen = np.flatnonzero(found.sum(0) > 1)
+    seen = np.flatnonzero(found.sum(0))
     for at in range(0, len(seen), 65536):
         some = seen[at : at + 65536]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[0][some]), pa.array(found[1][some])], ["bucket", "clean", "toxic"])

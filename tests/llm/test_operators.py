@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,23 @@ def test_toxicity_learns_pairs_and_keeps_held_out_rows_out(spark):
     assert toxicity.score_toxicity(docs.limit(0), toxicity.fit(docs.limit(0), known.limit(0))).count() == 0
 
 
+def test_toxicity_is_the_same_however_rows_are_dealt(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join([f"w{rng.randrange(3000)}" for _ in range(20)] + ["insult"] * (i % 8 == 0))) for i in range(400)]
+    known = spark.createDataFrame([(i, int(i % 8 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # each file is read by a task of its own
+    try:
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(docs_of(spark, rows).collect(), 50), DOCS)  # eight rows a task, one of them toxic
+        one, many = (toxicity.fit(d, known) for d in (docs.coalesce(1), docs))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    _, bucket = toxicity._terms(pa.array(["insult"]))
+    assert (many.slot[bucket] >= 0).all()
+    assert (one.slot == many.slot).all() and one.bias == many.bias
+    assert (one.weight == many.weight).all() and (one.factor == many.factor).all()
+
+
 def test_licenses(spark):
     text = "Ä first line.\nThis work is licensed under the GNU General Public License, version 3.\nReleased under the MIT licence. Released under the mit License! All rights reserved."
     got = licenses.find_licenses(docs_of(spark, [(1, text), (2, None), (3, ""), (1, text), (4, "Released by the MIT")])).collect()
