@@ -29,7 +29,17 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 FURNITURE = frozenset("aside button dialog footer form head header iframe menu nav object select title".split())
-RAW = "script style noscript template svg math textarea iframe object canvas audio video"
+#: Elements whose content is not markup: it runs to the end tag, or to the end of the page.
+RAW = frozenset("script style textarea iframe".split())
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I) for name in RAW}
+#: Elements that are passed over whole (2), or whose tags alone are (1).
+PASSED = dict.fromkeys("noscript template svg object canvas audio video".split(), 2) | {"math": 1}
+#: Where a vector graphic or formula holds HTML again, and the tags that end one that was left open (as in the HTML standard).
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span "
+    "strong strike sub sup table tt u ul var".split()
+)
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banners?|breadcrumbs?|comments?|commentlist|comment\w+|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|header|login|masthead|menus?|modal"
     r"|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|promo\w*|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[\s_-])",
@@ -40,7 +50,7 @@ ROLES = frozenset("alert banner complementary contentinfo dialog form menu menub
 TRUSTED = frozenset("html body article main h1 h2 h3 h4 h5 h6 p b i em strong span a".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + RAW.replace(" ", "|") + r")\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\s(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)?/?)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-z][^\s/>]*)((?:\s(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)?/?)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.I | re.S,
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -67,46 +77,53 @@ def page_tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
 
     dropped: inside page furniture; marked: inside an article or main element.
     """
-    stack: list[tuple[str, bool, bool]] = []
-    at, dropped, marked, context = 0, False, False, "body"
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
+    stack: list[tuple[str, bool, bool, int, bool]] = []  # name, dropped, marked, passed (0, 1 or 2), foreign (inside svg or math)
+    root = ("", False, False, 0, False)
+    at, dropped, marked, passed, foreign, context = 0, False, False, 0, False, "body"
+    while m := TOKEN.search(page, at):
+        if m.start() > at and passed < 2:
             yield f"w:{context}", page[at : m.start()], dropped, marked
         at = m.end()
-        name = m.group(3) or m.group(6)
+        name = m.group(2) or m.group(5)
         if name is None:
             continue
-        name, closing, attributes = name.lower(), m.group(2) or m.group(5), m.group(4) or m.group(7) or ""
+        name, closing, attributes = name.lower(), m.group(1) or m.group(4), m.group(3) or m.group(6) or ""
+        empty = attributes.endswith("/")
         if closing:
-            yield f"/{name}", "", dropped, marked
+            if not passed and name not in PASSED:
+                yield f"/{name}", "", dropped, marked
             if name in VOID:
                 continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
+        elif name in RAW and not (foreign and empty):
+            at = RAW_END[name].search(page, at).end()
+            continue
         else:
-            if name not in VOID and not attributes.endswith("/"):
+            if foreign and name in BREAKOUT:
+                while stack and stack[-1][4]:
+                    stack.pop()
+            if name not in VOID and not empty:
                 if name in ("p", "li") and stack and stack[-1][0] == name:
                     stack.pop()
+                _, dropped, marked, passed, foreign = stack[-1] if stack else root  # of the parent
+                passed = max(passed, PASSED.get(name, 0))
+                foreign = name in ("svg", "math") or (foreign and name not in INTEGRATION)
                 if name in ("article", "main"):
-                    stack.append((name, False, True))
+                    stack.append((name, False, True, passed, foreign))
                 else:
                     inner = marked and name == "header"
-                    stack.append((name, (stack[-1][1] if stack else False) or (not inner and _furniture(name, attributes)), stack[-1][2] if stack else False))
-        if stack:
-            _, dropped, marked = stack[-1]
-            context = next((n for n, *_ in reversed(stack) if n in BLOCK), "body")
-        else:
-            dropped, marked, context = False, False, "body"
-        if not closing:
+                    stack.append((name, dropped or (not inner and _furniture(name, attributes)), marked, passed, foreign))
+        _, dropped, marked, passed, foreign = stack[-1] if stack else root
+        context = next((n for n, *_ in reversed(stack) if n in BLOCK), "body")
+        if not closing and not passed and name not in PASSED:
             yield name, "", dropped, marked
-    if at < len(page):
+    if at < len(page) and passed < 2:
         yield f"w:{context}", page[at:], dropped, marked
 
 
-
-
 def extract(page: str, weights: dict[str, float]) -> str:
     """The blocks of the best region, one a line."""
     blocks: list[list[str]] = [[]]

@@ -122,6 +122,25 @@ def test_html(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "inside, want",
+    [(f"<{n}-x name=x></{n}-x>", "A\nB rest") for n in ("svg", "video", "template", "style", "script", "math", "object")]
+    + [(f"<{n} class=i/>", "A\nB rest") for n in ("svg", "math")]
+    + [(f"<{n} class=i>gone</{n}>", "A\nB rest") for n in ("svg", "video", "template", "noscript", "object", "canvas", "audio", "style", "script", "textarea", "iframe")]
+    + [(f"<div><{n}>gone</div>", "A\nB rest") for n in ("video", "template", "noscript", "object", "canvas", "audio", "svg")]
+    + [(f"<{n} class=i>lost", "A") for n in ("script", "style", "textarea", "iframe")]
+    + [
+        ("<svg class='i' />mid<svg></svg>", "A\nmid\nB rest"),
+        ("<svg><style/><title>t</title><path d='x'/>", "A\nB rest"),
+        ("<svg><style>p>q {}</style><foreignObject><p>gone</p></foreignObject></svg>", "A\nB rest"),
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p>", "A\nif x=2 then\nB rest"),
+        ("<script>'</p>' <b></script x>", "A\nB rest"),
+    ],
+)
+def test_html_elements_that_are_passed_over(inside, want):
+    assert html_text.extract(f"<article><p>A</p>{inside}<p>B rest</p></article>", {}) == want
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
