@@ -8,18 +8,18 @@ an occurrence. Documents are only scanned, never shuffled.
 
 from __future__ import annotations
 
-import itertools
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .arrays import ALPHANUMERIC, Words, chain, slices
-from .shared import texts
+from .shared import cut, texts
 
 #: The most benchmark words that are searched for, and broadcast, at once; a larger benchmark is searched in blocks.
 BLOCK_WORDS = 400_000
@@ -37,7 +37,6 @@ class Patterns:
             own = [words.word(i) for i in range(a, b)]
             for i in range(max(1, len(own) - window + 1) if own else 0):
                 owners[tuple(own[i : i + window])].add(name)
-        self.last = True
         by_length = defaultdict(list)
         for text in owners:
             by_length[len(text)].append(text)
@@ -81,12 +80,17 @@ class Patterns:
                         yield first, pattern
 
 
-def _scan(patterns: Patterns, batches):
+_FOUND = "items array<string>, spans array<struct<start:long,end:long>>"
+_ITEMS, _SPANS = pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _scan(patterns: Patterns, batches) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array, pa.Array]]:
+    """(slice, n_words, n_hit, items, spans), with what earlier blocks of the benchmark found."""
     for part in slices(batches):
         words = Words(part.column("text"), ALPHANUMERIC)
         items: dict[int, set[str]] = defaultdict(set)
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for name, into in (("items", items), ("spans", spans)):  # what earlier blocks of the benchmark found
+        for name, into in (("items", items), ("spans", spans)):
             if name in part.schema.names:
                 for row, known in enumerate(part.column(name).to_pylist()):
                     if known:
@@ -96,18 +100,29 @@ def _scan(patterns: Patterns, batches):
             items[row] |= patterns.owners[pattern]
             spans[row].append((first - int(words.first[row]), first - int(words.first[row]) + len(pattern)))
         merged = {row: _merged(found) for row, found in spans.items()}
-        n_hit = [sum(s["end"] - s["start"] for s in merged.get(r, ())) for r in range(part.num_rows)]
-        columns = {
-            "doc_id": part.column("doc_id"),
-            "text": part.column("text"),
-            "n_words": pa.array(words.count(), pa.int64()),
-            "n_hit": pa.array(n_hit, pa.int64()),
-            "items": pa.array([sorted(items[r]) if r in items else [] for r in range(part.num_rows)], pa.list_(pa.string())),
-            "spans": pa.array([merged.get(r, []) for r in range(part.num_rows)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-        }
-        if patterns.last:
-            del columns["text"]
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        n_hit = np.array([sum(s["end"] - s["start"] for s in merged.get(r, ())) for r in range(part.num_rows)], np.int64)
+        yield (
+            part,
+            words.count(),
+            n_hit,
+            pa.array([sorted(items[r]) if r in items else [] for r in range(part.num_rows)], _ITEMS),
+            pa.array([merged.get(r, []) for r in range(part.num_rows)], _SPANS),
+        )
+
+
+def _pass(patterns: Patterns, batches, carried: list[str]):
+    for part, _, _, items, spans in _scan(patterns, batches):
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), items, spans], [*carried, "items", "spans"])
+
+
+def _report(patterns: Patterns, batches):
+    for part, n_words, n_hit, items, spans in _scan(patterns, batches):
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit), items, spans], ["doc_id", "n_words", "n_hit", "items", "spans"])
+
+
+def _clean(patterns: Patterns, batches, carried: list[str]):
+    for part, n_words, n_hit, _, _ in _scan(patterns, batches):
+        yield part.select(carried).filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[dict]:
@@ -120,17 +135,34 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def _blocks(spark: SparkSession, benchmark: DataFrame, window: int) -> Iterator[tuple[Patterns, Broadcast]]:
-    """The benchmark as blocks of bounded size, each broadcast."""
-    items = texts(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"), "item_id")
+def _build(rows: pa.Table, window: int) -> pa.Table:
+    items = list(zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), strict=True))
+    return pa.table({"block": rows.column("block")[:1], "patterns": pa.array([pickle.dumps(Patterns(items, window))], pa.binary())})
+
+
+def _blocks(benchmark: DataFrame, window: int) -> Iterator[tuple[Patterns, bool]]:
+    """The benchmark's distinct items as blocks of bounded size, built in tasks, and whether each is the last."""
+    items = texts(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"), "item_id").distinct()
     sized = items.withColumn("n", F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = int(total // BLOCK_WORDS) + 1
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    built = cut(dealt.groupBy("block").applyInArrow(lambda rows: _build(rows, window), "block long, patterns binary"))
     for block in range(blocks):
-        chosen = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        patterns = Patterns([(r.item_id, r.text) for r in chosen.toLocalIterator()], window)
-        patterns.last = block == blocks - 1
-        yield patterns, spark.sparkContext.broadcast(patterns)
+        found = built.where(F.col("block") == block).first()
+        yield (Patterns([], window) if found is None else pickle.loads(found["patterns"])), block == blocks - 1
+
+
+def _searched(rows: DataFrame, benchmark: DataFrame, window: int):
+    """The rows with what all blocks but the last found in them, and the last block as a broadcast."""
+    carried = rows.columns
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(_FOUND).fields])
+    for patterns, last in _blocks(benchmark, window):  # each pass adds to what the one before has found
+        held = rows.sparkSession.sparkContext.broadcast(patterns)
+        if last:
+            return rows, held
+        rows = cut(rows.mapInArrow(lambda batches, held=held: _pass(held.value, batches, carried), schema))
+        held.destroy()
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
@@ -140,12 +172,9 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     repeated document or item rows are each searched; an item without id counts as the item "". An empty
     benchmark hits nothing. Columns other than doc_id, item_id and text are ignored, whatever their names.
     """
-    found = texts(documents, "doc_id")
     key = documents.schema["doc_id"].dataType.simpleString()
-    counts = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-    for patterns, held in _blocks(documents.sparkSession, benchmark, window):  # each pass adds to what the one before has found
-        found = found.mapInArrow(lambda batches, held=held: _scan(held.value, batches), f"doc_id {key}, " + ("" if patterns.last else "text string, ") + counts)
-    return found
+    rows, held = _searched(texts(documents, "doc_id"), benchmark, window)
+    return rows.mapInArrow(lambda batches: _report(held.value, batches), f"doc_id {key}, n_words long, n_hit long, {_FOUND}")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -161,23 +190,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 
-def _clean(patterns: Patterns, batches):
-    for part in slices(batches):
-        plain = part.select(["doc_id", "text"])
-        for found in _scan(patterns, iter([plain])):
-            hit, words = found.column("n_hit").to_numpy(), found.column("n_words").to_numpy()
-            yield part.filter(pa.array(~((hit > 0) & (20 * hit >= words))))
-
-
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """The documents that are not contaminated, all columns kept.
-
-    While the benchmark is one block each task drops its own rows; with more blocks the verdicts are joined
-    by doc_id, and rows without doc_id stay.
-    """
-    first = list(itertools.islice(_blocks(documents.sparkSession, benchmark, window), 1))
-    if first[0][0].last:
-        held = first[0][1]
-        return documents.mapInArrow(lambda batches: _clean(held.value, batches), documents.schema)
-    bad = digest(find_contamination(documents, benchmark, window)).where("contaminated").select("doc_id")
-    return documents.join(bad, "doc_id", "left_anti").select(documents.columns)
+    """The documents that are not contaminated, all columns kept. Each row is judged by its own text, whatever its doc_id."""
+    others = [c for c in documents.columns if c != "text"]
+    packed = documents.select("text", F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
+    rows, held = _searched(packed, benchmark, window)
+    kept = rows.mapInArrow(lambda batches: _clean(held.value, batches, ["text", "row"]), packed.schema)
+    return kept.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns))

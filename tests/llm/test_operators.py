@@ -291,6 +291,26 @@ def test_decontamination(spark, monkeypatch, block):
     assert kept == sum(1 for r in got if not r.contaminated and r.doc_id < 40) - (1 if not [r for r in got if r.doc_id == 1 and r.n_words == 3][0].contaminated else 0)
 
 
+@pytest.mark.parametrize("block", [400_000, 20])
+def test_contaminated_rows_are_dropped_one_by_one(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(15))) for k in range(12)]
+    clean = "nothing of the benchmark"
+    rows = [(1, clean), (1, items[3][1]), (None, items[4][1]), (None, clean), (2, None), (3, clean), (3, clean), (4, items[11][1] + " and more")]
+    docs = docs_of(spark, rows).withColumn("a.b", F.struct("lang", "key")).withColumn("items", F.lit("x"))
+    got = decontaminate.drop_contaminated(docs, spark.createDataFrame(items * 3, "item_id long, text string"))
+    assert got.schema.simpleString() == docs.schema.simpleString()
+    want = [r for r in docs.collect() if r.text in (None, clean)]
+    assert Counter(got.collect()) == Counter(want) and len(want) == 5
+
+
+def test_a_repeated_item_counts_once_for_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 50)
+    items = spark.createDataFrame([(1, "one item of six words only")] * 40, "item_id long, text string")
+    blocks = list(decontaminate._blocks(items, 13))
+    assert len(blocks) == 1 and list(blocks[0][0].owners.values()) == [{"1"}]
+
+
 def test_pieces(spark):
     model = piece_nbest.pieces(PIECES)
 
