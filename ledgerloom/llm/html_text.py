@@ -1,17 +1,17 @@
 """HTML extraction: the best contiguous content region of a page by a maximum-scoring subsequence.
 
-A page is read as a row of words and tags. Words score positive, tags negative, and words in page furniture
-negative too; the weights are log-odds learned from pages whose article element marks the content. One
-linear scan finds the contiguous stretch with the highest sum, whose blocks are the text.
+A page is read as a row of words and tags. Page furniture (menus, adverts, comments and so on, told by element, role
+and name) is passed over. Of the rest, words score positive and tags negative; the weights are learned from pages
+whose article element marks the content, and score every page alike, with or without such an element. One linear
+scan finds the contiguous stretch with the highest sum, whose blocks are the text.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,16 +19,19 @@ from pyspark.sql import functions as F
 
 from .arrays import slices
 
-#: Marked pages that weights are learned from, at most (the smallest by hash of the page id).
+#: Marked pages that weights are learned from, at most (the smallest by hash of page id and url).
 TRAINING_PAGES = 2000
+#: The score of a word or tag that the marked pages don't show, and how much a tag that is never in an article costs.
+UNSEEN_WORD, UNSEEN_TAG, TAG_COST = 0.5, -0.05, 4.0
 
-#: Fixed lists of HTML element names and of the names that page furniture goes by.
+#: Fixed lists of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-FURNITURE = frozenset("aside button dialog footer form head header iframe menu nav object select title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FURNITURE = frozenset("aside button datalist dialog footer head header iframe label menu nav object select title".split())
 #: Elements whose content is not markup: it runs to the end tag, or to the end of the page.
 RAW = frozenset("script style textarea iframe".split())
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I) for name in RAW}
@@ -40,156 +43,314 @@ BREAKOUT = frozenset(
     "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span "
     "strong strike sub sup table tt u ul var".split()
 )
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banners?|breadcrumbs?|comments?|commentlist|comment\w+|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|header|login|masthead|menus?|modal"
-    r"|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|promo\w*|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[\s_-])",
-    re.I,
+#: What may stand in the head, and which items end one another unless a new list or table begins.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+ITEMS = {"li": "li", "dd": "d", "dt": "d", "td": "t", "th": "t", "option": "option"}
+LISTS = frozenset("ul ol menu dir dl table select tr datalist".split())
+#: Start tags that don't end an open paragraph, though they are blocks.
+IN_PARAGRAPH = frozenset("body caption head html legend option optgroup tbody td tfoot th thead title tr".split())
+
+#: Fixed lists of the words that names (class and id) are made of. Plain furniture, furniture unless the element is named or filled
+#: like content, content, and words that go with any of them.
+PLAIN = frozenset(
+    "ad ads adsense advert adverts advertisement advertisements advertising adbox adslot banner banners breadcrumb breadcrumbs comment comments commentlist commenter consent cookie cookies "
+    "disqus footer gdpr menu menus modal nav navbar navigation newsletter pagination pager popup respond replies sidebar sponsor sponsored sponsors subscribe toolbar".split()
 )
+DOUBTFUL = frozenset("copyright disclaimer header login masthead notice notices promo promos promotion related search share sharing signup skip social widget widgets".split())
+CONTENT = frozenset("article articles body content entry hentry main page post prose story text".split())
+NEUTRAL = frozenset(
+    "area author bar blog block bottom box btn button buttons card cell center col column container content count desktop fixed float form global group icon icons inner item items js large "
+    "left link links list main meta mobile new outer panel policy primary reader reply right row secondary section site slot small span sticky thread title to top unit user web wp wrap wrapper".split()
+)
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation note search toolbar".split())
-#: Elements whose class or id does not make them furniture.
-TRUSTED = frozenset("html body article main h1 h2 h3 h4 h5 h6 p b i em strong span a".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-z][^\s/>]*)((?:\s(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)?/?)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.I | re.S,
-)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]*+)))?""")
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_TO_QUOTE = re.compile(r"""[^>"']*+""")
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_PARTS = re.compile(r"[^a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def _named(value: str) -> int:
+    """2 if one of the names is plain furniture, 1 if one is doubtful and none is content, else 0.
+
+    A name is furniture only if all its parts are furniture or neutral: "comment-list" is, "search-engines-article" isn't.
+    """
+    doubtful = content = False
+    for name in value.split():
+        parts = [p for p in _PARTS.split(_CAMEL.sub("-", name).lower()) if p]
+        if not parts:
+            continue
+        if all(p in CONTENT for p in parts):
+            content = True
+        elif all(p in PLAIN or p in DOUBTFUL or p in NEUTRAL or p in CONTENT for p in parts):
+            if any(p in PLAIN for p in parts):
+                return 2
+            doubtful = doubtful or any(p in DOUBTFUL for p in parts)
+    return int(doubtful and not content)
 
 
-def _furniture(name: str, attributes: str) -> bool:
-    if name in FURNITURE:
-        return True
-    if not attributes or name == "html" or name == "body":
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
+def _furniture(name: str, attributes: str) -> int:
+    """2 for page furniture, 1 for an element that may be, 0 for others."""
+    level = 2 if name in FURNITURE else 1 if name == "form" else 0
+    if level == 2 or not attributes or name in ("html", "body"):
+        return level
+    for m in _ATTRIBUTE.finditer(attributes):
         key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDING.search(value)):
+            return 2
         if key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id") and name not in TRUSTED and NAMED.search(value):
-            return True
-    return False
+            return 2
+        if key in ("class", "id"):
+            found = _named(value)
+            if found == 1 and (name in HEADINGS or name in ("article", "main")):
+                found = 0
+            level = max(level, found)
+    return level
 
 
-def page_tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(key, text, dropped, marked) of each run of text (key "w:" and its element) and each tag (key its name).
+@dataclass
+class Token:
+    """A run of text (key "w:" and its block) or a tag (key its name, with a slash if it ends something)."""
 
-    dropped: inside page furniture; marked: inside an article or main element.
-    """
-    stack: list[tuple[str, bool, bool, int, bool]] = []  # name, dropped, marked, passed (0, 1 or 2), foreign (inside svg or math)
-    root = ("", False, False, 0, False)
-    at, dropped, marked, passed, foreign, context = 0, False, False, 0, False, "body"
-    while m := TOKEN.search(page, at):
-        if m.start() > at and passed < 2:
-            yield f"w:{context}", page[at : m.start()], dropped, marked
-        at = m.end()
-        name = m.group(2) or m.group(5)
-        if name is None:
+    key: str
+    text: str
+    dropped: bool  # inside page furniture
+    marked: bool  # inside an article or main element
+    doubt: int = 0  # the innermost element around that may be furniture
+
+
+@dataclass
+class _Open:
+    name: str = ""
+    block: str = "body"
+    dropped: bool = False
+    marked: bool = False
+    doubt: int = 0
+    passed: int = 0
+    foreign: bool = False
+    paragraph: int = -1  # place in the stack of the open paragraph, and of the open item, that a new one ends
+    item: int = -1
+
+
+@dataclass
+class _Page:
+    page: str
+    tokens: list[Token] = field(default_factory=list)
+    doubts: list[int] = field(default_factory=lambda: [0])  # of each doubtful element, the doubtful one around it
+    stack: list[_Open] = field(default_factory=list)
+    open: Counter = field(default_factory=Counter)
+    quoting: bool = True
+
+    def top(self) -> _Open:
+        return self.stack[-1] if self.stack else _ROOT
+
+    def pop_to(self, place: int) -> None:
+        for element in self.stack[place:]:
+            self.open[element.name] -= 1
+        del self.stack[place:]
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag, or -1. If quotes are left open, tags end at the next > from there on."""
+        page, here = self.page, at
+        while self.quoting:
+            here = _TO_QUOTE.match(page, here).end()
+            if here == len(page):
+                self.quoting = False
+            elif page[here] == ">":
+                return here
+            else:
+                close = page.find(page[here], here + 1) if page[max(at, here - 8) : here].rstrip()[-1:] == "=" else here  # else it is no value's
+                if close < 0:
+                    self.quoting = False
+                here = close + 1
+        return page.find(">", at)
+
+    def text(self, start: int, end: int) -> None:
+        top = self.top()
+        if end > start and top.passed < 2:
+            self.tokens.append(Token(f"w:{top.block}", self.page[start:end], top.dropped, top.marked, top.doubt))
+
+    def tag(self, key: str) -> None:
+        top = self.top()
+        if not top.passed and key.lstrip("/") not in PASSED:
+            self.tokens.append(Token(key, "", top.dropped, top.marked, top.doubt))
+
+    def end(self, name: str) -> None:
+        self.tag(f"/{name}")
+        if self.open[name]:
+            place = len(self.stack) - 1
+            while self.stack[place].name != name:
+                place -= 1
+            self.pop_to(place)
+
+    def begin(self, name: str, attributes: str) -> None:
+        top = self.top()
+        if top.foreign and name in BREAKOUT:
+            while self.stack and self.stack[-1].foreign:
+                self.pop_to(len(self.stack) - 1)
+            top = self.top()
+        if self.open["head"] and not top.foreign and (name == "body" or (top.name == "head" and name not in IN_HEAD)):
+            self.pop_to(next(k for k, e in enumerate(self.stack) if e.name == "head"))
+            top = self.top()
+        if not top.foreign:
+            if name in BLOCK and name not in IN_PARAGRAPH and top.paragraph >= 0:
+                self.pop_to(top.paragraph)
+                top = self.top()
+            if name in ITEMS and top.item >= 0 and ITEMS[self.stack[top.item].name] == ITEMS[name]:
+                self.pop_to(top.item)
+                top = self.top()
+        if name not in VOID and not (attributes.endswith("/") and (top.foreign or name in ("svg", "math"))):
+            level = 0 if name == "header" and top.marked else _furniture(name, attributes)
+            new = _Open(name, name if name in BLOCK else top.block, top.dropped or level == 2, top.marked or name in ("article", "main"), top.doubt, max(top.passed, PASSED.get(name, 0)))
+            new.foreign = name in ("svg", "math") or (top.foreign and name not in INTEGRATION)
+            if name in ("article", "main"):
+                new.doubt = 0
+            if level == 1 and not new.dropped:
+                new.doubt = len(self.doubts)
+                self.doubts.append(top.doubt)
+            new.paragraph = len(self.stack) if name == "p" else -1 if name in ("td", "th", "caption", "button", "object", "svg", "math") else top.paragraph
+            new.item = len(self.stack) if name in ITEMS else -1 if name in LISTS else top.item
+            self.stack.append(new)
+            self.open[name] += 1
+        self.tag(name)
+
+
+_ROOT = _Open()
+
+
+def page_tokens(page: str) -> list[Token]:
+    """The words and tags of a page in order, in time that grows with its length, however broken it is."""
+    state, at, size = _Page(page), 0, len(page)
+    while True:
+        opens = page.find("<", at)
+        start = at
+        while 0 <= opens < size - 1 and not (page[opens + 1] in "/!?" or page[opens + 1].isalpha()):
+            opens = page.find("<", opens + 1)  # a bare less-than sign
+        if opens < 0 or opens >= size - 1:
+            state.text(start, size)
+            break
+        state.text(start, opens)
+        if page.startswith("<!--", opens):
+            at = page.find("-->", opens + 2) + 3
+            if at < 3:
+                break
             continue
-        name, closing, attributes = name.lower(), m.group(1) or m.group(4), m.group(3) or m.group(6) or ""
-        empty = attributes.endswith("/")
-        if closing:
-            if not passed and name not in PASSED:
-                yield f"/{name}", "", dropped, marked
-            if name in VOID:
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        elif name in RAW and not (foreign and empty):
-            at = RAW_END[name].search(page, at).end()
+        m = _NAME.match(page, opens + 1)
+        if m is None:
+            at = page.find(">", opens) + 1
+            if not at:
+                break
             continue
+        end = state.tag_end(m.end())
+        if end < 0:
+            break  # a tag that never ends, as the HTML standard has it
+        at, name = end + 1, m.group().lower()
+        attributes = page[m.end() : end].rstrip()
+        if name[0] == "/":
+            state.end(name[1:])
+        elif name in RAW and not (state.top().foreign and attributes.endswith("/")):
+            at = RAW_END[name].search(page, at).end()
         else:
-            if foreign and name in BREAKOUT:
-                while stack and stack[-1][4]:
-                    stack.pop()
-            if name not in VOID and not empty:
-                if name in ("p", "li") and stack and stack[-1][0] == name:
-                    stack.pop()
-                _, dropped, marked, passed, foreign = stack[-1] if stack else root  # of the parent
-                passed = max(passed, PASSED.get(name, 0))
-                foreign = name in ("svg", "math") or (foreign and name not in INTEGRATION)
-                if name in ("article", "main"):
-                    stack.append((name, False, True, passed, foreign))
-                else:
-                    inner = marked and name == "header"
-                    stack.append((name, dropped or (not inner and _furniture(name, attributes)), marked, passed, foreign))
-        _, dropped, marked, passed, foreign = stack[-1] if stack else root
-        context = next((n for n, *_ in reversed(stack) if n in BLOCK), "body")
-        if not closing and not passed and name not in PASSED:
-            yield name, "", dropped, marked
-    if at < len(page) and passed < 2:
-        yield f"w:{context}", page[at:], dropped, marked
+            state.begin(name, attributes)
+    return _judged(state)
+
+
+def _judged(state: _Page) -> list[Token]:
+    """Elements that may be furniture are, unless they hold most words of a page without an article or main element."""
+    if len(state.doubts) == 1:
+        return state.tokens
+    words, total, marked = [0] * len(state.doubts), 0, False
+    for t in state.tokens:
+        if t.text and not t.dropped and not t.text.isspace():
+            n = len(t.text.split())
+            words[t.doubt] += n
+            total += n
+            marked = marked or t.marked
+    for k in range(len(words) - 1, 0, -1):
+        words[state.doubts[k]] += words[k]
+    drop = [False] * len(words)
+    for k in range(1, len(words)):
+        drop[k] = drop[state.doubts[k]] or marked or 2 * words[k] <= total
+    for t in state.tokens:
+        t.dropped = t.dropped or drop[t.doubt]
+    return state.tokens
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """First and last place of the contiguous scores with the highest sum (the first to end of equals); (0, -1) if none is positive."""
+    best, first, last = 0.0, 0, -1
+    total, start = 0.0, 0
+    for k, score in enumerate(scores):
+        if total <= 0:
+            total, start = 0.0, k
+        total += score
+        if total > best:
+            best, first, last = total, start, k
+    return first, last
 
 
 def extract(page: str, weights: dict[str, float]) -> str:
     """The blocks of the best region, one a line."""
     blocks: list[list[str]] = [[]]
-    best = (0.0, -1, -1)  # sum, first and last block
-    total, first = 0.0, 0
-    for key, text, dropped, marked in page_tokens(page):
-        if key[:2] == "w:":
-            n = len(text.split())
-            if not dropped:
-                blocks[-1].append(text)
-            if not n:
+    scores, places = [], []
+    for t in page_tokens(page):
+        if t.key[:2] == "w:":
+            if t.dropped:
                 continue
-            weight = weights.get(key, 0.5)
-            score = n * (weight if not dropped else 0.0 if marked else min(-0.5, weight))
-            if marked and not dropped:
-                score = max(score, 0.1 * n)
+            blocks[-1].append(t.text)
+            scores.append(len(t.text.split()) * weights.get(t.key, UNSEEN_WORD))
         else:
-            name = key.lstrip("/")
+            name = t.key.lstrip("/")
             if name in BLOCK and blocks[-1]:
                 blocks.append([])
             elif name == "br":
                 blocks[-1].append(" ")
-            if dropped:
-                score = 0.0 if marked else -0.5
-            else:
-                score = weights.get(key, -0.5) * (0.01 if marked else 1)
-        if total <= 0:
-            total, first = 0.0, len(blocks) - 1
-        total += score
-        if total > best[0]:
-            best = (total, first, len(blocks) - 1)
-    _, first, last = best
-    lines = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks[first : last + 1]) if last >= 0 else ()
+            if t.dropped:
+                continue
+            scores.append(weights.get(t.key, UNSEEN_TAG))
+        places.append(len(blocks) - 1)
+    first, last = best_region(scores)
+    found = blocks[places[first] : places[last] + 1] if last >= 0 else ()
+    lines = (" ".join(html.unescape("".join(parts)).split()) for parts in found)
     return "\n".join(x for x in lines if x)
 
 
+#: Tags that have a weight of their own; with the blocks they bound the number of weights.
+_WEIGHED = BLOCK | VOID | frozenset("a abbr b big cite code del em font i ins kbd mark q s small span strong sub sup time u".split())
+
+
 def _learn(batches):
     inside, outside = Counter(), Counter()
     for part in slices(batches, "html"):
         for page in part.column("html").to_pylist():
-            for key, text, dropped, marked in page_tokens(page):
-                if key[:2] == "w:":
-                    if n := len(text.split()):
-                        (inside if marked else outside)[key] += n
-                elif not dropped and key.lstrip("/") in BLOCK | VOID or key.lstrip("/") in ("a", "b", "i", "em", "strong", "span"):
-                    (inside if marked else outside)[key] += 1
+            for t in page_tokens(page):
+                if t.dropped:
+                    continue
+                if t.key[:2] == "w:":
+                    if n := len(t.text.split()):
+                        (inside if t.marked else outside)[t.key] += n
+                elif t.key.lstrip("/") in _WEIGHED:
+                    (inside if t.marked else outside)[t.key] += 1
     keys = sorted(set(inside) | set(outside))
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([outside[k] for k in keys], pa.int64())], ["key", "inside", "outside"])
 
 
 def learn_weights(pages: DataFrame, rows: int = TRAINING_PAGES) -> dict[str, float]:
-    """Log-odds of words (by enclosing block) and tags, from at most so many pages with an article element.
+    """Weights of words (by enclosing block) and of tags, from at most so many pages with an article element.
 
-    Words are held to -2..1 and tags to -6..-0.05. Keys are names of known elements, so the result has a fixed bound.
+    With p the share of a key's occurrences that lie inside, a word weighs 2 p - 1 and a tag -(1 - p) times TAG_COST,
+    less a little. Furniture counts on neither side. Keys are names of known elements, so the result has a fixed bound.
     """
     marked = pages.where(F.col("html").contains("<article")).withColumn("_order", F.xxhash64(F.col("page_id").cast("string"), F.col("url")))
     last = marked.select("_order").orderBy("_order").limit(rows).agg(F.max("_order")).first()[0]
     sample = marked.where(F.col("_order") <= F.lit(last)).select("html")
     found = sample.mapInArrow(_learn, "key string, inside long, outside long").groupBy("key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
     weights = {}
-    for words in (True, False):
-        some = [r for r in found if r["key"].startswith("w:") == words]
-        a, b = sum(r["inside"] for r in some) + 1, sum(r["outside"] for r in some) + 1
-        for r in some:
-            odds = math.log((r["inside"] + 0.5) / a) - math.log((r["outside"] + 0.5) / b)
-            weights[r["key"]] = max(-2.0, min(1.0, odds)) if words else max(-6.0, min(-0.05, odds))
+    for r in found:
+        share = (r["inside"] + 1) / (r["inside"] + r["outside"] + 2)
+        weights[r["key"]] = 2 * share - 1 if r["key"].startswith("w:") else -0.01 - TAG_COST * (1 - share) * (1 if r["outside"] else 0)
     return weights
 
 
