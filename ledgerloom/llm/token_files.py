@@ -88,26 +88,30 @@ def encoder(path: str) -> WordEncoder:
 
 def _encode(batches: Iterable[pa.RecordBatch], path: str, end_id: int):
     words = encoder(path)
+    position = 0  # of the row in its file
     for part in slices(batches):
         ids, at = words.encode(part.column("text"))
         out = np.full(len(ids) + part.num_rows, end_id, np.int32)
         size = np.diff(at)
         out[np.arange(len(ids)) + np.repeat(np.arange(part.num_rows), size)] = ids
         offsets = (at + np.arange(part.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out)), pa.array(np.diff(offsets))], ["doc_id", "tokens", "n_tokens"])
+        place = pa.array(np.arange(position, position + part.num_rows))
+        position += part.num_rows
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out)), pa.array(np.diff(offsets)), place], ["doc_id", "tokens", "n_tokens", "position"])
 
 
 def encode_texts(documents: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """doc_id, tokens (ids of the whole text, then end_id) and n_tokens per document row; a null text is empty."""
+    """doc_id, tokens (ids of the whole text, then end_id), n_tokens and position (of the row in its partition) per document row; a null text is empty."""
     key = documents.schema["doc_id"].dataType.simpleString()
-    return texts(documents, "doc_id").mapInArrow(lambda batches: _encode(batches, tokenizer_path, end_id), f"doc_id {key}, tokens array<int>, n_tokens int")
+    return texts(documents, "doc_id").mapInArrow(lambda batches: _encode(batches, tokenizer_path, end_id), f"doc_id {key}, tokens array<int>, n_tokens int, position long")
 
 
 def write_tokens(documents: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10) -> None:
     """Encode and write the token files in ascending doc_id order (rows without id first).
 
-    Each row also has file_part, the order of its file, so that global positions follow from counts alone.
-    Ids are dictionary encoded; pages are small and carry min/max indexes for doc_id.
+    Each row also has file_part, the order of its file, and position, its own place in it, so that global
+    positions follow from counts alone, whichever ids and texts repeat. Ids are dictionary encoded; pages are
+    small and carry min/max indexes for doc_id.
     """
     spark = documents.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -131,27 +135,29 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_COUNTS = ("file_part", "position", "doc_id", "n_tokens")
+
+
 def _checksums(batches):
     for batch in batches:
         tokens = batch.column("tokens")
         offsets, values = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
         crc = [zlib.crc32(memoryview(values[a:b]).cast("B")) if b > a else 0 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("file_part"), batch.column("doc_id"), batch.column("n_tokens"), pa.array(crc, pa.int64())], ["file_part", "doc_id", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _COUNTS), pa.array(crc, pa.int64())], [*_COUNTS, "ids_crc32"])
 
 
 def token_positions(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: doc_id, start (ids before it), n_tokens and ids_crc32.
 
-    Starts come from two levels: totals of the files, of which there are no more than partitions, and sums inside each file.
+    Starts come from two levels: totals of the files, of which there are no more than partitions, and sums inside each file
+    in the order of its rows. Rows that share a doc_id each have a row here, with the place of their own tokens.
     """
     files = read_tokens(spark, path)
     key = files.schema["doc_id"].dataType.simpleString()
-    rows = files.select("file_part", "doc_id", "tokens", "n_tokens").mapInArrow(_checksums, f"file_part int, doc_id {key}, n_tokens int, ids_crc32 long")
+    rows = files.select(*_COUNTS, "tokens").mapInArrow(_checksums, f"file_part int, position long, doc_id {key}, n_tokens int, ids_crc32 long")
     sums = read_tokens(spark, path).groupBy("file_part").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("file_part", F.coalesce(F.sum("n").over(Window.orderBy("file_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("file_part").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file_part").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(before, "file_part").select(
         "doc_id", (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).cast("long").alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32"
     )
-
-

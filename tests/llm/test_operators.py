@@ -159,6 +159,25 @@ def test_token_files(spark, tmp_path):
     assert one.tokens[-1] == 1
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_token_starts_with_shared_ids(spark, tmp_path, parts):
+    rows = [(3, "a b c d"), (3, "one"), (3, "a b c d"), (3, "two words"), (3, None), (None, "none"), (None, "also none"), (1, "first"), (9, "last one")]
+    path, partitions = f"file://{tmp_path}/tokens", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        token_files.write_tokens(docs_of(spark, rows), path, WORDS)
+        got = token_files.token_positions(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    stored = token_files.read_tokens(spark, path).orderBy("file_part", "position").collect()
+    whole = [i for r in stored for i in r.tokens]
+    assert [r.doc_id for r in stored] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
+    assert len(got) == len(rows) and sum(r.n_tokens for r in got) == len(whole) and len({r.start for r in got}) == len(rows)
+    for r in got:  # the tokens of each row stand where it says
+        assert zlib.crc32(np.array(whole[r.start : r.start + r.n_tokens], "<u4").tobytes()) == r.ids_crc32
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+
+
 def test_top_inner_products(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(230)]
