@@ -194,6 +194,23 @@ def test_top_inner_products(spark):
     assert top_inner.top_inner_products(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [(2048, 4096, 512), (8, 4, 2)])
+def test_top_inner_products_of_shared_ids_and_uneven_lengths(spark, monkeypatch, blocks):
+    for name, value in zip(("BLOCK", "QUERY_BLOCK", "AT_ONCE"), blocks, strict=True):
+        monkeypatch.setattr(top_inner, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(int(i) if i % 9 else 50, [float(x) for x in rng.normal(size=20) * rng.choice([0.01, 1, 1, 40])]) for i in range(300)]
+    rows += [(50, rows[0][1]), (100, [0.0] * 20), (150, [9e6] * 20)]
+    x = np.floor(256 * np.array([v for _, v in rows], np.float32).astype(float)).astype(np.int64)
+    want = Counter()
+    for i, (query, _) in enumerate(rows):
+        if query % 50 == 0:
+            best = sorted((-int(x[i] @ x[j]), vec) for j, (vec, _) in enumerate(rows) if j != i)[:5]
+            want.update((query, k + 1, vec, -score) for k, (score, vec) in enumerate(best))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert Counter(tuple(r) for r in top_inner.top_inner_products(df).collect()) == want
+
+
 def test_toxicity_learns_pairs_and_keeps_held_out_rows_out(spark):
     rng = random.Random(0)
     common = [f"w{k}" for k in range(60)]
