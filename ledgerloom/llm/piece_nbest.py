@@ -11,20 +11,21 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .arrays import flat, prefix_hash, slices, span_hash
 from .shared import texts
 
 _UNIT = re.compile(r" *[^ ]+| +")
-#: Units that a worker remembers; beyond that it starts afresh, which changes no result.
-REMEMBERED = 1_000_000
+#: Units, and pieces of units, that a worker remembers; beyond that it starts afresh, which changes no result.
+REMEMBERED, REMEMBERED_PIECES = 1_000_000, 16_000_000
 _NONE = -(10**17)
 #: Bytes of a unit up to which many are passed at once.
 _SHORT = 48
@@ -195,7 +196,7 @@ class Pieces:
         inside = at < len(self.hashes)
         new[inside] = self.hashes[at[inside]] != known[inside]
         if new.any():
-            if len(self.scores) + int(new.sum()) > REMEMBERED:
+            if len(self.scores) + int(new.sum()) > REMEMBERED or len(self.ids) > REMEMBERED_PIECES:
                 self._forget()
                 new[:] = True
             self._learn(known[new], data, sums, start[which[new]], size[which[new]])
@@ -284,11 +285,16 @@ class Pieces:
             known = np.array(out, self.kind).tobytes(), best[-1], loss
             if len(self.units) >= REMEMBERED:
                 self.units.clear()
-            self.units[unit] = known
+            if len(unit) <= _SHORT:
+                self.units[unit] = known
         return known
 
     def n_best(self, units: list[str], n: int) -> list[tuple[int, list[tuple[int, ...]]]]:
-        """The n best (score, ids of each unit) of a chain of units: backward A-star, exact forward scores as estimate."""
+        """The n best (score, ids of each unit) of a chain of units: backward A-star, exact forward scores as estimate.
+
+        Of ways with equal estimates the one nearest to the start goes first, so ties, of which a run of one letter has
+        exponentially many, are finished one by one and never unfolded side by side.
+        """
         if not units:
             return [(0, [])]
         forward = [self.forward(u)[0] for u in units]
@@ -303,16 +309,16 @@ class Pieces:
         for f in forward:
             prefix.append(prefix[-1] + f[-1])
         tick = 0
-        heap = [(-prefix[-1], 0, 0, len(units) - 1, len(units[-1]), None)]  # estimate, order, score so far, unit, place, way
+        heap = [(-prefix[-1], len(units) - 1, len(units[-1]), 0, 0, None)]  # estimate, unit, place, order, score so far, way
         found = []
         while heap and len(found) < n:
-            estimate, _, gained, k, at, way = heapq.heappop(heap)
+            estimate, k, at, _, gained, way = heapq.heappop(heap)
             if at == 0 and k == 0:
-                ids: list[tuple[int, ...]] = [() for _ in units]
+                ids: list[list[int]] = [[] for _ in units]
                 while way is not None:
                     unit, piece, way = way
-                    ids[unit] += piece
-                found.append((-estimate, ids))
+                    ids[unit].extend(piece)
+                found.append((-estimate, [tuple(x) for x in ids]))
                 continue
             if at == 0:
                 k, at = k - 1, len(units[k - 1])
@@ -320,7 +326,7 @@ class Pieces:
                 left = forward[k][start]
                 if left != _NONE:
                     tick += 1
-                    heapq.heappush(heap, (-(gained + score + left + prefix[k]), tick, gained + score, k, start, (k, piece, way)))
+                    heapq.heappush(heap, (-(gained + score + left + prefix[k]), k, start, -tick, gained + score, (k, piece, way)))
         return found
 
     def encode(self, text: str, n: int = 1) -> tuple[np.ndarray, int, list[tuple[int, list[tuple[int, tuple[int, ...]]]]]]:
@@ -379,53 +385,54 @@ def pieces(path: str) -> Pieces:
 _OTHERS = pa.list_(pa.struct([("score", pa.int64()), ("changes", pa.list_(pa.struct([("unit", pa.int32()), ("pieces", pa.list_(pa.int32()))])))]))
 
 
-def _encode(batches, path: str, n: int):
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *values]).astype(np.int32)))
+
+
+def _encode(batches, path: str, n: int, names: list[str]):
     model = pieces(path)
     for part in slices(batches, most=2 << 20):
         rows = model.encode_all(part.column("text"), n)
         others = [[{"score": s, "changes": [{"unit": u, "pieces": p} for u, p in c]} for s, c in r[2]] for r in rows]
-        kept = [part.column(k) for k in range(part.num_columns) if part.schema.names[k] != "text"]
-        names = [k for k in part.schema.names if k != "text"]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.int64()), pa.array(others, _OTHERS)], [*names, "pieces", "score", "n_best"])
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), _lists([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array(others, _OTHERS)], [*names, "pieces", "score", "n_best"])
 
 
 def encode_pieces(documents: DataFrame, path: str, n: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, pieces (ids of the best segmentation), its score, and n_best: the n best segmentations by score,
-    each with the units in which it differs from the best.
+    each with the units in which it differs from the best (empty for n = 1).
 
     A null or empty text has no pieces and score 0. Ties of score keep the first found, which depends on the
-    text alone. Repeated rows are each encoded; other columns are ignored.
+    text alone. Repeated rows are each encoded; other columns are ignored. A kept text is empty where it was null.
     """
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return texts(documents, *keep).mapInArrow(
-        lambda b: _encode(b, path, n), f"{kinds}, pieces array<int>, score long, n_best array<struct<score:long,changes:array<struct<unit:int,pieces:array<int>>>>>"
+    rows = texts(documents, *(c for c in keep if c != "text"))
+    return rows.mapInArrow(
+        lambda b: _encode(b, path, n, list(keep)), f"{kinds}, pieces array<int>, score long, n_best array<struct<score:long,changes:array<struct<unit:int,pieces:array<int>>>>>"
     )
 
 
-def _decode(batches, path: str):
+def _decode(batches, path: str, names: list[str], into: str):
     model = pieces(path)
     for batch in batches:
-        names = [k for k in batch.schema.names if k != "pieces"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array([model.decode(() if ids is None else ids) for ids in batch.column("pieces").to_pylist()], pa.string())], [*names, "text"])
+        column = batch.column("pieces")
+        at, ids = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([model.decode(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())], [*names, into])
 
 
-def decode_pieces(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and the text of the pieces; ids without a text of their own (control pieces) are skipped."""
-    kinds = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
-    return encoded.select(*keep, "pieces").mapInArrow(lambda b: _decode(b, path), f"{kinds}, text string")
+def decode_pieces(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), into: str = "text") -> DataFrame:
+    """The kept columns and, in a column of the given name, the text of the pieces; no pieces (or null) are an empty text.
 
-
-def _digest(batches, path: str, n: int):
-    model = pieces(path)
-    for part in slices(batches, most=2 << 20):
-        rows = []
-        for text, (ids, score, others) in zip(part.column("text").to_pylist(), model.encode_all(part.column("text"), n), strict=True):
-            rows.append((len(ids), score, zlib.crc32(ids.astype("<u4").tobytes()), ",".join(str(s) for s, _ in others), model.decode(ids) == text))
-        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_pieces", "score", "ids_crc32", "best_scores", "round_trip"])
+    Ids without a text of their own (control pieces) are skipped.
+    """
+    schema = StructType([*(encoded.schema[c] for c in keep), StructField(into, StringType())])
+    rows = encoded.withColumn("pieces", F.coalesce("pieces", F.array().cast("array<int>"))).select(*keep, *(() if "pieces" in keep else ("pieces",)))
+    return rows.mapInArrow(lambda b: _decode(b, path, list(keep), into), schema)
 
 
-def piece_digest(documents: DataFrame, path: str, n: int) -> DataFrame:
-    """Per document row: number of pieces, score, a checksum of the ids, the n best scores, and whether decoding gives the text back."""
-    key = documents.schema["doc_id"].dataType.simpleString()
-    return texts(documents, "doc_id").mapInArrow(lambda b: _digest(b, path, n), f"doc_id {key}, n_pieces long, score long, ids_crc32 long, best_scores string, round_trip boolean")
+def encode_and_decode(documents: DataFrame, path: str, n: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The rows of encode_pieces() with n_pieces, the n best scores as text, and round_trip: whether decoding gives the text back."""
+    encoded = encode_pieces(documents, path, n, (*keep, "text"))
+    back = decode_pieces(encoded, path, (*keep, "text", "pieces", "score", "n_best"), "_decoded")
+    scores = F.concat_ws(",", F.transform("n_best", lambda x: x["score"].cast("string")))
+    return back.select(*keep, F.size("pieces").cast("long").alias("n_pieces"), "score", scores.alias("best_scores"), (F.col("text") == F.col("_decoded")).alias("round_trip"), "pieces", "n_best")

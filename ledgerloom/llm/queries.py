@@ -57,7 +57,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_nbest.piece_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
+    return piece_nbest.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
 
 
 def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -347,37 +347,60 @@ def test_a_repeated_item_counts_once_for_blocks(spark, monkeypatch):
     assert len(blocks) == 1 and list(blocks[0][0].owners.values()) == [{"1"}]
 
 
-def test_pieces(spark):
+def every_segmentation(model, text):
+    """Scores of all segmentations of a text, best first."""
+
+    def walk(unit, at, score):
+        if at == len(unit):
+            yield score
+        else:
+            for end, _, gain in model.edges(unit, at):
+                yield from walk(unit, end, score + gain)
+
+    found = [0]
+    for unit in re.findall(r" *[^ ]+| +", " " + text):
+        own = sorted(walk(unit, 0, 0), reverse=True)[:40]
+        found = sorted((a + b for a in found for b in own), reverse=True)[:40]
+    return found
+
+
+@pytest.mark.parametrize("text", ["the", "a b", "the cat sat", "on and on", "héy you", "x☃▁y z", "  q r  s ", "aaaa aaa", "ab ab ab ab ab"])
+@pytest.mark.parametrize("n", [1, 2, 5, 9])
+def test_the_best_segmentations_of_several_units(text, n):
+    model, want = piece_nbest.pieces(PIECES), every_segmentation(piece_nbest.pieces(PIECES), text)
+    for ids, score, others in (model.encode(text, n), model.encode_all(pa.array([text]), n)[0]):
+        assert score == want[0] and model.decode(ids) == text
+        if n > 1:
+            assert [s for s, _ in others] == want[: min(n, len(want))]
+        units = re.findall(r" *[^ ]+| +", " " + text)
+        for total, changes in others:  # each alternative is a segmentation of the same text, and they differ
+            parts = [list(model.encode(u[1:], 1)[0]) if u[:1] == " " and len(u) > 1 else None for u in units]
+            for unit, ids_of in changes:
+                assert "".join(model.plain[list(ids_of)]) == units[unit] or model.is_byte[list(ids_of)].any()
+                parts[unit] = list(ids_of)
+        assert len({str(c) for _, c in others}) == len(others)
+
+
+@pytest.mark.parametrize("text, ways", [("a" * 20_000, 4), ("ab" * 10_000, 4), ("é" * 20_000, 2), ("☃" * 5_000, 1), ("x y " + "z" * 20_000, 4)])
+def test_a_long_unit_with_many_ties(text, ways):
     model = piece_nbest.pieces(PIECES)
+    ids, score, others = model.encode_all(pa.array([text]), 4)[0]
+    assert model.decode(ids) == text and len(others) == ways and others[0][0] == score and len({str(c) for _, c in others}) == ways
 
-    def every(text):
-        found = []
-
-        def walk(at, score):
-            if at == len(text):
-                found.append(score)
-                return
-            for end, _, gain in model.edges(text, at):
-                walk(end, score + gain)
-
-        walk(0, 0)
-        return sorted(found, reverse=True)
-
-    for text in ("the cat", "a b", "héy", "x☃▁y", "  q"):
-        scores = [s for s, _ in model.encode(text, 5)[2]]
-        whole = 1 if " " not in text else 0
-        want = every(" " + text)[:5] if whole else None
-        if want:
-            assert scores == want
-        assert scores == sorted(scores, reverse=True) and scores[0] == model.encode(text, 1)[1]
+
+def test_pieces(spark):
     rows = [(1, "Hello  wörld \n\t tab▁ ☃ 'x'"), (2, None), (3, ""), (4, " "), (5, "ab " * 4000), (1, "Hello")]
     encoded = piece_nbest.encode_pieces(docs_of(spark, rows), PIECES, n=3)
     back = Counter((r.doc_id, r.text) for r in piece_nbest.decode_pieces(encoded, PIECES).collect())
     assert back == Counter((i, t or "") for i, t in rows)
-    digests = {(r.doc_id, r.n_pieces): r for r in piece_nbest.piece_digest(docs_of(spark, rows), PIECES, 3).collect()}
-    assert all(r.round_trip for r in digests.values())
+    checked = {(r.doc_id, r.n_pieces): r for r in piece_nbest.encode_and_decode(docs_of(spark, rows), PIECES, 3).collect()}
+    assert all(r.round_trip for r in checked.values())
     for r in encoded.collect():
-        assert digests[r.doc_id, len(r.pieces)].ids_crc32 == zlib.crc32(np.array(r.pieces, "<u4").tobytes())
+        other = checked[r.doc_id, len(r.pieces)]
+        assert (other.pieces, other.score, other.n_best) == (r.pieces, r.score, r.n_best)
+        assert other.best_scores == ",".join(str(x.score) for x in r.n_best)
+    nothing = spark.createDataFrame([(1, None), (2, [])], "doc_id long, pieces array<int>")
+    assert {r.text for r in piece_nbest.decode_pieces(nothing, PIECES).collect()} == {""}
 
 
 def removed(rows, length):
