@@ -1,7 +1,7 @@
 """A corpus pipeline in five stages, each an operator of ledgerloom.llm on what its predecessor kept.
 
 Toxic documents go, one document of each near-duplicate group stays, documents contaminated by the
-benchmark go, secrets are masked, and the rest is encoded in pieces (and decodes back to its text).
+benchmark go, secrets are masked, and the rest is encoded in pieces and decoded again as a check.
 """
 
 from __future__ import annotations
@@ -42,8 +42,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = piece_nbest.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), n=1, keep=("doc_id", "lang", "source"))
-    return encoded.select("doc_id", "lang", "source", F.size("pieces").alias("n_pieces"), "pieces")
+    """Pieces, the next best segmentation, and whether the pieces decode to the text again."""
+    encoded = piece_nbest.encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), n=2, keep=("doc_id", "lang", "source"))
+    return encoded.select("doc_id", "lang", "source", "n_pieces", "round_trip", "pieces", "n_best")
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -54,7 +55,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("pieces", encode),
 ]
 
-#: A trained model and a lattice search have no SQL form; the tests hold each stage against brute force.
+#: A trained model and a lattice search have no SQL form; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
