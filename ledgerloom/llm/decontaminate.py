@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .arrays import ALPHANUMERIC, Words, chain, slices
-from .shared import cut, texts
+from .shared import cut, packed, texts, unpacked
 
 #: The most benchmark words that are searched for, and broadcast, at once; a larger benchmark is searched in blocks.
 BLOCK_WORDS = 400_000
@@ -189,11 +189,9 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """The documents that are not contaminated, all columns kept. Each row is judged by its own text, whatever its doc_id."""
-    others = [c for c in documents.columns if c != "text"]
-    packed = documents.select("text", F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
-    rows, held = _searched(packed, benchmark, window)
-    kept = rows.mapInArrow(lambda batches: _clean(held.value, batches, ["text", "row"]), packed.schema)
-    return kept.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns))
+    packed_rows = packed(documents, "text")
+    rows, held = _searched(packed_rows, benchmark, window)
+    kept = rows.mapInArrow(lambda batches: _clean(held.value, batches, ["text", "row"]), packed_rows.schema)
+    return unpacked(kept, documents.columns, "text")

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import packed, unpacked
+
 #: Bits of the bitmap: 2 MB whatever the data; with very many ids it only lets more rows through.
 BITS = 1 << 24
 
@@ -25,11 +27,12 @@ def rows_with_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id", others:
 
     def keep(batches):
         for batch in batches:
-            key_values = batch.column(key)
+            key_values = batch.column("key")
             x = key_values.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
             at = (x & (BITS - 1)) ^ ((x >> 24) & (BITS - 1))
             found = (held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
             among = (found == 1) & ~np.asarray(key_values.is_null())
             yield batch.filter(pa.array(~among if others else among))
 
-    return rows.mapInArrow(keep, rows.schema)
+    keyed = packed(rows).select(F.col(f"row.c{rows.columns.index(key)}").alias("key"), "row")
+    return unpacked(keyed.mapInArrow(keep, keyed.schema), rows.columns)

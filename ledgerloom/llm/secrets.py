@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import slices
-from .shared import texts
+from .shared import packed, texts, unpacked
 
 #: Fixed patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -124,7 +124,7 @@ def _mask(batches):
 
 
 def mask_secrets(documents: DataFrame) -> DataFrame:
-    """The documents with each secret replaced by a mark; n_chars, where there is one, follows."""
-    filled = documents.withColumn("text", F.coalesce("text", F.lit("")))
-    masked = filled.mapInArrow(_mask, filled.schema)
+    """The documents with each secret replaced by a mark; n_chars, where there is one, follows. A null text becomes empty."""
+    rows = packed(documents.withColumn("text", F.coalesce("text", F.lit(""))), "text")
+    masked = unpacked(rows.mapInArrow(_mask, rows.schema), documents.columns, "text")
     return masked.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else masked

@@ -35,3 +35,14 @@ def texts(df: DataFrame, *ids: str, text: str = "text") -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def packed(df: DataFrame, *apart: str) -> DataFrame:
+    """The named columns and, as one struct "row", all others: what goes through Arrow whatever the others are called."""
+    others = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns) if c not in apart]
+    return df.select(*apart, (F.struct(*others) if others else F.lit(0)).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], *apart: str) -> DataFrame:
+    """The columns in their order again."""
+    return df.select(*(F.col(c) if c in apart else F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(columns)))

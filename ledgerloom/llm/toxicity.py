@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALPHANUMERIC, Words, mix, slices, span_hash
-from .shared import cut, texts
+from .shared import cut, packed, texts, unpacked
 
 #: Labelled rows that a model is trained on, at most (the smallest by hash of the id).
 TRAINING_ROWS = 20_000
@@ -123,8 +123,12 @@ def _chosen_slots(batches, slot: np.ndarray):
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Machine:
-    """Train on at most so many labelled rows (doc_id, toxic 0/1); rows of unknown label, id or text are left out."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    """Train on at most so many labelled ids (doc_id, toxic 0/1); rows of unknown label or id are left out.
+
+    An id that is labelled both ways counts as toxic. Documents that share a labelled id are all learned from,
+    repeated ones as often as they stand there; a null text is empty.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, hence broadcast
     training = cut(texts(documents, "doc_id").join(F.broadcast(sample), "doc_id").select("toxic", "text"))
     counts = training.mapInArrow(_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -166,6 +170,7 @@ def _reject(batches, machine: Machine, threshold: float):
 
 
 def drop_toxic(documents: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
-    """The documents scored below the threshold, all columns kept."""
+    """The documents scored below the threshold, all columns kept. Each row is judged by its own text."""
     held = documents.sparkSession.sparkContext.broadcast(machine)
-    return documents.mapInArrow(lambda batches: _reject(batches, held.value, threshold), documents.schema)
+    rows = packed(documents, "text")
+    return unpacked(rows.mapInArrow(lambda batches: _reject(batches, held.value, threshold), rows.schema), documents.columns, "text")
