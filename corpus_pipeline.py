@@ -29,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document of smallest id stays of each group; rows without id all stay."""
     gone = near_dup.near_duplicates(docs, n=5, percent=80).where(~F.col("kept")).select("doc_id")
     gone = cut(gone)
-    doubtful = rows_with_ids(docs, gone).join(gone, "doc_id", "left_anti").select(docs.columns)  # only these texts are shuffled
+    doubtful = rows_with_ids(docs, gone).join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))  # only these texts are shuffled
     return rows_with_ids(docs, gone, others=True).union(doubtful)
 
 
