@@ -417,6 +417,18 @@ def removed(rows, length):
     return out
 
 
+@pytest.mark.parametrize("length", [1, 3, 8, 10, 24, 30, 71, 100])
+def test_suffix_order_is_that_of_the_bytes(length):
+    rng = np.random.default_rng(length)
+    data = rng.integers(97, 99, 400).astype(np.uint8)
+    data[100:250] = data[:150]
+    begin = rng.permutation(len(data) - length + 1)
+    ranks = repeats._suffix_order(data, begin, length)
+    strings = [data[b : b + length].tobytes() for b in begin]
+    place = {x: k for k, x in enumerate(sorted(set(strings)))}
+    assert ranks.tolist() == [place[x] for x in strings]
+
+
 @pytest.mark.parametrize("group", [1000, 1])
 def test_repeated_bytes(spark, monkeypatch, group):
     monkeypatch.setattr(repeats, "GROUP", group)
