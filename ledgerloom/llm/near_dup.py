@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Words, chain, mix, signed, slices
-from .components import components
+from .components import components, merged
 from .id_filter import rows_with_ids
 from .shared import cut, texts
 
@@ -204,10 +204,14 @@ def family_links(families: DataFrame, sketch: DataFrame, documents: DataFrame, n
     """The confirmed links between components inside each family (rows: family, doc_id, component)."""
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = families.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    members = cut(members)
+    parts = families.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = parts.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main")).where(F.col("main.n") < F.col("n"))
+    # members of the largest component meet only blocks of the others
+    few, many = F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int"), F.ceil(F.col("main.n") / BLOCK).cast("int")
+    members = families.join(sizes.select("family", F.col("main.component").alias("main"), few.alias("few"), many.alias("many")), "family")
+    spot, main = F.xxhash64("doc_id"), F.col("component") == F.col("main")
+    block = F.when(main, F.col("few") + F.pmod(spot, F.col("many"))).otherwise(F.pmod(spot, F.col("few"))).cast("int")
+    members = cut(members.select("family", "doc_id", "component", block.alias("block"), F.when(main, F.col("few")).otherwise(F.col("few") + F.col("many")).alias("blocks")))
     texts_of = rows_with_ids(texts(documents, "doc_id"), members).join(members.join(sketch, "doc_id"), "doc_id").dropDuplicates(["doc_id"])
     schema = f"doc_id {kind}, family {kind}, component {kind}, blocks int, block int, " + ", ".join(f"{c} long" for c in _sketch_columns()) + ", shingles binary"
     ready = texts_of.select("doc_id", "family", "component", "blocks", "block", *_sketch_columns(), "text").mapInArrow(lambda b: _sets(b, n), schema)
@@ -249,8 +253,9 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
 
     # Families that are not one component yet: their blocks of members meet inside tasks.
     family = cut(components(near.select("a", "b")).select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "family", F.coalesce("component", "doc_id").alias("component")))
-    links = links.union(family_links(family, sketch, documents, n, percent, limit))
-    found = cut(components(links))
+    more = family_links(family, sketch, documents, n, percent, limit)
+    if not more.isEmpty():
+        found = merged(found, more)
 
     # What shares a bucket, but neither family nor component.
     placed = crowded.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(family.select("doc_id", "family"), "doc_id", "left")
@@ -262,7 +267,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     apart = (F.col("ca") != F.col("cb")) & (F.col("fa") != F.col("fb")) & (_differing("p", "q") <= limit)
     rest = cut(one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & apart).select("a", "b").distinct())
     if not rest.isEmpty():
-        found = components(links.union(confirmed(rest, documents, n, percent)))
+        found = merged(found, confirmed(rest, documents, n, percent))
 
     placed_classes = classes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*prints, F.coalesce("component", "doc_id").alias("class_component"))
     by_id = rows.select("doc_id", *prints).join(placed_classes, prints, "left")

@@ -97,6 +97,29 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 6, 9: 6, 10: 10, 11: 10, 12: 10}
 
 
+@pytest.mark.parametrize("large", [1_000_000, 0])
+def test_components_of_random_links(spark, monkeypatch, large):
+    from ledgerloom.llm import components as module
+
+    monkeypatch.setattr(module, "LARGE", large)
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(500, 501 + k) for k in range(80)]
+    more = [(rng.randrange(300), rng.randrange(300)) for _ in range(40)] + [(900, 901), (3, 900), (505, 700), (1000, 1000)]
+
+    def brute(pairs):
+        low = {x: x for p in pairs for x in p}
+        for _ in pairs:
+            for a, b in pairs:
+                low[a] = low[b] = min(low[a], low[b])
+        return low
+
+    first = components(spark.createDataFrame(links, "a long, b long"))
+    assert {r.node: r.component for r in first.collect()} == {k: v for k, v in brute(links).items() if k in {x for a, b in links if a != b for x in (a, b)}}
+    both = {r.node: r.component for r in module.merged(first, spark.createDataFrame(more, "a long, b long")).collect()}
+    want = brute(links + more)
+    assert all(want[k] == v for k, v in both.items()) and {k for k, v in want.items() if k != v} <= set(both)
+
+
 def test_odd_sketch_estimates_high_similarity():
     rng = np.random.default_rng(3)
     for share in (0.8, 0.9, 0.97):
