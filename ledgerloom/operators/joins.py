@@ -79,15 +79,25 @@ def attach_rates(deposits: DataFrame, rates: DataFrame, position: str, rate: str
     return out
 
 
+def _windowed(proposals: DataFrame, txs: DataFrame, key: str, proposed: str, committed: str, closest: int, farthest: int) -> DataFrame:
+    """Proposals with the commitments inside their windows. Heights are cut into stretches as long as a window, and a window
+    meets the two stretches it can reach, so a party with many of both is joined stretch by stretch."""
+    width = farthest - closest + 1
+    first = F.floor((F.col(proposed) + closest) / width)
+    reach = proposals.withColumn("_stretch", F.explode(F.array(first, first + 1)))
+    hits = reach.join(txs.withColumn("_stretch", F.floor(F.col(committed) / width)), [key, "_stretch"])
+    return hits.where(F.col(committed).between(F.col(proposed) + closest, F.col(proposed) + farthest))
+
+
 def commitments(proposals: DataFrame, txs: DataFrame, key: str, proposed: str, committed: str, closest: int, farthest: int) -> DataFrame:
     """The earliest commitment of each proposal inside its window [proposed + closest, proposed + farthest]."""
-    hits = proposals.join(txs, key).where(F.col(committed).between(F.col(proposed) + closest, F.col(proposed) + farthest))
+    hits = _windowed(proposals, txs, key, proposed, committed, closest, farthest)
     return hits.groupBy(key, proposed).agg(F.min(committed).alias(committed))
 
 
 def earliest_proposal(proposals: DataFrame, txs: DataFrame, key: str, proposed: str, committed: str, closest: int, farthest: int) -> DataFrame:
     """The earliest proposal in whose window each commitment falls."""
-    hits = txs.join(proposals, key).where(F.col(committed).between(F.col(proposed) + closest, F.col(proposed) + farthest))
+    hits = _windowed(proposals, txs, key, proposed, committed, closest, farthest)
     return hits.groupBy(key, committed).agg(F.min(proposed).alias(proposed))
 
 
@@ -103,23 +113,26 @@ def pool_stage(pool: DataFrame, proposals: DataFrame, tip: int, key: str, propos
 def match_transfers(legs: DataFrame, tx: str, token: str, party: str, delta: str) -> DataFrame:
     """Net senders paired with net receivers per (tx, token) in party order; the rest is mint or burn.
 
-    The greedy pairing equals the overlap of both sides' cumulative intervals, so it's an interval join
-    inside (tx, token). Rows: tx, token, sender, receiver, amount; sender null is a mint, receiver null a burn.
+    The greedy pairing equals the overlap of both sides' cumulative intervals. The starts of all intervals, put in one
+    order, cut the line into stretches that have one sender and one receiver each, carried forward from the last start
+    of their side; so the work is linear in the parties of a (tx, token). Rows: tx, token, sender, receiver, amount;
+    sender null is a mint, receiver null a burn.
     """
     net = legs.groupBy(tx, token, party).agg(F.sum(delta).alias("_net")).where(F.col("_net") != 0)
     order = Window.partitionBy(tx, token, F.col("_net") > 0).orderBy(party).rowsBetween(Window.unboundedPreceding, 0)
     placed = net.withColumn("_hi", F.sum(F.abs("_net")).over(order)).withColumn("_lo", F.col("_hi") - F.abs("_net"))
-    out = placed.where("_net < 0").select(tx, token, F.col(party).alias("sender"), F.col("_lo").alias("_a"), F.col("_hi").alias("_b"))
-    into = placed.where("_net > 0").select(tx, token, F.col(party).alias("receiver"), F.col("_lo").alias("_c"), F.col("_hi").alias("_d"))
-    pairs = out.join(into, [tx, token]).where((F.col("_a") < F.col("_d")) & (F.col("_c") < F.col("_b")))
-    pairs = pairs.select(tx, token, "sender", "receiver", (F.least("_b", "_d") - F.greatest("_a", "_c")).alias("amount"))
-    totals = placed.groupBy(tx, token).agg(F.max(F.when(F.col("_net") < 0, F.col("_hi"))).alias("_sent"), F.max(F.when(F.col("_net") > 0, F.col("_hi"))).alias("_got"))
-    sent, got = F.coalesce("_sent", F.lit(0)), F.coalesce("_got", F.lit(0))
-    minted = into.join(totals, [tx, token]).where(F.col("_d") > sent)
-    minted = minted.select(tx, token, F.lit(None).cast(legs.schema[party].dataType).alias("sender"), "receiver", (F.col("_d") - F.greatest(F.col("_c"), sent)).alias("amount"))
-    burnt = out.join(totals, [tx, token]).where(F.col("_b") > got)
-    burnt = burnt.select(tx, token, "sender", F.lit(None).cast(legs.schema[party].dataType).alias("receiver"), (F.col("_b") - F.greatest(F.col("_a"), got)).alias("amount"))
-    return pairs.union(minted).union(burnt)
+    kind = legs.schema[party].dataType
+    nobody = F.lit(None).cast(kind)
+    side = lambda rule, p: F.when(rule, F.struct(p.alias("p")))
+    sends, gets = F.col("_net") < 0, F.col("_net") > 0
+    starts = placed.select(tx, token, F.col("_lo").alias("_at"), side(sends, F.col(party)).alias("_s"), side(gets, F.col(party)).alias("_r"))
+    ends = placed.groupBy(tx, token, gets.alias("_gets")).agg(F.max("_hi").alias("_at"))
+    ends = ends.select(tx, token, "_at", side(~F.col("_gets"), nobody).alias("_s"), side(F.col("_gets"), nobody).alias("_r"))
+    points = starts.union(ends).groupBy(tx, token, "_at").agg(F.max("_s").alias("_s"), F.max("_r").alias("_r"))
+    along = Window.partitionBy(tx, token).orderBy("_at")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    cut = points.select(tx, token, F.last("_s", True).over(so_far)["p"].alias("sender"), F.last("_r", True).over(so_far)["p"].alias("receiver"), (F.lead("_at").over(along) - F.col("_at")).alias("amount"))
+    return cut.where(F.col("amount").isNotNull())
 
 
 def attach_names(df: DataFrame, labels: DataFrame, keys: list[str], name: str, fallback: str | Column = "unknown") -> DataFrame:
@@ -135,10 +148,16 @@ def resolve_code(refs: DataFrame, cells: DataFrame, code: str, kind: str, data_h
     return by_data.unionByName(by_type)
 
 
-def merge_prefix_parties(short: DataFrame, full: DataFrame, prefix: str, owner: str, n: int) -> DataFrame:
-    """Parties known by a prefix: matches counts the owners it fits, owner is the one if there's just one."""
+def merge_prefix_parties(short: DataFrame, full: DataFrame, prefix: str, owner: str, n: int, strict: bool = True) -> DataFrame:
+    """Parties known by a prefix: merged with the one owner it fits, alone if it fits none.
+
+    A prefix that fits several owners is an error; if not strict, its status says so.
+    """
     hits = full.select(F.substring(owner, 1, n).alias(prefix), owner).distinct().groupBy(prefix).agg(F.count(F.lit(1)).alias("matches"), F.min(owner).alias(owner))
-    return short.join(hits, prefix, "left").select(*short.columns, F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("matches") == 1, F.col(owner)).alias(owner))
+    wrong = F.raise_error(F.lit("a prefix fits several parties")).cast("string") if strict else F.lit("ambiguous")
+    matches = F.coalesce("matches", F.lit(0))
+    status = F.when(matches == 0, "alone").when(matches == 1, "merged").otherwise(wrong)
+    return short.join(hits, prefix, "left").select(*short.columns, matches.alias("matches"), F.when(matches == 1, F.col(owner)).alias(owner), status.alias("status"))
 
 
 def item_versions(events: DataFrame, item: str, order: list[str]) -> DataFrame:
@@ -179,10 +198,12 @@ def branch_fate(orphans: DataFrame, committed: DataFrame, pending: DataFrame, ke
 
 
 def activation_blocks(rules: DataFrame, epochs: DataFrame, rule: str, at_epoch: str, epoch: str, first: str) -> DataFrame:
-    """First block of the first epoch at or after each rule's; rules are a small fixed table, epochs one row each."""
-    joined = F.broadcast(rules).join(epochs, F.col(epoch) >= F.col(at_epoch), "right").where(F.col(rule).isNotNull())
-    hits = joined.groupBy(rule, at_epoch).agg(F.min(first).alias("activation_block"))
-    return rules.join(hits, [rule, at_epoch], "left").select(rule, at_epoch, "activation_block")
+    """First block of the first epoch at or after each rule's (J26): rules and epochs in one order, the next epoch looked up."""
+    marks = epochs.select(F.col(epoch).alias("_at"), F.lit(None).cast("string").alias("_rule"), F.col(first).alias("_first"))
+    asked = rules.select(F.col(at_epoch).alias("_at"), F.col(rule).cast("string").alias("_rule"), F.lit(None).cast("bigint").alias("_first"))
+    after = Window.orderBy("_at").rangeBetween(0, Window.unboundedFollowing)  # one row an epoch, and the rules
+    found = marks.union(asked).withColumn("activation_block", F.min("_first").over(after)).where(F.col("_rule").isNotNull())
+    return found.select(F.col("_rule").alias(rule), F.col("_at").alias(at_epoch), "activation_block")
 
 
 def bind_info(tokens: DataFrame, info: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -191,6 +212,10 @@ def bind_info(tokens: DataFrame, info: DataFrame, keys: list[str], order: str, v
     return tokens.join(first, keys, "left")
 
 
-def expand_deps(txs: DataFrame, members: str, cells: DataFrame, key: str) -> DataFrame:
-    """Transactions with the cells their dependency groups list."""
-    return txs.withColumn(key, F.explode(members)).join(cells, key, "left")
+def expand_deps(txs: DataFrame, members: str, cells: DataFrame, key: str, used: DataFrame, tx: str, code: str) -> DataFrame:
+    """Transactions with the cells their dependency groups list, and which script of the transaction each supplies, if any.
+
+    used has the scripts that each transaction runs (tx, code); a cell supplies its own code.
+    """
+    listed = txs.withColumn(key, F.explode(members)).join(cells, key, "left")
+    return listed.join(used.select(tx, code, F.col(code).alias("supplies")).distinct(), [tx, code], "left")

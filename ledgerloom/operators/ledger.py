@@ -105,6 +105,12 @@ def parse_scope(query: str) -> tuple[str | None, str]:
     return (head.lower(), rest.strip()) if colon and head.lower() in known else (None, query.strip())
 
 
+def items_of(df: DataFrame, owner: str, who) -> DataFrame:
+    """The rows of an owner, the children of a parent name, or, where the column is an array, what a party takes part in."""
+    member = df.schema[owner].dataType.typeName() == "array"
+    return df.where(F.array_contains(owner, who) if member else F.col(owner) == who)
+
+
 def name_match(df: DataFrame, text: str, *columns: str) -> DataFrame:
     """Rows with the text in one of the columns, case ignored (P20)."""
     hit = F.lit(False)
@@ -121,16 +127,23 @@ def has_traits(traits: DataFrame, item: str, wanted: dict[str, str], name: str =
     return traits.where(hit).groupBy(item).agg(F.count_distinct(name).alias("_n")).where(F.col("_n") == len(wanted)).select(item)
 
 
-def pool_of(blocks: DataFrame, by_lock: DataFrame, by_message: DataFrame, lock: str, message: str) -> DataFrame:
-    """Name of each block's pool by exact lock, else by message prefix; a name of each that differ is an error.
+def pool_of(blocks: DataFrame, by_lock: DataFrame, by_message: DataFrame, lock: str, message: str, strict: bool = True) -> DataFrame:
+    """Name of each block's pool by exact lock, else by message prefix (P22). Names of both that differ are an error, or,
+    if not strict, a row without pool whose conflict is true.
 
-    The label tables are small fixed dimensions and are broadcast.
+    Prefixes are joined by their length and text, so that the join has a key.
     """
-    named = blocks.join(F.broadcast(by_lock.select(lock, F.col("pool").alias("_a"))), lock, "left")
-    prefixes = F.broadcast(by_message.select(F.col("prefix"), F.col("pool").alias("_b")))
-    named = named.join(prefixes, F.startswith(F.col(message), F.col("prefix")), "left")
+    named = blocks.join(by_lock.select(lock, F.col("pool").alias("_a")), lock, "left")
+    lengths = sorted(r[0] for r in by_message.select(F.length("prefix")).distinct().collect())  # of label prefixes
+    heads = F.array(*(F.substring(F.col(message), 1, n) for n in lengths)) if lengths else F.array().cast("array<string>")
+    key = blocks.columns
+    hits = blocks.select(*key, F.explode(F.array_distinct(heads)).alias("prefix")).join(by_message.select("prefix", F.col("pool").alias("_b")), "prefix")
+    hits = hits.groupBy(message).agg(F.max_by("_b", F.length("prefix")).alias("_b"))  # the longest prefix
+    named = named.join(hits, message, "left")
     clash = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("_a") != F.col("_b"))
-    return named.withColumn("pool", F.when(clash, F.raise_error(F.lit("two pools for one block")).cast("string")).otherwise(F.coalesce("_a", "_b"))).drop("_a", "_b", "prefix")
+    wrong = F.raise_error(F.lit("two pools for one block")).cast("string") if strict else F.lit(None).cast("string")
+    out = named.withColumn("pool", F.when(clash, wrong).otherwise(F.coalesce("_a", "_b")))
+    return (out if strict else out.withColumn("conflict", clash)).select(*key, "pool", *(() if strict else ("conflict",)))
 
 
 def proposal_state(proposed: str | Column, committed: str | Column, tip: int, closest: int, farthest: int) -> Column:
@@ -161,6 +174,30 @@ def share(df: DataFrame, keys: list[str], group: list[str], measure: str, places
     return part.withColumn("whole", whole).withColumn("share", exact.ratio_cut("part", "whole", places))
 
 
+def last_groups(df: DataFrame, group: str, n: int) -> DataFrame:
+    """The rows of the last n complete groups of a rising number, such as epochs: all but the newest are complete (A10)."""
+    tip = df.agg(F.max(group).alias("_tip"))
+    return df.join(F.broadcast(tip)).where((F.col(group) < F.col("_tip")) & (F.col(group) >= F.col("_tip") - n)).drop("_tip")
+
+
+def miner_share(blocks: DataFrame, day: str, miner: str, reward: str, days: int = 7) -> DataFrame:
+    """Blocks and reward of each miner per day, and its share of the blocks of the last complete days, cut."""
+    daily = blocks.groupBy(day, miner).agg(F.count(F.lit(1)).alias("blocks"), F.sum(reward).alias("reward"))
+    tip = daily.agg(F.max(day).alias("_tip"))
+    recent = daily.join(F.broadcast(tip)).where((F.col(day) < F.col("_tip")) & (F.col(day) >= F.date_sub("_tip", days)))
+    part = recent.groupBy(miner).agg(F.sum("blocks").alias("week_blocks"))
+    whole = part.agg(F.sum("week_blocks").alias("_whole"))
+    return daily.join(part, miner, "left").join(F.broadcast(whole)).select(day, miner, "blocks", "reward", "week_blocks", exact.ratio_cut("week_blocks", "_whole").alias("share"))
+
+
+def sum_facts(facts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Daily facts of several tables as one row per key (A01): measures are summed, 0 where a table has no row."""
+    from functools import reduce
+
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), facts)
+    return both.groupBy(*keys).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in both.columns if c not in keys))
+
+
 def interval_histogram(df: DataFrame, value: str, width: int, most: int, places: int = 3) -> DataFrame:
     """Counts of value div width for 0..most div width (all longer ones in the last), zero-filled, with shares cut."""
     last = most // width
@@ -175,9 +212,10 @@ def new_by_day(df: DataFrame, entity: str, day: str) -> DataFrame:
     return df.groupBy(entity).agg(F.min(day).alias(day)).groupBy(day).agg(F.count(F.lit(1)).alias("new"))
 
 
-def signed_deltas(legs: DataFrame, keys: list[str], side: str, amount: str, source: str = "input") -> DataFrame:
-    """Net amount per key: outputs less inputs (A17, A18); zero is kept, filter it for item deltas."""
-    return legs.groupBy(*keys).agg(F.sum(F.when(F.col(side) == source, -F.col(amount)).otherwise(F.col(amount))).alias("delta"))
+def signed_deltas(legs: DataFrame, keys: list[str], side: str, amount: str, source: str = "input", **more: str) -> DataFrame:
+    """Net amount per key, and of more columns under their names: outputs less inputs (A17, A18); zero is kept, filter it for item deltas."""
+    net = lambda c: F.sum(F.when(F.col(side) == source, -F.col(c)).otherwise(F.col(c)))
+    return legs.groupBy(*keys).agg(*(net(c).alias(n) for n, c in {"delta": amount, **more}.items()))
 
 
 def value_moved(deltas: DataFrame, tx: str, delta: str) -> DataFrame:
@@ -207,6 +245,16 @@ def holder_distribution(held: DataFrame, key: str, amount: str, bands: int = 7)
     return held.where(F.col(amount) > 0).groupBy(key, F.least(digits, F.lit(bands - 1)).alias("band")).agg(F.count(F.lit(1)).alias("holders"), F.sum(amount).alias("amount"))
 
 
+def top_holders(held: DataFrame, key: str, owner: str, amount: str) -> DataFrame:
+    """Amount of the first holder, the next nine and the rest per key (A27): only ten rows of a key are ever ranked in one place."""
+    some = held.where(F.col(amount) > 0)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(amount), owner))
+    best = some.withColumn("_n", place).where(F.col("_n") <= 10).groupBy(key).agg(
+        F.sum(F.when(F.col("_n") == 1, F.col(amount)).otherwise(0)).alias("top_1"), F.sum(F.when(F.col("_n") > 1, F.col(amount)).otherwise(0)).alias("next_9")
+    )
+    return some.groupBy(key).agg(F.sum(amount).alias("_all")).join(best, key).select(key, "top_1", "next_9", (F.col("_all") - F.col("top_1") - F.col("next_9")).alias("rest"))
+
+
 def count_of_counts(df: DataFrame, group: str, owner: str) -> DataFrame:
     """How many owners of a group hold n rows of it."""
     return df.groupBy(group, owner).agg(F.count(F.lit(1)).alias("held")).groupBy(group, "held").agg(F.count(F.lit(1)).alias("owners"))
@@ -217,16 +265,42 @@ def trait_distribution(traits: DataFrame, item: str, name: str, value: str) -> D
     return traits.select(item, name, value).distinct().groupBy(name, value).agg(F.count(F.lit(1)).alias("items"))
 
 
+def decoded_trait_distribution(items: DataFrame, traits: DataFrame, group: str, item: str, decoded: str, name: str, value: str) -> DataFrame:
+    """Items per trait value of each group, only for groups whose items are all decoded."""
+    whole = items.groupBy(group).agg(F.min(decoded).alias("_all")).where("_all").select(group)
+    known = items.select(group, item).join(whole, group)
+    return traits.select(item, name, value).distinct().join(known, item).groupBy(group, name, value).agg(F.count(F.lit(1)).alias("items"))
+
+
+def item_action(before_owner: str | Column, after_owner: str | Column, before_term: str | Column, after_term: str | Column, expired: Column) -> Column:
+    """mint, transfer, renew, update, recycle or burn of an item from its owner and term before and after, null where it doesn't exist."""
+    old, new = _c(before_owner), _c(after_owner)
+    return (
+        F.when(old.isNull(), "mint").when(new.isNull() & expired, "recycle").when(new.isNull(), "burn").when(old != new, "transfer").when(_c(after_term) > _c(before_term), "renew").otherwise("update")
+    )
+
+
+def collection_summary(items: DataFrame, holdings: DataFrame, collection: str, item: str, owner: str, tiers: dict[str, Column]) -> DataFrame:
+    """Items, live items (those that someone holds), owners and items of each tier per collection (A32); holdings has rows (item, owner)."""
+    counts = items.groupBy(collection).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(rule).alias(name) for name, rule in tiers.items()))
+    held = items.select(collection, item).join(holdings.select(item, owner), item)
+    live = held.select(collection, item).distinct().groupBy(collection).agg(F.count(F.lit(1)).alias("live"))
+    owners = held.select(collection, owner).distinct().groupBy(collection).agg(F.count(F.lit(1)).alias("owners"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return counts.join(live, collection, "left").join(owners, collection, "left").select(collection, "total", zero("live"), zero("owners"), *tiers)
+
+
 def actions_of(created: str | Column, consumed: str | Column) -> Column:
     """transfer, mint or burn from what a transaction creates and consumes."""
     return F.when(_c(created) & _c(consumed), "transfer").when(_c(created), "mint").when(_c(consumed), "burn")
 
 
-def script_usage(cells: DataFrame, roles: dict[str, str], live: str, capacity: str) -> DataFrame:
-    """Cells, live cells and live capacity per script and role (A34); each cell counts once for its lock and once for its type."""
+def script_usage(cells: DataFrame, roles: dict[str, str], live: str, capacity: str, occupied: str) -> DataFrame:
+    """Cells, live cells, and live capacity and occupied part per script and role (A34); each cell counts once for its lock and once for its type."""
     pairs = F.array(*(F.struct(F.lit(role).alias("role"), F.col(column).cast("string").alias("script")) for role, column in roles.items()))
-    used = cells.select(F.inline(pairs), live, capacity).where(F.col("script").isNotNull())
-    return used.groupBy("role", "script").agg(F.count(F.lit(1)).alias("cells"), F.count_if(live).alias("live_cells"), F.sum(F.when(F.col(live), F.col(capacity)).otherwise(0)).alias("live_capacity"))
+    used = cells.select(F.inline(pairs), live, capacity, occupied).where(F.col("script").isNotNull())
+    alive = lambda c: F.sum(F.when(F.col(live), F.col(c)).otherwise(0))
+    return used.groupBy("role", "script").agg(F.count(F.lit(1)).alias("cells"), F.count_if(live).alias("live_cells"), alive(capacity).alias("live_capacity"), alive(occupied).alias("live_occupied"))
 
 
 def block_fee_stats(txs: DataFrame, block: str, fee: str, size: str) -> DataFrame:
@@ -235,36 +309,62 @@ def block_fee_stats(txs: DataFrame, block: str, fee: str, size: str) -> DataFram
     return txs.groupBy(block).agg(F.count(F.lit(1)).alias("txs"), F.sum(size).alias("size"), F.min_by(F.struct(fee, size), rate).alias("least"), F.max_by(F.struct(fee, size), rate).alias("most"))
 
 
-def concentration(ranked: DataFrame, measure: str, position: str = "position", tops: tuple[int, ...] = (1, 10, 100)) -> DataFrame:
-    """Shares of the first n of a ranking in the whole, cut."""
-    sums = ranked.agg(F.sum(measure).alias("whole"), *(F.sum(F.when(F.col(position) <= n, F.col(measure)).otherwise(0)).alias(f"sum_{n}") for n in tops))
+def concentration(df: DataFrame, measure: str, key: str, tops: tuple[int, ...] = (1, 10, 100)) -> DataFrame:
+    """Shares of the n greatest in the whole, cut (A46); only the greatest of all tops are ranked."""
+    best = df.orderBy(F.desc(measure), key).limit(max(tops)).withColumn("_n", F.row_number().over(Window.orderBy(F.desc(measure), key)))
+    sums = best.agg(*(F.sum(F.when(F.col("_n") <= n, F.col(measure)).otherwise(0)).alias(f"sum_{n}") for n in tops)).join(df.agg(F.sum(measure).alias("whole")))
     return sums.select("whole", *(exact.ratio_cut(f"sum_{n}", "whole").alias(f"top_{n}") for n in tops))
 
 
-def savings_stats(deposits: DataFrame, capacity: str, owner: str, requested: str, completed: str) -> DataFrame:
-    """Deposited, waiting for withdrawal, counts and depositors."""
+def savings_stats(deposits: DataFrame, capacity: str, owner: str, requested: str, completed: str, age: str, gain: str) -> DataFrame:
+    """Deposited, waiting for withdrawal, counts, depositors, and average age and compensation of the active deposits.
+
+    age and gain are columns of each deposit at the time asked for; the average is cut.
+    """
     active, waiting = F.col(requested).isNull() & F.col(completed).isNull(), F.col(requested).isNotNull() & F.col(completed).isNull()
     return deposits.agg(
         F.sum(F.when(active, F.col(capacity)).otherwise(0)).alias("deposited"),
         F.sum(F.when(waiting, F.col(capacity)).otherwise(0)).alias("waiting"),
         F.count_if(active).alias("active_deposits"),
         F.count_distinct(F.when(active, F.col(owner))).alias("depositors"),
+        exact.int_div(F.sum(F.when(active, F.col(age))), F.nullif(F.count_if(active), F.lit(0))).alias("average_age"),
+        F.coalesce(F.sum(F.when(active, F.col(gain))), F.lit(0)).alias("compensation"),
     )
 
 
+def compensation_split(deposits: DataFrame, requested: str, completed: str, gain: str) -> DataFrame:
+    """Compensation that runs on (active), is fixed by a request (frozen), was paid out (claimed), and was not yet (unclaimed)."""
+    active, done = F.col(requested).isNull() & F.col(completed).isNull(), F.col(completed).isNotNull()
+    part = lambda rule: F.coalesce(F.sum(F.when(rule, F.col(gain))), F.lit(0))
+    return deposits.agg(part(active).alias("active"), part(~active & ~done).alias("frozen"), part(done).alias("claimed"), part(~done).alias("unclaimed"))
+
+
 def size_bands(value: str | Column, bounds: list[int]) -> Column:
     """Index of the band that a value falls in; bounds are the lower ends of the bands after the first."""
     return sum((F.when(_c(value) >= b, 1).otherwise(0) for b in bounds), F.lit(0))
 
 
-def channel_stats(channels: DataFrame, state: str, capacity: str, life: str) -> DataFrame:
-    """Counts and capacity by state, and the lower median life of closed ones."""
-    return channels.groupBy(state).agg(F.count(F.lit(1)).alias("channels"), F.sum(capacity).alias("capacity"), F.percentile_approx(life, 0.5, 1_000_000).alias("median_life"))
+def channel_stats(channels: DataFrame, state: str, token: str, capacity: str, life: str, short: int) -> DataFrame:
+    """Counts, capacity, lower median life (exact) and lives of at most `short`, by state and by (state, token).
+
+    Rows of a whole state have a null token. A channel that is still open has a null life.
+    """
+    median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{life}`)")
+    grouped = channels.rollup(state, token).agg(
+        F.count(F.lit(1)).alias("channels"), F.sum(capacity).alias("capacity"), median.alias("median_life"), F.count_if(F.col(life) <= short).alias("short_lives"), F.grouping_id().alias("_level")
+    )
+    return grouped.where("_level < 3").drop("_level")
 
 
 def pair_counts(df: DataFrame, a: str, b: str, measure: str, first: str) -> DataFrame:
-    """Counts, sum and first time per unordered pair."""
-    return df.groupBy(F.least(a, b).alias("one"), F.greatest(a, b).alias("two")).agg(F.count(F.lit(1)).alias("n"), F.sum(measure).alias("total"), F.min(first).alias("first"))
+    """Counts, sum, first and last time per unordered pair."""
+    return df.groupBy(F.least(a, b).alias("one"), F.greatest(a, b).alias("two")).agg(F.count(F.lit(1)).alias("n"), F.sum(measure).alias("total"), F.min(first).alias("first"), F.max(first).alias("last"))
+
+
+def party_counts(df: DataFrame, a: str, b: str, measure: str, time: str) -> DataFrame:
+    """Counts, sum, first and last time per party, on either end."""
+    ends = df.select(F.explode(F.array_distinct(F.array(a, b))).alias("party"), measure, time)
+    return ends.groupBy("party").agg(F.count(F.lit(1)).alias("n"), F.sum(measure).alias("total"), F.min(time).alias("first"), F.max(time).alias("last"))
 
 
 def distribution(df: DataFrame, label: str, flag: str) -> DataFrame:
@@ -289,10 +389,10 @@ def facts(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(time).alias("first"), F.max(time).alias("latest"), F.count(F.lit(1)).alias("n"))
 
 
-def pool_summary(pool: DataFrame, size: str, fee: str, arrived: str) -> DataFrame:
+def pool_summary(pool: DataFrame, size: str, fee: str, arrived: str, cycles: str) -> DataFrame:
     """Totals, fee-rate range and oldest arrival of all rows."""
     rate = exact.fee_rate(fee, size)
-    return pool.agg(F.count(F.lit(1)).alias("txs"), F.sum(size).alias("size"), F.min(rate).alias("least_rate"), F.max(rate).alias("most_rate"), F.min(arrived).alias("oldest"))
+    return pool.agg(F.count(F.lit(1)).alias("txs"), F.sum(size).alias("size"), F.sum(cycles).alias("cycles"), F.min(rate).alias("least_rate"), F.max(rate).alias("most_rate"), F.min(arrived).alias("oldest"))
 
 
 def group_by_host(df: DataFrame, url: str) -> DataFrame:

@@ -17,9 +17,9 @@ def register_detector(name: str, detector: Detector) -> None:
     _detectors[name] = detector
 
 
-def detect(legs: DataFrame) -> DataFrame:
-    """Union of all detectors' actions with the protocol's name."""
-    return reduce(lambda a, b: a.unionByName(b), (d(legs).withColumn("protocol", F.lit(n)) for n, d in sorted(_detectors.items())))
+def detect(legs: DataFrame, *protocols: str) -> DataFrame:
+    """Union of the detectors' actions with the protocol's name: of the named protocols, or of all."""
+    return reduce(lambda a, b: a.unionByName(b), (_detectors[n](legs).withColumn("protocol", F.lit(n)) for n in sorted(protocols or _detectors)))
 
 
 def flow_flags(legs: DataFrame, tx: str, side: str, **kinds: Column) -> DataFrame:

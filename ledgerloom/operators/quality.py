@@ -63,16 +63,23 @@ def missing_days(series: DataFrame, active: DataFrame, day: str) -> DataFrame:
     return _finding(active.select(day).distinct().join(series.select(day), day, "left_anti"), "missing_days", F.col(day), F.lit("a row"), F.lit(None))
 
 
-def ranks_complete(ranked: DataFrame, position: str) -> DataFrame:
-    """A ranking whose positions aren't 1..n (Q11)."""
-    found = ranked.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(position).alias("d"), F.min(position).alias("lo"), F.max(position).alias("hi"))
-    return _finding(found.where("n > 0 AND (n <> d OR lo <> 1 OR hi <> n)"), "ranks_complete", F.lit("ranking"), F.col("n"), F.col("d"))
+def ranks_complete(ranked: DataFrame, position: str, measure: str | None = None, whole: DataFrame | None = None) -> DataFrame:
+    """A ranking whose positions aren't 1..n, or whose measure doesn't sum to the whole (one value) (Q11)."""
+    n = F.count(F.lit(1))
+    distinct = ranked.groupBy(position).agg(n.alias("_times"), *([F.sum(measure).alias("_sum")] if measure else []))
+    found = distinct.agg(F.sum("_times").alias("n"), n.alias("d"), F.min(position).alias("lo"), F.max(position).alias("hi"), *([F.sum("_sum").alias("total")] if measure else []))
+    wrong = _finding(found.where("n > 0 AND (n <> d OR lo <> 1 OR hi <> n)"), "ranks_complete", F.lit("ranking"), F.concat(F.lit("1.."), "n"), F.concat(F.col("lo"), F.lit(".."), "hi"))
+    if not measure:
+        return wrong
+    off = found.join(whole.toDF("_whole")).where(~F.col("total").eqNullSafe(F.col("_whole")))
+    return wrong.union(_finding(off, "ranking_sum", F.lit("ranking"), F.col("_whole"), F.col("total")))
 
 
 def linked_ring(names: DataFrame, id_: str, next_: str) -> DataFrame:
     """Pointers that aren't the next id in ascending order, the last pointing to the first (Q16); no traversal.
 
-    The order is by id within ranges; the range borders are joined, so no task holds all ids.
+    Every id must be pointed to once, and every pointer but that of the last id must go up; together these leave one
+    ring in ascending order. Both are aggregates and joins on the id.
     """
     spread = names.select(F.col(id_).alias("_i"), F.col(next_).alias("_n"))
     ends = spread.agg(F.min("_i").alias("_first"), F.max("_i").alias("_last"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .series import positions
 
@@ -48,6 +49,24 @@ def top_n_with_rest(daily: DataFrame, day: str, label: str, measure: str, drawn:
     return named.groupBy(day, label).agg(F.sum(measure).alias(measure))
 
 
+def most_utilised(daily: DataFrame, day: str, label: str, measures: list[str], n: int = 20, drawn: int = 5, rest: str = "rest") -> DataFrame:
+    """For each measure, the n labels greatest on the last day with their rank, and daily series of the first drawn and the rest.
+
+    Rows: measure, part (top or drawn), day, label, rank (of the top) and value.
+    """
+    from functools import reduce
+
+    last = daily.agg(F.max(day).alias(day))
+    out = []
+    for m in measures:
+        best = daily.join(F.broadcast(last), day, "left_semi").orderBy(F.desc(m), label).limit(n)
+        ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(m), label)))  # n rows
+        series = top_n_with_rest(daily.select(day, label, m), day, label, m, drawn, rest)
+        out.append(ranked.select(F.lit(m).alias("measure"), F.lit("top").alias("part"), day, label, "rank", F.col(m).alias("value")))
+        out.append(series.select(F.lit(m).alias("measure"), F.lit("drawn").alias("part"), day, label, F.lit(None).cast("int").alias("rank"), F.col(m).alias("value")))
+    return reduce(lambda a, b: a.union(b), out)
+
+
 def pool_order(pool: DataFrame, fee: str, size: str, arrived: str, key: str) -> DataFrame:
     """By fee rate descending, arrival, key (L09): a decimal quotient with more digits than two sizes can differ by."""
     rate = (F.col(fee).cast("decimal(18,0)") * F.lit(1_000_000_000_000).cast("decimal(13,0)")).cast("decimal(38,0)") / F.col(size).cast("decimal(10,0)")

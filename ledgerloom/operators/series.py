@@ -65,8 +65,25 @@ def age_bands(cells: DataFrame, start: str, end: str, measure: str, bands: list[
     return state_over_time(held, "enter", "leave", ["band"], measure="measure")
 
 
+def all_positions(df: DataFrame, measure: str, key: str, path: str, name: str = "position") -> DataFrame:
+    """Places 1..n of all rows by measure descending, then key, without one task for all of them.
+
+    Rows are dealt into ranges of the order and written to a new folder, so that the ranges stay as they are; the
+    counts of the few ranges before it are what a range adds to the places inside it.
+    """
+    spark = df.sparkSession
+    order = [F.desc(measure), F.asc(key)]
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(spread, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(offsets, "_range").withColumn(name, inside + F.col("_before")).drop("_range", "_before")
+
+
 def positions(df: DataFrame, measure: str | Column, key: str, *by: str, name: str = "position") -> DataFrame:
-    """Places 1..n by measure descending, then key (W07); within `by` if given."""
+    """Places 1..n by measure descending, then key, within `by` (W07); without it for bounded tables only, such as a page."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(measure) if isinstance(measure, str) else measure.desc(), F.asc(key))))
 
 
@@ -86,6 +103,14 @@ def median_time(blocks: DataFrame, number: str, ms: str, n: int = 37) -> DataFra
     return blocks.join(gathered, number).withColumn("median_ms", F.element_at("_all", half + 1)).drop("_all")
 
 
+def become_positive(deltas: DataFrame, entity: str, day: str, delta: str) -> DataFrame:
+    """How many entities go from nothing to something by the end of each day."""
+    daily = deltas.groupBy(entity, day).agg(F.sum(delta).alias("_d"))
+    now = F.sum("_d").over(Window.partitionBy(entity).orderBy(day).rowsBetween(Window.unboundedPreceding, 0))
+    held = daily.withColumn("_now", now)
+    return held.where((F.col("_now") > 0) & (F.col("_now") - F.col("_d") <= 0)).groupBy(day).agg(F.count(F.lit(1)).alias("new"))
+
+
 def held_since(versions: DataFrame, item: str, order: str, owner: str) -> DataFrame:
     """First place of each item, its last owner, and since which place that owner has held it."""
     w = Window.partitionBy(item).orderBy(order)
@@ -100,11 +125,15 @@ def latest_of_day(points: DataFrame, keys: list[str], day: str, hour: str) -> Da
     return points.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, day).orderBy(F.desc(hour)))).where("_n = 1").drop("_n")
 
 
-def holders_over_time(deltas: DataFrame, party: str, day: str, delta: str) -> DataFrame:
-    """How many parties hold something at the end of every day on which that changes."""
+def holder_steps(deltas: DataFrame, party: str, day: str, delta: str) -> DataFrame:
+    """By how much the number of parties that hold something changes on each day with a delta."""
     daily = deltas.groupBy(party, day).agg(F.sum(delta).alias("_d"))
     w = Window.partitionBy(party).orderBy(day)
     held = daily.withColumn("_now", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     step = F.when((F.col("_now") > 0) & (F.col("_now") - F.col("_d") <= 0), 1).when((F.col("_now") <= 0) & (F.col("_now") - F.col("_d") > 0), -1).otherwise(0)
-    changes = held.groupBy(day).agg(F.sum(step).alias("_step"))
-    return changes.select(day, F.sum("_step").over(Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)).alias("holders"))
+    return held.groupBy(day).agg(F.sum(step).alias("step"))
+
+
+def holders_over_time(deltas: DataFrame, party: str, day: str, delta: str) -> DataFrame:
+    """How many parties hold something at the end of every day on which that may change."""
+    return holder_steps(deltas, party, day, delta).select(day, F.sum("step").over(Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)).alias("holders"))

@@ -48,7 +48,9 @@ def txs(spark: SparkSession, d: str) -> DataFrame:
 
 def outputs(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders")
-    return o.select(F.col("o_orderkey").alias("outpoint"), F.col("o_custkey").alias("party"), F.col("o_orderpriority").alias("type"), cents("o_totalprice").alias("capacity"), F.to_date("o_orderdate").alias("created_day"))
+    return o.select(F.col("o_orderkey").alias("outpoint"), F.col("o_custkey").alias("party"), F.col("o_orderpriority").alias("type"), cents("o_totalprice").alias("capacity"), F.to_date("o_orderdate").alias("created_day")).withColumns(
+        {"data_size": F.col("outpoint") % 40, "occupied": F.least("capacity", (F.lit(94) + F.length("type") + F.col("outpoint") % 40) * 1_000)}
+    )
 
 
 def inputs(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +68,7 @@ def legs(spark: SparkSession, d: str) -> DataFrame:
     return line.select(
         F.col("l_orderkey").alias("tx"), (F.col("l_partkey") % 50).alias("token"), F.col("l_suppkey").alias("party"), F.when(F.col("l_returnflag") == "R", "input").otherwise("output").alias("side"),
         F.col("l_quantity").cast("bigint").alias("amount"), F.col("l_partkey").alias("item"), F.to_date("l_shipdate").alias("day"), F.col("l_linenumber").alias("line"),
+        cents("l_extendedprice").alias("capacity"), (F.col("l_linenumber") * 10 + 41).cast("bigint").alias("occupied"),
     )
 
 
@@ -106,12 +109,14 @@ timed AS (SELECT *, lag(chain_ms) OVER (ORDER BY number) AS parent_ms, chain_ms
   DATE '1970-01-01' + CAST((chain_ms + 28800000) // 86400000 AS INTEGER) AS day, chain_ms // 3600000 AS hour FROM chained)""",
     "txs": """txs AS (SELECT event_id AS tx, event_id // 10 AS block, CAST(event_id % 10 AS INTEGER) AS tx_index, event_type AS kind, user_id AS party,
   CAST(round(value * 100) AS BIGINT) AS moved, (epoch_us(ts) // 1000) AS ts_ms, DATE '1970-01-01' + CAST(((epoch_us(ts) // 1000) + 28800000) // 86400000 AS INTEGER) AS day, (epoch_us(ts) // 1000) // 3600000 AS hour, props FROM events)""",
-    "outputs": """outputs AS (SELECT o_orderkey AS outpoint, o_custkey AS party, o_orderpriority AS type, CAST(round(o_totalprice * 100) AS BIGINT) AS capacity, CAST(o_orderdate AS DATE) AS created_day FROM orders)""",
+    "outputs": """outputs AS (SELECT o_orderkey AS outpoint, o_custkey AS party, o_orderpriority AS type, CAST(round(o_totalprice * 100) AS BIGINT) AS capacity, CAST(o_orderdate AS DATE) AS created_day,
+  o_orderkey % 40 AS data_size, CAST(least(CAST(round(o_totalprice * 100) AS BIGINT), (94 + length(o_orderpriority) + o_orderkey % 40) * 1000) AS BIGINT) AS occupied FROM orders)""",
     "inputs": """inputs AS (SELECT l_orderkey AS outpoint, CAST(min(l_shipdate) AS DATE) AS consumed_day, CAST(max(l_shipdate) AS DATE) AS complete_day
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate GROUP BY l_orderkey)""",
     "cells": """cells AS (SELECT o.*, i.consumed_day, i.complete_day FROM outputs o LEFT JOIN inputs i USING (outpoint))""",
     "legs": """legs AS (SELECT l_orderkey AS tx, l_partkey % 50 AS token, l_suppkey AS party, CASE WHEN l_returnflag = 'R' THEN 'input' ELSE 'output' END AS side,
-  CAST(l_quantity AS BIGINT) AS amount, l_partkey AS item, CAST(l_shipdate AS DATE) AS day, l_linenumber AS line FROM lineitem)""",
+  CAST(l_quantity AS BIGINT) AS amount, l_partkey AS item, CAST(l_shipdate AS DATE) AS day, l_linenumber AS line,
+  CAST(round(l_extendedprice * 100) AS BIGINT) AS capacity, CAST(l_linenumber * 10 + 41 AS BIGINT) AS occupied FROM lineitem)""",
     "deposits": """deposits AS (SELECT outpoint, party, capacity, created_day AS deposit_day, consumed_day AS request_day, CASE WHEN complete_day > consumed_day THEN complete_day END AS complete_day FROM cells)""",
     "rates": """rates AS (SELECT created_day AS day, CAST(10000000000 + sum(count(*)) OVER (ORDER BY created_day ROWS UNBOUNDED PRECEDING) * 1000 AS BIGINT) AS ar FROM outputs GROUP BY created_day)""",
     "peers": """peers AS (SELECT c_custkey AS node, c_mktsegment AS version, n_name AS country, n_regionkey AS region, c_acctbal > 0 AS reachable, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey)""",

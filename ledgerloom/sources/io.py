@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 BLOCKS = T.StructType([T.StructField(n, t) for n, t in (("number", T.LongType()), ("hash", T.StringType()), ("parent_hash", T.StringType()), ("ts_ms", T.LongType()), ("epoch", T.LongType()))])
 #: Width of the block ranges that event tables are partitioned by.
@@ -78,10 +79,20 @@ def export_entity_history(ids: DataFrame, key: str, tables: dict[str, DataFrame]
         df.join(ids.select(key), key, "left_semi").write.mode("overwrite").format(format).save(f"{path}/{name}")
 
 
-def latency_summary(samples: DataFrame, by: str, ms: str, failed: str) -> DataFrame:
-    """Count, error rate and exact p50, p95, p99 per endpoint."""
+def entity_series(events: DataFrame, key: str, day: str, measure: str, anchor: DataFrame) -> DataFrame:
+    """Daily rows of each entity up to an anchor day (one value): delta, the state before and after, the state at the anchor, and
+    whether the day is over there (S09, Q09)."""
+    daily = events.join(F.broadcast(anchor.toDF("_anchor"))).where(F.col(day) <= F.col("_anchor")).groupBy(key, day, "_anchor").agg(F.sum(measure).alias("delta"))
+    own = Window.partitionBy(key)
+    after = F.sum("delta").over(own.orderBy(day).rowsBetween(Window.unboundedPreceding, 0))
+    return daily.select(key, day, "delta", (after - F.col("delta")).alias("before"), after.alias("after"), F.sum("delta").over(own).alias("current"), (F.col(day) < F.col("_anchor")).alias("complete"))
+
+
+def latency_summary(samples: DataFrame, by: str, ms: str, failed: str, at_ms: str | None = None) -> DataFrame:
+    """Count, error rate, exact p50, p95, p99, and samples a second from the first to the last (where times are given) per endpoint."""
     p = lambda q: F.percentile(ms, q)
-    return samples.groupBy(by).agg(F.count(F.lit(1)).alias("n"), (F.count_if(failed) / F.count(F.lit(1))).alias("error_rate"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    rate = [(F.count(F.lit(1)) * 1000 / F.nullif(F.max(at_ms) - F.min(at_ms), F.lit(0))).alias("throughput")] if at_ms else []
+    return samples.groupBy(by).agg(F.count(F.lit(1)).alias("n"), (F.count_if(failed) / F.count(F.lit(1))).alias("error_rate"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), *rate)
 
 
 def compare_summaries(base: DataFrame, current: DataFrame, by: str, slower: float = 0.2, faster: float = 0.1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.window import Window
@@ -14,26 +14,80 @@ from pyspark.sql.window import Window
 DEEPEST = 36
 
 
-def stream_ledger(source: DataFrame, derive: Callable[[DataFrame], dict[str, DataFrame]], path: str, checkpoint: str) -> DataStreamWriter:
+_MARKS = "batch long, tip long, fork long"
+
+
+def _marks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_MARKS).parquet(f"{path}/_commits")
+
+
+def stream_ledger(source: DataFrame, derive: Callable[[DataFrame], dict[str, DataFrame]], path: str, checkpoint: str, block: str | None = None) -> DataStreamWriter:
     """Derived tables of every micro-batch, written under the batch's number so that a repeated batch replaces itself.
 
-    The commit marker is the last write; readers take committed batches only (read_committed()).
+    The commit marker is the last write; readers take committed batches only (read_committed()). With a block column,
+    blocks come in order, and one at or below the tip so far is a switch: the marker says from which fork, rows of earlier
+    batches above it don't count any more, and the batch's own are the new branch (T08). A switch below DEEPEST blocks
+    stops the stream.
     """
 
     def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
         df.persist()
+        tip = fork = None
+        if block:
+            low, tip = df.agg(F.min(block), F.max(block)).first()
+            before = _marks(spark, path).where((F.col("batch") < number) & F.col("tip").isNotNull()).agg(F.max_by("tip", "batch")).first()[0] if number else None
+            if tip is None:
+                tip = before
+            elif before is not None and low <= before:
+                fork = low - 1
+                _reachable(before, fork)
         for name, table in derive(df).items():
             table.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-        df.sparkSession.range(1).select(F.lit(number).alias("committed")).write.mode("overwrite").parquet(f"{path}/_commits/batch={number}")
+        mark = spark.range(1).select(F.lit(tip).cast("long").alias("tip"), F.lit(fork).cast("long").alias("fork"))
+        mark.write.mode("overwrite").parquet(f"{path}/_commits/batch={number}")
         df.unpersist()
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
-def read_committed(spark, path: str, name: str) -> DataFrame:
-    """The rows of a derived table from committed batches."""
-    done = spark.read.parquet(f"{path}/_commits").select("batch").distinct()
-    return spark.read.parquet(f"{path}/{name}").join(done, "batch", "left_semi").drop("batch")
+def _reachable(tip: int, fork: int) -> None:
+    if tip - fork > DEEPEST:
+        raise ValueError(f"a switch from block {tip} to a fork at {fork} is deeper than {DEEPEST} blocks")
+
+
+def read_committed(spark: SparkSession, path: str, name: str, block: str | None = None) -> DataFrame:
+    """The rows of a derived table from committed batches; with a block column, without what later switches took back."""
+    marks = _marks(spark, path).select("batch", "fork")
+    later = Window.orderBy("batch").rowsBetween(1, Window.unboundedFollowing)  # one row a batch
+    limits = marks.select("batch", F.min("fork").over(later).alias("_limit"))
+    rows = spark.read.parquet(f"{path}/{name}").join(limits, "batch")
+    return (rows.where(F.col("_limit").isNull() | (F.col(block) <= F.col("_limit"))) if block else rows).drop("batch", "_limit")
+
+
+def switches(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, fork, tip) of the switches that a stream has seen."""
+    return _marks(spark, path).where(F.col("fork").isNotNull())
+
+
+def run_parts(parts: list[DataFrame], derive: Callable[[DataFrame], dict[str, DataFrame]], folder: str, block: str | None = None) -> str:
+    """Feed parts of a ledger to a stream one after the other, as files that arrive later, and give the folder of what it derived."""
+    spark = parts[0].sparkSession
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
+        stream_ledger(source, derive, f"{folder}/out", f"{folder}/checkpoint", block).trigger(availableNow=True).start().awaitTermination()
+    return f"{folder}/out"
+
+
+def stream_state(source: DataFrame, agg: "IncrementalAgg", path: str, checkpoint: str) -> DataStreamWriter:
+    """An incremental aggregate kept by a stream (T04): each batch adds its deltas per (keys, block) and rewrites nothing."""
+    return stream_ledger(source, lambda df: {agg.name: agg.rebuild(df)}, path, checkpoint, agg.block)
+
+
+def kept_state(spark: SparkSession, path: str, agg: "IncrementalAgg") -> DataFrame:
+    """What stream_state() has kept, after switches; agg.current() sums it."""
+    return read_committed(spark, path, agg.name, agg.block)
 
 
 def stream_buckets(stream: DataFrame, ts: str, length: str, offset: str = "0 seconds", late: str = "0 seconds", keys: list[str] | None = None, **measures: Column) -> DataFrame:
@@ -77,8 +131,11 @@ class IncrementalAgg:
         return folded.groupBy(*self.keys, self.block).agg(*(F.sum(m).alias(m) for m in self.measures))
 
     def roll_back(self, state: DataFrame, fork: int) -> DataFrame:
-        """State without the blocks above the fork."""
-        return state.where(F.col(self.block).isNull() | (F.col(self.block) <= fork))
+        """State without the blocks above the fork (T08); a fork more than DEEPEST blocks below the tip is an error."""
+        tip = state.agg(F.max(self.block).alias("_tip"))
+        stop = F.raise_error(F.lit(f"a fork at {fork} is deeper than {DEEPEST} blocks")).cast("boolean")
+        stays = F.col(self.block).isNull() | (F.col(self.block) <= fork)
+        return state.join(F.broadcast(tip)).where(F.when(F.lit(fork) < F.col("_tip") - DEEPEST, stop).otherwise(stays)).drop("_tip")
 
     def current(self, state: DataFrame) -> DataFrame:
         return state.groupBy(*self.keys).agg(*(F.sum(m).alias(m) for m in self.measures))
@@ -102,31 +159,58 @@ def stream_distinct(stream: DataFrame, ts: str, party: str, length: str, late: s
 
 
 def detect_switch(new: DataFrame, stored: DataFrame, number: str = "number", hash_: str = "hash") -> DataFrame:
-    """The highest height at which both chains agree among the last DEEPEST, and the first that differs."""
+    """The highest height at which both chains agree among the last DEEPEST, and the first that differs.
+
+    Chains that differ and agree nowhere there are an error: the switch is deeper.
+    """
     tip = stored.agg(F.max(number).alias("_tip"))
     recent = stored.join(F.broadcast(tip)).where(F.col(number) > F.col("_tip") - DEEPEST).select(number, F.col(hash_).alias("_old"))
     both = new.select(number, F.col(hash_).alias("_new")).join(recent, number)
     same = F.col("_old") == F.col("_new")
-    return both.agg(F.max(F.when(same, F.col(number))).alias("fork"), F.min(F.when(~same, F.col(number))).alias("first_orphan"))
+    found = both.agg(F.max(F.when(same, F.col(number))).alias("fork"), F.min(F.when(~same, F.col(number))).alias("first_orphan"))
+    stop = F.raise_error(F.lit(f"a switch deeper than {DEEPEST} blocks")).cast("bigint")
+    return found.withColumn("fork", F.when(F.col("fork").isNull() & F.col("first_orphan").isNotNull(), stop).otherwise(F.col("fork")))
 
 
-def rollback(tables: dict[str, DataFrame], fork: int, number: str = "number") -> dict[str, DataFrame]:
-    """Every table without rows above the fork."""
+def rollback(tables: dict[str, DataFrame], fork: int, number: str = "number", tip: int | None = None) -> dict[str, DataFrame]:
+    """Every table without rows above the fork (T08); with the tip given, a fork too deep below it is an error."""
+    if tip is not None:
+        _reachable(tip, fork)
     return {name: df.where(F.col(number) <= fork) for name, df in tables.items()}
 
 
-def canonical(blocks: DataFrame, number: str = "number", hash_: str = "hash", parent: str = "parent_hash", depth: int = DEEPEST) -> DataFrame:
-    """All blocks with canonical true for the heaviest tip's chain (T09): the walk goes down depth blocks, below them heights are single."""
-    tip = blocks.orderBy(F.desc(number), hash_).limit(1).select(number, hash_, parent).first()
-    chosen = []
-    recent = blocks.where(F.col(number) > tip[number] - depth).select(number, hash_, parent)
-    walk = {r[hash_]: r for r in recent.collect()}  # the blocks of a few heights
-    here = tip[hash_]
-    while here in walk:
-        chosen.append(here)
-        here = walk[here][parent]
-    deep = F.col(number) <= tip[number] - depth
-    return blocks.withColumn("canonical", deep | F.col(hash_).isin(chosen))
+def canonical(blocks: DataFrame, path: str, number: str = "number", hash_: str = "hash", parent: str = "parent_hash", weight: str | None = None, settled: str | None = None, depth: int = DEEPEST) -> DataFrame:
+    """All blocks with canonical true for the chain of the heaviest tip (T09); of equal weights the higher block, then the smaller hash.
+
+    Weights are added up along parents over the last `depth` heights by doubling: a few joins of the blocks of those
+    heights with themselves, each written to the given folder. Deeper heights are settled: their flag is the column
+    `settled`, or, without it, they have one block each, else it is an error.
+    """
+    spark = blocks.sparkSession
+    tip = blocks.agg(F.max(number).alias("_tip"))
+    placed = blocks.join(F.broadcast(tip))
+    deep = F.col(number) <= F.col("_tip") - depth
+    if settled is None and not placed.where(deep).groupBy(number).count().where("count > 1").isEmpty():
+        raise ValueError(f"several blocks of one height more than {depth} below the tip need a settled flag")
+    recent = placed.where(~deep).select(F.col(hash_).alias("_h"), F.col(parent).alias("_p"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"), F.col(number).alias("_n"))
+    above = recent.select(F.col("_h").alias("_p"), F.col("_h").alias("_up"))
+    steps, reach = [], 1
+    now = recent.join(above, "_p", "left").select("_h", "_n", "_w", "_up")
+    while True:
+        now.write.mode("overwrite").parquet(f"{path}/{reach}")
+        now = spark.read.parquet(f"{path}/{reach}")
+        steps.append(now)
+        if reach >= depth:
+            break
+        further = now.select(F.col("_h").alias("_up"), F.col("_up").alias("_up2"), F.col("_w").alias("_w2"))
+        now = now.join(further, "_up", "left").select("_h", "_n", (F.col("_w") + F.coalesce("_w2", F.lit(0))).alias("_w"), F.col("_up2").alias("_up"))
+        reach *= 2
+    chain = steps[-1].orderBy(F.desc("_w"), F.desc("_n"), "_h").limit(1).select("_h")
+    for step in steps:
+        chain = chain.union(chain.join(step, "_h").where(F.col("_up").isNotNull()).select(F.col("_up").alias("_h")))
+    found = placed.join(chain.select(F.col("_h").alias(hash_), F.lit(True).alias("_on")), hash_, "left")
+    flag = F.when(deep, F.col(settled) if settled else F.lit(True)).otherwise(F.coalesce("_on", F.lit(False)))
+    return found.withColumn("canonical", flag).select(*(c for c in blocks.columns if c != "canonical"), "canonical")
 
 
 def switch_events(events: DataFrame, old_tip: str, new_tip: str, key: str) -> DataFrame:

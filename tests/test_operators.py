@@ -89,7 +89,7 @@ def test_detectors(spark):
     legs = spark.createDataFrame([(1, "input"), (2, "output"), (2, "input")], "tx long, side string")
     protocol.register_detector("seen", lambda d: d.select("tx", F.lit("seen").alias("action")).distinct())
     protocol.register_detector("spent", lambda d: d.where("side = 'input'").select("tx", F.lit("spent").alias("action")))
-    assert sorted((r.protocol, r.tx) for r in protocol.detect(legs).collect()) == [("seen", 1), ("seen", 2), ("spent", 1), ("spent", 2)]
+    assert sorted((r.protocol, r.tx) for r in protocol.detect(legs, "seen", "spent").collect()) == [("seen", 1), ("seen", 2), ("spent", 1), ("spent", 2)]
 
 
 def test_checks(spark):
@@ -147,14 +147,71 @@ def test_rollback_equals_direct(spark):
     assert rows(agg.current(state), "k") == rows(agg.current(agg.rebuild(direct)), "k") and agg.verify(state, direct).count() == 0
 
 
-def test_canonical_and_switches(spark):
+def test_canonical_and_switches(spark, tmp_path):
     blocks = spark.createDataFrame([(1, "a", "-"), (2, "b", "a"), (2, "x", "a"), (3, "c", "b"), (4, "d", "c"), (3, "y", "x")], "number long, hash string, parent_hash string")
-    got = streams.canonical(blocks, depth=4)
+    got = streams.canonical(blocks, str(tmp_path / "a"), depth=4)
     assert {r.hash for r in got.where("canonical").collect()} == {"a", "b", "c", "d"}
+    heavy = blocks.withColumn("work", F.when(F.col("hash").isin("x", "y"), 10).otherwise(1))
+    assert {r.hash for r in streams.canonical(heavy, str(tmp_path / "b"), weight="work").where("canonical").collect()} == {"a", "x", "y"}
+    long = spark.createDataFrame([(n, f"h{n}", f"h{n - 1}") for n in range(90)] + [(n, f"x{n}", f"x{n - 1}" if n > 60 else "h59") for n in range(60, 95)], blocks.schema)
+    found = {r.hash: r.canonical for r in streams.canonical(long, str(tmp_path / "c")).collect()}
+    assert all(found[f"h{n}"] == (n < 60) for n in range(90)) and all(found[f"x{n}"] for n in range(60, 95))
+    assert streams.canonical(blocks.limit(0), str(tmp_path / "d")).count() == 0
+    forked = long.union(spark.createDataFrame([(5, "old", "h4")], blocks.schema))
+    with pytest.raises(ValueError, match="settled"):
+        streams.canonical(forked, str(tmp_path / "e"))
+    told = forked.withColumn("flag", F.col("hash") != "old")
+    assert not {r.hash: r.canonical for r in streams.canonical(told, str(tmp_path / "f"), settled="flag").collect()}["old"]
     events = spark.createDataFrame([(1, "p", "q"), (2, "q", "p"), (3, "r", "s")], "key long, old_tip string, new_tip string")
     assert {r.key: r.reversed_by for r in streams.switch_events(events, "old_tip", "new_tip", "key").collect()} == {1: 2, 2: None, 3: None}
 
 
+def test_switches_deeper_than_36_blocks_stop(spark, tmp_path):
+    agg = streams.IncrementalAgg("sums", lambda t: t.select("k", "block", "v"), ["k"], ["v"])
+    old = spark.createDataFrame([(1, b, 1) for b in range(100)], "k long, block long, v long")
+    state = agg.apply(agg.rebuild(old.where("block < 50")), old.where("block >= 50"))
+    assert rows(agg.current(agg.roll_back(state, 63))) == [(1, 64)]
+    with pytest.raises(Exception, match="deeper than 36"):
+        agg.roll_back(state, 20).collect()
+    with pytest.raises(ValueError, match="deeper than 36"):
+        streams.rollback({"x": old}, 20, "block", 99)
+    chain = spark.createDataFrame([(b, f"h{b}") for b in range(100)], "number long, hash string")
+    other = chain.withColumn("hash", F.when(F.col("number") > 50, "x").otherwise(F.col("hash")))
+    with pytest.raises(Exception, match="deeper than 36"):
+        streams.detect_switch(other, chain).collect()
+    assert rows(streams.detect_switch(chain.withColumn("hash", F.when(F.col("number") > 90, "x").otherwise(F.col("hash"))), chain)) == [(90, 91)]
+
+
+def test_a_stream_takes_back_a_switch_and_stops_at_a_deep_one(spark, tmp_path):
+    rows_of = lambda blocks, v: spark.createDataFrame([(b, b % 3, v) for b in blocks], "block long, party long, v long")
+    derive = lambda df: {"sums": df.groupBy("party", "block").agg(F.sum("v").alias("v"))}
+    parts = [rows_of(range(50), 1), rows_of(range(50, 60), 1), rows_of(range(55, 62), 10), rows_of(range(58, 64), 100)]
+    folder = streams.run_parts(parts, derive, str(tmp_path / "s"), "block")
+    kept = {r.block: r.v for r in streams.read_committed(spark, folder, "sums", "block").collect()}
+    assert kept == {b: 1 if b < 55 else 10 if b < 58 else 100 for b in range(64)}
+    assert rows(streams.switches(spark, folder).select("fork", "tip"), "tip") == [(54, 61), (57, 63)]
+    with pytest.raises(Exception, match="deeper than 36"):
+        streams.run_parts([rows_of(range(5, 70), 5)], derive, str(tmp_path / "s"), "block")
+    assert {r.block: r.v for r in streams.read_committed(spark, folder, "sums", "block").collect()} == kept
+
+
+def test_prefix_parties(spark):
+    short = spark.createDataFrame([("aa",), ("bb",), ("cc",)], "p string")
+    full = spark.createDataFrame([("aa1",), ("bb1",), ("bb2",)], "o string")
+    assert rows(joins.merge_prefix_parties(short, full, "p", "o", 2, strict=False), "p") == [("aa", 1, "aa1", "merged"), ("bb", 2, None, "ambiguous"), ("cc", 0, None, "alone")]
+    with pytest.raises(Exception, match="fits several"):
+        joins.merge_prefix_parties(short, full, "p", "o", 2).collect()
+
+
+def test_places_over_ranges(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    data = [(k, rng.choice([1, 5, 5, 5, 9])) for k in range(200)]
+    got = rows(series.all_positions(spark.createDataFrame(data, "k long, m long"), "m", "k", str(tmp_path / "p")).select("position", "k"), "position")
+    assert got == [(n + 1, k) for n, (_, k) in enumerate(sorted((-m, k) for k, m in data))]
+
+
 def stream_of(spark, tmp_path, parts, schema):
     for k, part in enumerate(parts):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
