@@ -48,12 +48,12 @@ def weak_candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[
     if not out and not any(kind == 1 for *_, kind in taken):
         return []
     held = sorted((a, b) for a, b, _ in taken + out)
-    starts = [a for a, _ in held]
+    starts, furthest = [a for a, _ in held], list(accumulate((b for _, b in held), max))
     for m in MIXED.finditer(text):
         word = m.group()
         if any(c.isdigit() for c in word) and any(c.isupper() for c in word) and any(c.islower() for c in word):
             k = bisect_left(starts, m.end())
-            if not (k and held[k - 1][1] > m.start()):
+            if not (k and furthest[k - 1] > m.start()):
                 out.append((m.start(), m.end(), 5))
     return out
 

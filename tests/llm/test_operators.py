@@ -301,6 +301,73 @@ def test_alignment_is_the_best_in_the_band():
             assert 0 <= first <= last < len(b) and 2 * matched >= max(score.values())
 
 
+@pytest.mark.parametrize("name", ["mit", "bsd-3-clause", "zlib", "isc", "unlicense-whole"])
+def test_whole_license_texts_with_changes(spark, name):
+    rng = random.Random(name)
+    words = re.findall(r"[A-Za-z0-9]+", licenses.TEMPLATES[name])
+    before, after = [f"p{rng.randrange(99)}" for _ in range(300)], [f"q{rng.randrange(99)}" for _ in range(300)]
+    own = list(words)
+    for k in sorted(rng.sample(range(5, len(own) - 5), 5), reverse=True):  # some words changed, one lost, one more
+        own[k] = "zzz"
+    del own[20]
+    own.insert(60, "extra")
+    text = " ".join(before) + " " + " ".join(own) + "! " + " ".join(after)
+    rows = spark.createDataFrame([(1, text), (2, " ".join(before + words[: len(words) // 2] + after))], "doc_id long, text string")
+    got = [r for r in licenses.find_licenses(rows).collect() if r.license == name]
+    assert len(got) == 1 and got[0].doc_id == 1
+    assert text[got[0].start : got[0].end] == " ".join(own)
+    left = Counter(own)
+    assert len(words) - 6 <= got[0].n_matched <= sum(min(n, left[w]) for w, n in Counter(words).items()) and got[0].coverage == got[0].n_matched / len(words)
+
+
+def test_every_place_of_a_template_is_found(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(40)]
+    table = {f"t{k}": " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 14))) for k in range(12)}
+    rows, want = [], Counter()
+    for i in range(60):
+        words, spans = [f"x{rng.randrange(500)}" for _ in range(rng.randint(0, 40))], []
+        for _ in range(rng.randint(0, 3)):
+            name = rng.choice(sorted(table))
+            spans.append((name, len(words), len(words) + len(table[name].split())))
+            words += table[name].split() + [f"y{k}" for k in range(30)]
+        rows.append((i, " ".join(words)))
+        at = np.cumsum([0, *(len(w) + 1 for w in words)])
+        want.update((i, name, int(at[a]), int(at[b]) - 1) for name, a, b in spans)
+    templates = spark.createDataFrame([*table.items(), (None, "x"), ("none", None)], "license string, text string")
+    found = licenses.find_licenses(docs_of(spark, rows), templates, coverage=1.0).collect()
+    assert not want - Counter((r.doc_id, r.license, r.start, r.end) for r in found)
+    for r in found:  # what else is found holds all words in their order
+        rest = iter(rows[r.doc_id][1][r.start : r.end].split())
+        assert r.n_matched == len(table[r.license].split()) and all(w in rest for w in table[r.license].split())
+
+
+def test_secrets_against_plain_searches(spark):
+    rng = random.Random(12)
+    bits = ["password", "Secret", "token", "api_key", "=", ": ", '"', " ", "\n", "AKIA", "Z9Z9Z9Z9Z9Z9", "0123abcd" * 4, "hunter2hunter2", "é", "user=bob", "https://a.example/path", "qZ7xK2mN9pR4sT6vW8yB", "x " * 130]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for i in range(400)]
+    docs = docs_of(spark, rows).withColumn("spans", F.lit("s")).withColumn("n_hex", F.lit(1)).withColumn("base_sha256", F.lit(2))
+    got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    for i, text in rows:
+        base = [(m.start(), m.end(), "assign") for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+        base += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        base += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        order = {"assign": 0, "access": 1, "hex": 2}
+        joined = ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(base, key=lambda s: (s[0], order[s[2]])))
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == kind for *_, k in base) for kind in order)
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in got[i].spans.split(",") if s)]
+        assert [s for s in spans if s[0] in order] == [(k, a, b) for a, b, k in sorted(base, key=lambda s: (s[0], order[s[2]]))]
+        kinds = secrets.weak_candidates(text, secrets.base_spans(text))
+        near = lambda p, q: p[0] <= q[1] + secrets.REACH and q[0] <= p[1] + secrets.REACH
+        parts = [(a, b, secrets.ORDER[k]) for a, b, k in kinds] + base
+        for a, b, k in kinds:  # every pair of parts, one by one
+            other = ("access", "id", "endpoint") if secrets.ORDER[k] == "weak" else ("assign", "hex", "weak")
+            assert ((secrets.ORDER[k], a, b) in spans) == any(near((a, b), p) for p in parts if p[2] in other)
+    same = secrets.mask_secrets(docs)
+    assert same.columns == docs.columns and same.where("spans <> 's' OR n_hex <> 1").count() == 0
+
+
 def test_secrets(spark):
     key = "AKIA" + "A1" * 8
     text = f'é password = "hunter2hunter2" token:abc {key} {"0f" * 16} user=alice\nqZ7xK2mN9pR4sT6vW8yB https://db.example/x'
