@@ -31,8 +31,8 @@ BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 _LONGS = SKETCH_BITS // 64
-#: Members of a family in one block, about.
-BLOCK = 1024
+#: Members of a family in one block, and shingles of all of them, about.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 _TIMES = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -204,10 +204,11 @@ def family_links(families: DataFrame, sketch: DataFrame, documents: DataFrame, n
     """The confirmed links between components inside each family (rows: family, doc_id, component)."""
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
-    parts = families.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = parts.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main")).where(F.col("main.n") < F.col("n"))
+    parts = families.join(sketch.select("doc_id", "n_shingles"), "doc_id").groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    sizes = parts.groupBy("family").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "component", "s")).alias("main")).where(F.col("main.n") < F.col("n"))
     # members of the largest component meet only blocks of the others
-    few, many = F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int"), F.ceil(F.col("main.n") / BLOCK).cast("int")
+    blocks_of = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    few, many = blocks_of(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")), blocks_of(F.col("main.n"), F.col("main.s"))
     members = families.join(sizes.select("family", F.col("main.component").alias("main"), few.alias("few"), many.alias("many")), "family")
     spot, main = F.xxhash64("doc_id"), F.col("component") == F.col("main")
     block = F.when(main, F.col("few") + F.pmod(spot, F.col("many"))).otherwise(F.pmod(spot, F.col("few"))).cast("int")
@@ -240,7 +241,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     bands = first.select("doc_id", F.explode("bands").alias("key")).distinct()
     shared = bands.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where(F.col("center") < F.col("last"))
     crowded = cut(bands.join(shared.select("key", "center"), "key"))
-    sketch = cut(first.join(crowded.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", *_sketch_columns()).dropDuplicates(["doc_id"]))
+    sketch = cut(first.join(crowded.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", *_sketch_columns()).dropDuplicates(["doc_id"]))
     left = sketch.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"p{k}") for k, c in enumerate(_sketch_columns())))
     right = sketch.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"q{k}") for k, c in enumerate(_sketch_columns())))
     limit = sketch_limit(percent / 100)
