@@ -116,19 +116,19 @@ def match_transfers(legs: DataFrame, tx: str, token: str, party: str, delta: str
     The greedy pairing equals the overlap of both sides' cumulative intervals. The starts of all intervals, put in one
     order, cut the line into stretches that have one sender and one receiver each, carried forward from the last start
     of their side; so the work is linear in the parties of a (tx, token). Rows: tx, token, sender, receiver, amount;
-    sender null is a mint, receiver null a burn.
+    sender null is a mint, receiver null a burn. Legs are dealt by (tx, token) once, for all steps.
     """
-    net = legs.groupBy(tx, token, party).agg(F.sum(delta).alias("_net")).where(F.col("_net") != 0)
-    order = Window.partitionBy(tx, token, F.col("_net") > 0).orderBy(party).rowsBetween(Window.unboundedPreceding, 0)
-    placed = net.withColumn("_hi", F.sum(F.abs("_net")).over(order)).withColumn("_lo", F.col("_hi") - F.abs("_net"))
+    net = legs.select(tx, token, party, delta).repartition(tx, token).groupBy(tx, token, party).agg(F.sum(delta).alias("_net")).where(F.col("_net") != 0)
+    order = Window.partitionBy(tx, token, F.col("_net") > 0).orderBy(party)
+    hi = F.sum(F.abs("_net")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = net.withColumns({"_hi": hi, "_end": F.lead(party).over(order).isNull()}).withColumn("_lo", F.col("_hi") - F.abs("_net"))
     kind = legs.schema[party].dataType
     nobody = F.lit(None).cast(kind)
     side = lambda rule, p: F.when(rule, F.struct(p.alias("p")))
     sends, gets = F.col("_net") < 0, F.col("_net") > 0
-    starts = placed.select(tx, token, F.col("_lo").alias("_at"), side(sends, F.col(party)).alias("_s"), side(gets, F.col(party)).alias("_r"))
-    ends = placed.groupBy(tx, token, gets.alias("_gets")).agg(F.max("_hi").alias("_at"))
-    ends = ends.select(tx, token, "_at", side(~F.col("_gets"), nobody).alias("_s"), side(F.col("_gets"), nobody).alias("_r"))
-    points = starts.union(ends).groupBy(tx, token, "_at").agg(F.max("_s").alias("_s"), F.max("_r").alias("_r"))
+    point = lambda at, who: F.struct(F.col(at).alias("_at"), side(sends, who).alias("_s"), side(gets, who).alias("_r"))
+    points = placed.select(tx, token, F.inline(F.array_compact(F.array(point("_lo", F.col(party)), F.when(F.col("_end"), point("_hi", nobody))))))
+    points = points.groupBy(tx, token, "_at").agg(F.max("_s").alias("_s"), F.max("_r").alias("_r"))
     along = Window.partitionBy(tx, token).orderBy("_at")
     so_far = along.rowsBetween(Window.unboundedPreceding, 0)
     cut = points.select(tx, token, F.last("_s", True).over(so_far)["p"].alias("sender"), F.last("_r", True).over(so_far)["p"].alias("receiver"), (F.lead("_at").over(along) - F.col("_at")).alias("amount"))

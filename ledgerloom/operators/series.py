@@ -41,13 +41,12 @@ def zero_fill(df: DataFrame, keys: list[str], day: str, *columns: str, last: Dat
 def state_over_time(df: DataFrame, start: str, end: str, keys: list[str], **measures: str | Column) -> DataFrame:
     """Sum of each measure over the rows alive at the end of every day on which it changes.
 
-    Rows become signed events at their start and end, events are summed to (key, day), and only that small
-    table is ordered; rows never meet days.
+    Each row becomes a signed event at its start and one at its end in a single pass, events are summed to (key, day),
+    and only that small table is ordered; rows never meet days.
     """
     named = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), *(( F.col(m) if isinstance(m, str) else m).alias(n) for n, m in measures.items()))
-    plus = named.select(*keys, F.col("_s").alias("day"), *measures)
-    minus = named.where(F.col("_e").isNotNull()).select(*keys, F.col("_e").alias("day"), *((-F.col(n)).alias(n) for n in measures))
-    daily = plus.union(minus).groupBy(*keys, "day").agg(*(F.sum(n).alias(n) for n in measures))
+    events = F.array(F.struct(F.col("_s").alias("day"), *measures), F.struct(F.col("_e").alias("day"), *((-F.col(n)).alias(n) for n in measures)))
+    daily = named.select(*keys, F.inline(events)).where(F.col("day").isNotNull()).groupBy(*keys, "day").agg(*(F.sum(n).alias(n) for n in measures))
     w = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return daily.select(*keys, "day", *(F.sum(n).over(w).alias(n) for n in measures))
 

@@ -57,8 +57,8 @@ def P08_live_cells(spark, d):
 
 def state_steps(df, start, end):
     """+1 for the party on the day a row starts, -1 on the day it ends."""
-    one = F.lit(1).cast("bigint")
-    return df.select("party", F.col(start).alias("day"), one.alias("n")).union(df.where(F.col(end).isNotNull()).select("party", end, -one))
+    step = lambda day, n: F.struct(F.col(day).alias("day"), F.lit(n).cast("bigint").alias("n"))
+    return df.select("party", F.inline(F.array(step(start, 1), step(end, -1)))).where(F.col("day").isNotNull())
 
 
 def cell_steps(spark, d):
@@ -315,8 +315,8 @@ EVENTS = "e AS (SELECT type, created_day AS day, capacity, occupied FROM cells U
 
 @query(f"WITH {EVENTS} SELECT type, day, CAST(sum(capacity) AS BIGINT) AS delta, CAST(sum(occupied) AS BIGINT) AS occupied_delta FROM e GROUP BY type, day", "cells")
 def A36_script_daily(spark, d):
-    c = v.cells(spark, d)
-    e = c.select("type", F.col("created_day").alias("day"), "capacity", "occupied").union(c.where("consumed_day IS NOT NULL").select("type", "consumed_day", -F.col("capacity"), -F.col("occupied")))
+    step = lambda day, sign: F.struct(F.col(day).alias("day"), (sign * F.col("capacity")).alias("capacity"), (sign * F.col("occupied")).alias("occupied"))
+    e = v.cells(spark, d).select("type", F.inline(F.array(step("created_day", 1), step("consumed_day", -1)))).where(F.col("day").isNotNull())
     return ledger.totals(e, ["type", "day"], delta=F.sum("capacity"), occupied_delta=F.sum("occupied"))
 
 

@@ -72,12 +72,13 @@ UNION ALL SELECT created_day, 0, 0, 0, 0, 0, 1, 0, occupied, 0 FROM cells UNION
 SELECT day, CAST(sum(b) AS BIGINT) AS blocks, CAST(sum(t) AS BIGINT) AS txs, CAST(coalesce(sum(i), 0) AS BIGINT) AS interval_sum, CAST(sum(c) AS BIGINT) AS interval_count, CAST(sum(m) AS BIGINT) AS moved, CAST(sum(n) AS BIGINT) AS cells_created, CAST(sum(u) AS BIGINT) AS cells_consumed, CAST(sum(o) AS BIGINT) AS occupied_created, CAST(sum(p) AS BIGINT) AS occupied_consumed FROM x GROUP BY day""", "timed", "txs", "cells")
 def A01_daily_chain_stats(spark, d):
     """Daily facts of blocks, transactions and cells, joined by day."""
-    c, one = v.cells(spark, d), F.count(F.lit(1))
+    o, one = v.outputs(spark, d), F.count(F.lit(1))
+    spent = joins.resolve_inputs(v.inputs(spark, d), o, ["outpoint"])
     facts = [
         ledger.totals(v.timed(spark, d), ["day"], blocks=one, txs=F.sum("tx_count"), interval_sum=F.sum("interval_ms"), interval_count=F.count("interval_ms")),
         ledger.totals(v.txs(spark, d), ["day"], moved=F.sum("moved")),
-        ledger.totals(c.withColumnRenamed("created_day", "day"), ["day"], cells_created=one, occupied_created=F.sum("occupied")),
-        ledger.totals(c.where("consumed_day IS NOT NULL").withColumnRenamed("consumed_day", "day"), ["day"], cells_consumed=one, occupied_consumed=F.sum("occupied")),
+        ledger.totals(o.withColumnRenamed("created_day", "day"), ["day"], cells_created=one, occupied_created=F.sum("occupied")),
+        ledger.totals(spent.withColumnRenamed("consumed_day", "day"), ["day"], cells_consumed=one, occupied_consumed=F.sum("occupied")),
     ]
     return ledger.sum_facts(facts, ["day"])
 
