@@ -26,7 +26,7 @@ def S01_read_ledger(spark, d):
     folder, b = io.work_folder(spark), v.blocks(spark, d).select("number", "ts_ms", "tx_count", "miner")
     io.write_events(b, folder)
     tip = b.agg(F.max("number")).first()[0] or 0
-    return io.read_ledger(spark, folder, tip // 10, tip // 2).select(*b.columns)
+    return io.read_ledger(spark, folder, tip // 10, tip // 2, io.event_schema(b)).select(*b.columns)
 
 
 @query("SELECT kind AS endpoint, count(*) AS n, count(*) FILTER (WHERE moved < 1000) / count(*) AS error_rate, quantile_cont(CAST(moved AS DOUBLE), 0.5) AS p50, quantile_cont(CAST(moved AS DOUBLE), 0.95) AS p95, quantile_cont(CAST(moved AS DOUBLE), 0.99) AS p99, count(*) * 1000 / nullif(max(ts_ms) - min(ts_ms), 0) AS throughput FROM txs GROUP BY kind", "txs")
@@ -187,7 +187,7 @@ b AS (SELECT id, max(proposed) FILTER (WHERE proposed + 2 <= tip + 1) AS r, max(
 SELECT c_custkey AS id, CASE WHEN r IS NOT NULL THEN 'proposed' WHEN g IS NOT NULL THEN 'gap' ELSE 'pending' END AS stage, coalesce(r, g) AS proposed FROM customer LEFT JOIN b ON c_custkey = id""", "txs")
 def J14_pool_stage(spark, d):
     t = v.txs(spark, d)
-    tip = t.agg(F.max("block")).first()[0]
+    tip = t.agg(F.max("block")).first()[0] or 0
     p = t.where("kind = 'signup'").select(F.col("party").alias("id"), F.col("block").alias("proposed"))
     return joins.pool_stage(v.read(spark, d, "customer").select(F.col("c_custkey").alias("id")), p, tip, "id", "proposed", 2, 10)
 
@@ -330,7 +330,7 @@ def W02_daily_change(spark, d):
 @query("""WITH tip AS (SELECT max(ts_ms) AS tip FROM txs) SELECT count(*) AS rows, count(DISTINCT party) AS parties FROM txs, tip WHERE ts_ms > tip - 24 * 3600000""", "txs")
 def W08_rolling_window(spark, d):
     t = v.txs(spark, d)
-    return streams.rolling_window(t, "ts_ms", t.agg(F.max("ts_ms")).first()[0], 24, "party")
+    return streams.rolling_window(t, "ts_ms", t.agg(F.max("ts_ms")).first()[0] or 0, 24, "party")
 
 
 @query("""WITH s AS (SELECT day, CAST(sum(uncles) AS BIGINT) AS u, CAST(sum(tx_count) AS BIGINT) AS t FROM timed GROUP BY day)
@@ -444,7 +444,7 @@ def Q08_missing_days(spark, d):
 SELECT max(f.number) FILTER (WHERE f.hash = x.hash) AS fork, min(f.number) FILTER (WHERE f.hash <> x.hash) AS first_orphan FROM f JOIN x USING (number)""", "blocks")
 def T07_detect_switch(spark, d):
     b = v.blocks(spark, d)
-    tip = b.agg(F.max("number")).first()[0]
+    tip = b.agg(F.max("number")).first()[0] or 0
     stored = b.select("number", F.concat(F.lit("h"), "number").alias("hash"))
     new = b.select("number", F.concat(F.when(F.col("number") > tip - 5, "x").otherwise("h"), "number").alias("hash"))
     return streams.detect_switch(new, stored)
@@ -457,7 +457,7 @@ DELTAS = streams.IncrementalAgg("party_totals", lambda t: t.select("party", "blo
 def T11_incremental(spark, d):
     """Rebuilt in two parts, the second taken back to a fork and applied again."""
     t = v.txs(spark, d)
-    tip = t.agg(F.max("block")).first()[0]
+    tip = t.agg(F.max("block")).first()[0] or 0
     state = DELTAS.apply(DELTAS.rebuild(t.where(F.col("block") <= tip - 20)), t.where(F.col("block") > tip - 20))
     state = DELTAS.apply(DELTAS.roll_back(state, tip - 8), t.where(F.col("block") > tip - 8))
     return DELTAS.current(state)

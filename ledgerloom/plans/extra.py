@@ -51,8 +51,9 @@ def S05_read_labels(spark, d):
 @query("SELECT number, tx_count FROM blocks", "blocks")
 def S06_write_events(spark, d):
     folder = io.work_folder(spark)
-    io.write_events(v.blocks(spark, d).select("number", "tx_count"), folder)
-    return spark.read.parquet(folder).select("number", "tx_count")
+    b = v.blocks(spark, d).select("number", "tx_count")
+    io.write_events(b, folder)
+    return spark.read.schema(io.event_schema(b)).parquet(folder).select("number", "tx_count")
 
 
 @query("SELECT party, CAST(sum(capacity) AS BIGINT) AS capacity FROM outputs GROUP BY party", "outputs")
@@ -66,8 +67,8 @@ def S07_write_snapshot(spark, d):
 def S08_write_sealed(spark, d):
     folder, t = io.work_folder(spark), v.timed(spark, d)
     daily = t.groupBy("day").agg(F.sum("tx_count").alias("txs")).withColumn("bucket_end", day_end_ms("day"))
-    io.write_sealed(daily, folder, "day", "bucket_end", t.agg(F.max("chain_ms")).first()[0])
-    return spark.read.parquet(folder).select("day", "txs")
+    io.write_sealed(daily, folder, "day", "bucket_end", t.agg(F.max("chain_ms")).first()[0] or 0)
+    return spark.read.schema(daily.schema).parquet(folder).select("day", "txs")
 
 
 @query("""WITH a AS (SELECT max(created_day) AS day FROM outputs), e AS (SELECT party, created_day AS day, capacity AS c FROM cells UNION ALL SELECT party, consumed_day, -capacity FROM cells WHERE consumed_day IS NOT NULL),

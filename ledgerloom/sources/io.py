@@ -62,6 +62,11 @@ def write_events(df: DataFrame, path: str, number: str = "number") -> None:
     df.withColumn("block_range", F.floor(F.col(number) / RANGE).cast("long")).write.mode("append").partitionBy("block_range").parquet(path)
 
 
+def event_schema(df: DataFrame) -> T.StructType:
+    """The schema of what write_events() has written, with which a table without rows can be read too."""
+    return T.StructType([*df.schema.fields, T.StructField("block_range", T.LongType())])
+
+
 def write_snapshot(df: DataFrame, path: str) -> None:
     """Replace a table of latest states."""
     df.write.mode("overwrite").parquet(path)
