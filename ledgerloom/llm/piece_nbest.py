@@ -390,26 +390,28 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *values]).astype(np.int32)))
 
 
-def _encode(batches, path: str, n: int, names: list[str]):
+def _encode(batches, path: str, n: int, names: list[str], check: str | None):
     model = pieces(path)
     for part in slices(batches, most=2 << 20):
         rows = model.encode_all(part.column("text"), n)
         others = [[{"score": s, "changes": [{"unit": u, "pieces": p} for u, p in c]} for s, c in r[2]] for r in rows]
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), _lists([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array(others, _OTHERS)], [*names, "pieces", "score", "n_best"])
+        back = [pa.array([model.decode(r[0]) == t for r, t in zip(rows, part.column("text").to_pylist(), strict=True)], pa.bool_())] if check else []
+        columns = [*(part.column(c) for c in names), _lists([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array(others, _OTHERS), *back]
+        yield pa.RecordBatch.from_arrays(columns, [*names, "pieces", "score", "n_best", *([check] if check else [])])
 
 
-def encode_pieces(documents: DataFrame, path: str, n: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode_pieces(documents: DataFrame, path: str, n: int = 1, keep: tuple[str, ...] = ("doc_id",), check: str | None = None) -> DataFrame:
     """The kept columns, pieces (ids of the best segmentation), its score, and n_best: the n best segmentations by score,
-    each with the units in which it differs from the best (empty for n = 1).
+    each with the units in which it differs from the best (empty for n = 1). A column named by `check` says whether the
+    pieces decode to the text again.
 
     A null or empty text has no pieces and score 0. Ties of score keep the first found, which depends on the
     text alone. Repeated rows are each encoded; other columns are ignored. A kept text is empty where it was null.
     """
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
     rows = texts(documents, *(c for c in keep if c != "text"))
-    return rows.mapInArrow(
-        lambda b: _encode(b, path, n, list(keep)), f"{kinds}, pieces array<int>, score long, n_best array<struct<score:long,changes:array<struct<unit:int,pieces:array<int>>>>>"
-    )
+    schema = f"{kinds}, pieces array<int>, score long, n_best array<struct<score:long,changes:array<struct<unit:int,pieces:array<int>>>>>" + (f", `{check}` boolean" if check else "")
+    return rows.mapInArrow(lambda b: _encode(b, path, n, list(keep), check), schema)
 
 
 def _decode(batches, path: str, names: list[str], into: str):
@@ -432,7 +434,6 @@ def decode_pieces(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
 
 def encode_and_decode(documents: DataFrame, path: str, n: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The rows of encode_pieces() with n_pieces, the n best scores as text, and round_trip: whether decoding gives the text back."""
-    encoded = encode_pieces(documents, path, n, (*keep, "text"))
-    back = decode_pieces(encoded, path, (*keep, "text", "pieces", "score", "n_best"), "_decoded")
+    encoded = encode_pieces(documents, path, n, keep, "round_trip")
     scores = F.concat_ws(",", F.transform("n_best", lambda x: x["score"].cast("string")))
-    return back.select(*keep, F.size("pieces").cast("long").alias("n_pieces"), "score", scores.alias("best_scores"), (F.col("text") == F.col("_decoded")).alias("round_trip"), "pieces", "n_best")
+    return encoded.select(*keep, F.size("pieces").cast("long").alias("n_pieces"), "score", scores.alias("best_scores"), "round_trip", "pieces", "n_best")
