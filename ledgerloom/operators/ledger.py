@@ -349,7 +349,7 @@ def channel_stats(channels: DataFrame, state: str, token: str, capacity: str, li
 
     Rows of a whole state have a null token. A channel that is still open has a null life.
     """
-    median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{life}`)")
+    median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{life}`)").cast(channels.schema[life].dataType)
     grouped = channels.rollup(state, token).agg(
         F.count(F.lit(1)).alias("channels"), F.sum(capacity).alias("capacity"), median.alias("median_life"), F.count_if(F.col(life) <= short).alias("short_lives"), F.grouping_id().alias("_level")
     )

@@ -993,7 +993,7 @@ def Q13_token_counts(spark, d):
     return quality.equal_by_key("token_counts", v.legs(spark, d).groupBy("token").agg(F.count(F.lit(1)).alias("cells")), a, ["token"], ["cells"])
 
 
-@query("""SELECT DISTINCT 'senders' AS "check", tx || '/' || party AS key, '{"n":1}' AS expected, NULL AS actual FROM legs WHERE side = 'input' AND tx % 70 = 5""", "legs")
+@query("""SELECT DISTINCT 'senders' AS "check", tx || '/' || party AS key, '{"n":1}' AS expected, CAST(NULL AS VARCHAR) AS actual FROM legs WHERE side = 'input' AND tx % 70 = 5""", "legs")
 def Q14_senders(spark, d):
     """Sender tags of the parties, which some transactions lack, against the inputs they spend."""
     flags = v.legs(spark, d).groupBy("tx", "party").agg(F.max(ledger.party_tags(sender=(F.col("side") == "input") & (F.col("tx") % 70 != 5))).alias("tags"))
@@ -1082,7 +1082,7 @@ def Q24_only_code(spark, d):
     return quality.only_code(v.items(spark, d).withColumn("data", F.col("name").cast("binary")), "item", "data")
 
 
-@query("""SELECT 'code_cells' AS "check", type || '/' || outpoint AS key, '{"found":true}' AS expected, NULL AS actual FROM cells WHERE consumed_day IS NULL AND outpoint % 5 = 0 AND outpoint % 20 = 10""", "cells")
+@query("""SELECT 'code_cells' AS "check", type || '/' || outpoint AS key, '{"found":true}' AS expected, CAST(NULL AS VARCHAR) AS actual FROM cells WHERE consumed_day IS NULL AND outpoint % 5 = 0 AND outpoint % 20 = 10""", "cells")
 def Q25_code_cells(spark, d):
     """An index of live code cells by type, which lacks some, against a scan of the live set for cells whose data is code."""
     index = v.cells(spark, d).where("consumed_day IS NULL AND outpoint % 5 = 0 AND outpoint % 20 <> 10").select("type", "outpoint", F.lit(True).alias("found"))
