@@ -206,7 +206,6 @@ def family_links(families: DataFrame, sketch: DataFrame, documents: DataFrame, n
     kind = documents.schema["doc_id"].dataType.simpleString()
     parts = families.join(sketch.select("doc_id", "n_shingles"), "doc_id").groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     sizes = parts.groupBy("family").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "component", "s")).alias("main")).where(F.col("main.n") < F.col("n"))
-    sizes = cut(sizes)  # families that are one component already are most; the join with the rest needs no shuffle, or can be split
     # members of the largest component meet only blocks of the others
     blocks_of = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
     few, many = blocks_of(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")), blocks_of(F.col("main.n"), F.col("main.s"))
