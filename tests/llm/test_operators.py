@@ -84,7 +84,6 @@ def test_near_duplicates(spark, n):
 
 def test_near_duplicates_small_blocks_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 2)
-    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 150)
     rows = [r for r in corpus(seed=5) if r[0] is not None]
     got = near_dup.near_duplicates(docs_of(spark, rows + rows[:3]), 2, 80).collect()
     want = linked(rows, 2, 80)
