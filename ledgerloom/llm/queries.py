@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, near_dup, piece_nbest, repeats, secrets, token_files, top_inner, toxicity
+from . import decontaminate, dialogue, html_text, licenses, near_dup, piece_nbest, repeats, secrets, token_files, top_inner, toxicity
 from .shared import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +64,12 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=100)
 
 
+def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.report(dialogue.repair(dialogue.damage(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_html_extraction, op3_token_files, op4_top_inner_products, op5_toxicity, op6_license_scans, op7_secret_scans, op8_decontamination, op9_piece_nbest, op10_repeated_bytes)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_html_extraction, op3_token_files, op4_top_inner_products, op5_toxicity, op6_license_scans, op7_secret_scans, op8_decontamination, op9_piece_nbest, op10_repeated_bytes, op11_dialogue_repair)}
 
 
 OP4_SQL = """
