@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dialogue, html_text, licenses, near_dup, piece_nbest, repeats, secrets, token_files, top_inner, toxicity
+from . import crosswalk, decontaminate, dialogue, html_text, licenses, near_dup, piece_nbest, repeats, secrets, token_files, top_inner, toxicity
 from .shared import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,8 +68,13 @@ def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.report(dialogue.repair(dialogue.damage(table(spark, sf_dir, "conversations"))))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crosswalk.find_links(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_html_extraction, op3_token_files, op4_top_inner_products, op5_toxicity, op6_license_scans, op7_secret_scans, op8_decontamination, op9_piece_nbest, op10_repeated_bytes, op11_dialogue_repair)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_html_extraction, op3_token_files, op4_top_inner_products, op5_toxicity, op6_license_scans, op7_secret_scans, op8_decontamination, op9_piece_nbest, op10_repeated_bytes, op11_dialogue_repair, op12_token_alignment)}
 
 
 OP4_SQL = """

@@ -17,20 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .arrays import Words, slices
+from .arrays import flat, slices
 from .shared import texts
-
-#: Blanks at which a text is cut; all of them are white space to the tokenizer.
-_SPLIT = np.ones(256, bool)
-_SPLIT[[32, 10]] = False
-#: Distinct words that a worker remembers; beyond that it starts afresh, which changes no result.
-REMEMBERED = 3_000_000
+from .units import Memory, distinct, words_of
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Token ids by the hash of a word, held in flat arrays."""
+    """Token ids of texts word by word. A word goes with the blanks before it; words are told apart by their bytes."""
 
     def __init__(self, path: str):
         import os
@@ -39,45 +34,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.hashes, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.start, self.ids, self.used, self.count = np.zeros(1, np.int64), np.zeros(1 << 16, np.int32), 0, 0
-
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        new = np.fromiter((i for ids in lists for i in ids), np.int32, int(sizes.sum()))
-        if self.used + len(new) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(new)), np.int32)])
-        self.ids[self.used : self.used + len(new)] = new
-        self.start = np.concatenate([self.start, self.used + np.cumsum(sizes)])
-        self.used += len(new)
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.slot = np.insert(self.slot, at, self.count + np.arange(len(hashes)))
-        self.count += len(hashes)
+        self.memory = Memory(lambda words: [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows in one array, and where each row starts."""
-        words = Words(column, _SPLIT)
-        # Words() folds A-Z when hashing; so does the tokenizer, which lower-cases.
-        known, which, back = np.unique(words.hash, return_index=True, return_inverse=True)
-        if self.count + len(known) > REMEMBERED:
-            self._clear()
-        at = np.searchsorted(self.hashes, known)
-        new = (at == len(self.hashes)) | (self.hashes[np.minimum(at, max(0, len(self.hashes) - 1))] != known) if len(self.hashes) else np.ones(len(known), bool)
-        if new.any():
-            data = words.data.tobytes()
-            spans = zip(words.start[which[new]].tolist(), words.end[which[new]].tolist(), strict=True)
-            self._learn(known[new], [data[a:b].decode() for a, b in spans])
-            at = np.searchsorted(self.hashes, known)
-        slot = self.slot[at][back] if len(known) else np.zeros(0, np.int64)
-        begin, size = self.start[slot], self.start[slot + 1] - self.start[slot]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
-        return ids, ends[words.first]
+        data, rows = flat(column)
+        edges = words_of(data, rows)
+        ids, ends = self.memory.look_up(*distinct(data, edges))
+        return ids, np.concatenate([[0], ends])[np.searchsorted(edges[:-1], rows)]
 
 
 def encoder(path: str) -> WordEncoder:
