@@ -12,7 +12,7 @@ go to all tasks as two sorted arrays; links of rarer pairs are joined with their
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrays import flat, slices
 from .shared import cut, texts
-from .units import Memory, after_words, distinct, spaced
+from .units import Memory, after_words, distinct, flat_lists, spaced
 
 #: Tokens after which a lane ends at the next common end.
 LANE = 64
@@ -50,13 +50,39 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, b.id_to_piece(i)) for i in range(b.get_piece_size()))]
         self.a_size, self.b_size = (np.array([len(x) for x in xs], np.int64) for xs in (self.a_bytes, self.b_bytes))
         space = [b.piece_to_id("▁")]
-        self.a = Memory(lambda units: [e.ids for e in a.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)])
-        # a unit starts with the space that the tokenizer adds
-        self.b = Memory(lambda units: [ids or space for ids in b.encode([u[1:].decode() for u in units], num_threads=1)])
+        self.lossy: set[bytes] = set()  # units that a tokenizer does not give back
+        encode_a = lambda texts: [e.ids for e in a.encode_batch_fast(texts, add_special_tokens=False)]
+        self.memory = Memory(
+            lambda units: self._checked(units, *_together(units, encode_a, self.a_size), self.a_bytes),
+            # a unit starts with the space that the tokenizer adds
+            lambda units: self._checked(units, *flat_lists([ids or space for ids in b.encode([u[1:].decode() for u in units], num_threads=1)]), self.b_bytes),
+        )
         names = [f"{i}{mark}" for mark, size in ((",", len(self.a_size)), ("|", len(self.a_size)), (",", len(self.b_size)), (";", len(self.b_size))) for i in range(size)]
         self.names = pa.array([n.encode() for n in names], pa.large_binary())
 
 
+    def _checked(self, units: list[bytes], ids: np.ndarray, sizes: np.ndarray, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if b"".join(map(names.__getitem__, ids.tolist())) != b"".join(units):
+            ends = np.cumsum(sizes).tolist()
+            self.lossy.update(u for u, a, b in zip(units, [0, *ends], ends, strict=False) if b"".join(map(names.__getitem__, ids[a:b].tolist())) != u)
+        return ids, sizes
+
+
+def _together(units: list[bytes], encode: Callable[[list[str]], list[list[int]]], size: np.ndarray, most: int = 65536) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of units that start with a space, many in one text: where one ends in a visible ASCII character, no token reaches from it into the next."""
+    texts, held, length = [], [], 0
+    for unit in units:
+        held.append(unit)
+        length += len(unit)
+        if not 32 < unit[-1] < 127 or length >= most:
+            texts.append(b"".join(held).decode())
+            held, length = [], 0
+    texts += [b"".join(held).decode()] if held else []
+    ids, _ = flat_lists(encode(texts))
+    ends, stops = np.cumsum(size[ids]), np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+    return ids, np.diff(np.searchsorted(ends, stops, "right"), prepend=0)
+
+
 def _level(token: str) -> bytes:
     """The bytes that a token of the byte-level alphabet stands for: visible characters for themselves, from U+0100 on the others in order."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -88,30 +114,28 @@ def merge(a_end: np.ndarray, b_end: np.ndarray, a_at: np.ndarray, b_at: np.ndarr
 
 
 def lanes(a_end: np.ndarray, b_end: np.ndarray, unit_end: np.ndarray, rows_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First A and B tokens and the last byte of each lane; units and rows end where both tokenizers do."""
-    stops = np.unique(np.concatenate([unit_end, rows_end]))
+    """First A and B tokens and the last byte of each lane; units end where both tokenizers do, and rows where units do."""
+    stops = unit_end
     a_next = np.searchsorted(a_end, stops, "right")
     if len(stops) and (long := np.diff(a_next, prepend=0) > LANE).any():  # units without a space inside: any common end will do
         common = np.intersect1d(a_end, b_end, assume_unique=True)
         owner = np.searchsorted(stops, common)
-        stops = np.unique(np.concatenate([stops, common[long[owner]]]))
+        stops = np.union1d(stops, common[long[owner]])
         a_next = np.searchsorted(a_end, stops, "right")
     bucket = a_next // LANE
-    keep = np.append(bucket[1:] != bucket[:-1], True) | np.isin(stops, rows_end) if len(stops) else np.zeros(0, bool)
+    keep = np.append(bucket[1:] != bucket[:-1], True) if len(stops) else np.zeros(0, bool)
+    keep[np.searchsorted(stops, rows_end)] = True
     stops = stops[keep]
     starts = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
     return np.searchsorted(a_end, starts, "right"), np.searchsorted(b_end, starts, "right"), stops
 
 
-def _whole(ids: np.ndarray, ends: np.ndarray, names: list[bytes], data: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Rows whose tokens joined are the row's bytes; only rows of another length, or with another byte, aren't."""
-    at = np.concatenate([[0], ends])[first]
-    joined = np.frombuffer(b"".join(map(names.__getitem__, ids.tolist())), np.uint8)
-    if len(joined) == len(data) and (joined == data).all():
-        return np.ones(len(rows) - 1, bool)
-    sizes = np.array([len(x) for x in names])[ids]
-    offset = np.concatenate([[0], np.cumsum(sizes)])[at]
-    return np.array([joined[offset[k] : offset[k + 1]].tobytes() == data[rows[k] : rows[k + 1]].tobytes() for k in range(len(rows) - 1)], bool)
+def _whole(ids: np.ndarray, ends: np.ndarray, names: list[bytes], data: np.ndarray, rows: np.ndarray, first: np.ndarray, doubtful: np.ndarray) -> np.ndarray:
+    """Whether the tokens of each row joined are its bytes; only rows with a unit that is not given back are looked at."""
+    at, good = np.concatenate([[0], ends])[first], np.ones(len(rows) - 1, bool)
+    for k in doubtful.tolist():
+        good[k] = b"".join(map(names.__getitem__, ids[at[k] : at[k + 1]].tolist())) == data[rows[k] : rows[k + 1]].tobytes()
+    return good
 
 
 def _tokens(both: Tokenizers, column: pa.Array) -> tuple[np.ndarray, tuple, tuple, np.ndarray, np.ndarray]:
@@ -120,11 +144,12 @@ def _tokens(both: Tokenizers, column: pa.Array) -> tuple[np.ndarray, tuple, tupl
     edges = after_words(data, rows)
     units, which = distinct(data, edges)
     first = np.searchsorted(edges[:-1], rows)
-    found = [memory.look_up(units, which) for memory in (both.a, both.b)]
-    good = np.diff(rows) > 0
+    found = both.memory.look_up(units, which)
+    good, units_of = np.diff(rows) > 0, np.repeat(np.arange(len(rows) - 1), np.diff(first))
+    lossy = np.fromiter((u in both.lossy for u in units), bool, len(units))
+    doubtful = np.unique(units_of[lossy[which]]) if lossy.any() else np.zeros(0, np.int64)
     for (ids, ends), names in zip(found, (both.a_bytes, both.b_bytes), strict=True):
-        good &= _whole(ids, ends, names, data, rows, first)
-    units_of = np.repeat(np.arange(len(rows) - 1), np.diff(first))
+        good &= _whole(ids, ends, names, data, rows, first, doubtful)
     kept, out = good[units_of], []
     for ids, ends in found:
         size = np.diff(ends, prepend=0)
@@ -191,16 +216,19 @@ def align(documents: DataFrame, a_path: str, b_path: str, groups: bool = False)
     return texts(documents, "doc_id").mapInArrow(run, f"doc_id {kind}, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, {lists}")
 
 
-def _counted(batches: Iterable[pa.RecordBatch]):
-    """How often each pair stands in a batch."""
-    for batch in batches:
-        pair, n = np.unique(batch.column("pairs").flatten().to_numpy(zero_copy_only=False), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n, pa.int64())], ["pair", "n"])
-
-
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(pair, n): the links of each pair of ids over all documents."""
-    return aligned.select("pairs").mapInArrow(_counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return aligned.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _parts(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iterable[pa.RecordBatch]:
+    """The batches cut at about so many links."""
+    for batch in batches:
+        at, start = batch.column("pairs").offsets.to_numpy(), 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def _commonest(counts: DataFrame, held: int) -> int:
@@ -240,7 +268,7 @@ def score_links(aligned: DataFrame, b_size: int, held: int = HELD) -> DataFrame:
 
     def sums(batches: Iterable[pa.RecordBatch]):
         pairs_known, n_known, best_of = known.value
-        for batch in batches:
+        for batch in _parts(batches):
             offsets, pairs = batch.column("pairs").offsets.to_numpy(), batch.column("pairs").values.to_numpy(zero_copy_only=False)
             pairs = pairs[offsets[0] : offsets[-1]]
             n, there = _values(pairs, pairs_known, n_known)
@@ -250,7 +278,7 @@ def score_links(aligned: DataFrame, b_size: int, held: int = HELD) -> DataFrame:
 
     def rare(batches: Iterable[pa.RecordBatch]):
         pairs_known, n_known, best_of = known.value
-        for batch in batches:
+        for batch in _parts(batches):
             column, row = batch.column("pairs"), batch.column("row").to_numpy()
             pairs = column.flatten().to_numpy(zero_copy_only=False)
             rows = np.repeat(row, pc.list_value_length(column).to_numpy(zero_copy_only=False))

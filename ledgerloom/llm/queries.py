@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosswalk, decontaminate, dialogue, html_text, licenses, near_dup, piece_nbest, repeats, secrets, token_files, top_inner, toxicity
+from . import crosswalk, decontaminate, dialogue, html_text, licenses, near_dup, personal, piece_nbest, repeats, secrets, token_files, top_inner, toxicity
 from .shared import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,8 +73,14 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = personal.find_personal(documents, personal.fit(personal.examples(spark), documents))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_html_extraction, op3_token_files, op4_top_inner_products, op5_toxicity, op6_license_scans, op7_secret_scans, op8_decontamination, op9_piece_nbest, op10_repeated_bytes, op11_dialogue_repair, op12_token_alignment)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_html_extraction, op3_token_files, op4_top_inner_products, op5_toxicity, op6_license_scans, op7_secret_scans, op8_decontamination, op9_piece_nbest, op10_repeated_bytes, op11_dialogue_repair, op12_token_alignment, op13_personal_data)}
 
 
 OP4_SQL = """

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from .arrays import flat, slices
 from .shared import texts
-from .units import Memory, distinct, words_of
+from .units import Memory, distinct, flat_lists, words_of
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -34,13 +34,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory = Memory(lambda words: [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)])
+        self.memory = Memory(lambda words: flat_lists([e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows in one array, and where each row starts."""
         data, rows = flat(column)
         edges = words_of(data, rows)
-        ids, ends = self.memory.look_up(*distinct(data, edges))
+        ((ids, ends),) = self.memory.look_up(*distinct(data, edges))
         return ids, np.concatenate([[0], ends])[np.searchsorted(edges[:-1], rows)]
 
 

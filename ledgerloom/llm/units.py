@@ -6,13 +6,14 @@ Units are told apart by their bytes, never by a hash alone, so what a worker rem
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct units, and bytes of units, that a worker remembers; beyond that it starts afresh.
-REMEMBERED, REMEMBERED_BYTES = 500_000, 32 << 20
+REMEMBERED, REMEMBERED_BYTES = 700_000, 32 << 20
 
 
 def spaced(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,40 +58,62 @@ def distinct(data: np.ndarray, edges: np.ndarray) -> tuple[list[bytes], np.ndarr
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+Flat = tuple[np.ndarray, np.ndarray]
+
+
+def flat_lists(lists: list[list[int]]) -> Flat:
+    """All ids one after the other, and how many each list has."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+
+
 class Memory:
-    """Ids of units by their bytes, in flat arrays; encode gives the ids of many units."""
+    """Ids of units by their bytes, in flat arrays, for one or more encoders; each gives the ids of many units, and how many each has."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, *encoders: Callable[[list[bytes]], Flat]):
+        self.encoders = encoders
         self._clear()
 
     def _clear(self) -> None:
         self.slot: dict[bytes, int] = {}
-        self.bytes = self.used = 0
-        self.end, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.int32)
-
-    def _learn(self, units: list[bytes]) -> None:
-        lists, count = self.encode(units), len(self.slot)
-        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
-        new = np.fromiter((i for ids in lists for i in ids), np.int32, int(sizes.sum()))
-        self.ids, self.size, self.end = _room(self.ids, self.used + len(new)), _room(self.size, count + len(units)), _room(self.end, count + len(units))
-        self.ids[self.used : self.used + len(new)] = new
-        self.size[count : count + len(units)] = sizes
-        self.end[count : count + len(units)] = self.used + np.cumsum(sizes)
-        self.slot.update(zip(units, range(count, count + len(units)), strict=True))
-        self.used += len(new)
-        self.bytes += sum(map(len, units))
-
-    def look_up(self, units: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the units which[0], which[1], ... in one array, and where each one's end; units are distinct."""
+        self.bytes = 0
+        self.held = [_Lists() for _ in self.encoders]
+
+    def look_up(self, units: list[bytes], which: np.ndarray) -> list[Flat]:
+        """For each encoder, the ids of the units which[0], which[1], ... in one array, and where each one's end; units are distinct."""
         if len(self.slot) + len(units) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self._clear()
-        if new := [u for u in units if u not in self.slot]:
-            self._learn(new)
-        slots = np.fromiter(map(self.slot.__getitem__, units), np.int64, len(units))
-        size, end = self.size[slots].astype(np.int64)[which], self.end[slots][which]
+        count = len(self.slot)
+        slots = np.fromiter(map(self.slot.get, units, repeat(-1)), np.int64, len(units))
+        fresh = np.flatnonzero(slots < 0)
+        if len(fresh):
+            new = [units[k] for k in fresh.tolist()]
+            for encode, lists in zip(self.encoders, self.held, strict=True):
+                lists.add(*encode(new))
+            self.slot.update(zip(new, range(count, count + len(new)), strict=True))
+            self.bytes += sum(map(len, new))
+            slots[fresh] = np.arange(count, count + len(new))
+        return [lists.take(slots, which) for lists in self.held]
+
+
+class _Lists:
+    """Lists of ids one after the other."""
+
+    def __init__(self) -> None:
+        self.count = self.used = 0
+        self.end, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32)
+
+    def add(self, new: np.ndarray, sizes: np.ndarray) -> None:
+        stop, used = self.count + len(sizes), self.used + len(new)
+        self.ids, self.size, self.end = _room(self.ids, used), _room(self.size, stop), _room(self.end, stop)
+        self.ids[self.used : used], self.size[self.count : stop], self.end[self.count : stop] = new, sizes, self.used + np.cumsum(sizes)
+        self.count, self.used = stop, used
+
+    def take(self, slots: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slots = slots[which]
+        size = self.size[slots]
         ends = np.cumsum(size)
-        return self.ids[np.repeat(end - ends, size) + np.arange(int(size.sum()))], ends
+        return self.ids[np.repeat(self.end[slots] - ends, size) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:

@@ -105,13 +105,14 @@ def test_alignment_of_no_documents(spark):
 
 def test_units_are_remembered_by_their_bytes(monkeypatch):
     monkeypatch.setattr(units, "REMEMBERED", 50)
-    memory = units.Memory(lambda xs: [[len(x), x[0]] for x in xs])
+    memory = units.Memory(lambda xs: units.flat_lists([[len(x), x[0]] for x in xs]), lambda xs: units.flat_lists([[7] * len(x) for x in xs]))
     rng = random.Random(1)
     for _ in range(60):
         names = [bytes([rng.randrange(65, 70)]) * rng.randint(1, 9) for _ in range(40)]
         data = np.frombuffer(b"".join(names), np.uint8)
         edges = np.cumsum([0, *map(len, names)])
-        ids, ends = memory.look_up(*units.distinct(data, edges))
+        (ids, ends), (_, more) = memory.look_up(*units.distinct(data, edges))
+        assert more.tolist() == edges[1:].tolist()
         assert ids.tolist() == [v for x in names for v in (len(x), x[0])] and ends.tolist() == [2 * k + 2 for k in range(40)]
 
 
