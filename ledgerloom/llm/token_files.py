@@ -25,7 +25,7 @@ _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Token ids of texts word by word. A word goes with the blanks before it; words are told apart by their bytes."""
+    """Token ids of texts word by word; words are told apart by their bytes, without case unless they may be special tokens."""
 
     def __init__(self, path: str):
         import os
@@ -38,10 +38,9 @@ class WordEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows in one array, and where each row starts."""
-        data, rows = flat(column)
-        edges = words_of(data, rows)
-        ((ids, ends),) = self.memory.look_up(*distinct(data, edges))
-        return ids, np.concatenate([[0], ends])[np.searchsorted(edges[:-1], rows)]
+        body, edges, first = words_of(*flat(column), b"<|")
+        ((ids, ends),) = self.memory.look_up(*distinct(body, edges))
+        return ids, np.concatenate([[0], ends])[first]
 
 
 def encoder(path: str) -> WordEncoder:

@@ -6,14 +6,14 @@ Units are told apart by their bytes, never by a hash alone, so what a worker rem
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct units, and bytes of units, that a worker remembers; beyond that it starts afresh.
-REMEMBERED, REMEMBERED_BYTES = 700_000, 32 << 20
+REMEMBERED, REMEMBERED_BYTES = 2_000_000, 64 << 20
 
 
 def spaced(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,13 +40,30 @@ def after_words(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(start), len(data))
 
 
-def words_of(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Where words start, each with the spaces and line ends before it: at each row that is not empty and each such blank after another character, and the end."""
-    start = (data == 32) | (data == 10)
+def words_of(data: np.ndarray, rows: np.ndarray, whole: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes without spaces and line ends, where words start in them (and the end), and the first word of each row.
+
+    A-Z are folded, but not in words that hold the two bytes given: those may be names whose case counts.
+    """
+    blank = (data == 32) | (data == 10)
+    start = ~blank
     if len(data):
-        start[1:] &= ~start[:-1]
+        start[1:] &= blank[:-1]
         start[rows[:-1][np.diff(rows) > 0]] = True
-    return np.append(np.flatnonzero(start), len(data))
+        start &= ~blank
+    keep = ~blank
+    at = np.flatnonzero(start)
+    place = np.concatenate([[0], np.cumsum(keep)])
+    body, edges = data[keep], np.append(place[at], place[-1])
+    upper = (body >= 65) & (body <= 90)
+    named = np.flatnonzero((body[:-1] == whole[0]) & (body[1:] == whole[1]))
+    if len(named):
+        which = np.unique(np.searchsorted(edges, named, "right") - 1)
+        marks = np.zeros(len(body) + 1, np.int8)
+        marks[edges[which]] += 1
+        marks[edges[which + 1]] -= 1
+        upper &= np.cumsum(marks[:-1]) == 0
+    return np.where(upper, body + np.uint8(32), body), edges, np.searchsorted(at, rows)
 
 
 def distinct(data: np.ndarray, edges: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -68,40 +85,58 @@ def flat_lists(lists: list[list[int]]) -> Flat:
 
 
 class Memory:
-    """Ids of units by their bytes, in flat arrays, for one or more encoders; each gives the ids of many units, and how many each has."""
+    """Ids of units for one or more encoders; each gives the ids of many units, and how many each has.
+
+    Units are found by a hash and then compared byte by byte; one that differs is encoded again each time.
+    """
 
     def __init__(self, *encoders: Callable[[list[bytes]], Flat]):
         self.encoders = encoders
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.bytes = 0
-        self.held = [_Lists() for _ in self.encoders]
+        self.keys, self.slots = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.text, self.held = _Lists(np.uint8), [_Lists(np.int32) for _ in self.encoders]
+
+    def _known(self, keys: np.ndarray, body: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The slot of each unit, -1 where there's none with its bytes."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        slots = np.where(self.keys[at] == keys, self.slots[at], -1)
+        slots[(slots >= 0) & (self.text.size[slots] != size)] = -1
+        hits = np.flatnonzero(slots >= 0)
+        stored, ends = self.text.take(slots, hits)
+        here = np.repeat(slots >= 0, size)
+        wrong = np.searchsorted(ends, np.flatnonzero(stored != body[here]), "right")
+        slots[hits[wrong]] = -1
+        return slots
 
     def look_up(self, units: list[bytes], which: np.ndarray) -> list[Flat]:
         """For each encoder, the ids of the units which[0], which[1], ... in one array, and where each one's end; units are distinct."""
-        if len(self.slot) + len(units) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
+        if self.text.count + len(units) > REMEMBERED or self.text.used > REMEMBERED_BYTES:
             self._clear()
-        count = len(self.slot)
-        slots = np.fromiter(map(self.slot.get, units, repeat(-1)), np.int64, len(units))
+        keys, size = np.fromiter(map(hash, units), np.int64, len(units)), np.fromiter(map(len, units), np.int64, len(units))
+        slots = self._known(keys, np.frombuffer(b"".join(units), np.uint8), size)
         fresh = np.flatnonzero(slots < 0)
         if len(fresh):
-            new = [units[k] for k in fresh.tolist()]
+            new, count = [units[k] for k in fresh.tolist()], self.text.count
+            self.text.add(np.frombuffer(b"".join(new), np.uint8), size[fresh])
             for encode, lists in zip(self.encoders, self.held, strict=True):
                 lists.add(*encode(new))
-            self.slot.update(zip(new, range(count, count + len(new)), strict=True))
-            self.bytes += sum(map(len, new))
-            slots[fresh] = np.arange(count, count + len(new))
+            slots[fresh] = np.arange(count, self.text.count)
+            order = fresh[np.argsort(keys[fresh], kind="stable")]
+            at = np.searchsorted(self.keys, keys[order])
+            self.keys, self.slots = np.insert(self.keys, at, keys[order]), np.insert(self.slots, at, slots[order])
         return [lists.take(slots, which) for lists in self.held]
 
 
 class _Lists:
-    """Lists of ids one after the other."""
+    """Lists of numbers one after the other."""
 
-    def __init__(self) -> None:
+    def __init__(self, kind: type) -> None:
         self.count = self.used = 0
-        self.end, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32)
+        self.end, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, kind)
 
     def add(self, new: np.ndarray, sizes: np.ndarray) -> None:
         stop, used = self.count + len(sizes), self.used + len(new)
@@ -111,7 +146,7 @@ class _Lists:
 
     def take(self, slots: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slots = slots[which]
-        size = self.size[slots]
+        size = self.size[slots].astype(np.int64)
         ends = np.cumsum(size)
         return self.ids[np.repeat(self.end[slots] - ends, size) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 

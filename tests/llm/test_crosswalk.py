@@ -116,6 +116,15 @@ def test_units_are_remembered_by_their_bytes(monkeypatch):
         assert ids.tolist() == [v for x in names for v in (len(x), x[0])] and ends.tolist() == [2 * k + 2 for k in range(40)]
 
 
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(units, "hash", lambda x: len(x) % 2, raising=False)
+    memory = units.Memory(lambda xs: units.flat_lists([[x[0]] for x in xs]))
+    for names in ([b"a", b"b", b"cc"], [b"b", b"d", b"a"], [b"dd", b"cc", b"eeee"]):
+        data, edges = np.frombuffer(b"".join(names), np.uint8), np.cumsum([0, *map(len, names)])
+        ((ids, _),) = memory.look_up(*units.distinct(data, edges))
+        assert ids.tolist() == [x[0] for x in names]
+
+
 def test_lanes_end_where_both_end():
     both = crosswalk.tokenizers(A, B)
     text = pa.array(["ab" * 3000 + " " + "word " * 900, "日本" * 2000, "", "x"])
