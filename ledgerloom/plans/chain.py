@@ -484,6 +484,38 @@ def T13_pending_proposals(spark, d):
     return streams.pending_proposals(kept("proposals"), kept("commitments").where(F.col("block") > tip - 3).select("party").distinct(), tip, "party", "block", 100)
 
 
+@query("""WITH tip AS (SELECT max(block) AS tip FROM txs), p AS (SELECT DISTINCT party, block FROM txs WHERE kind = 'signup'), c AS (SELECT DISTINCT party, block AS done FROM txs WHERE kind = 'purchase'),
+f AS (SELECT p.party, p.block, min(done) AS done FROM p LEFT JOIN c ON p.party = c.party AND done BETWEEN p.block + 2 AND p.block + 10 GROUP BY 1, 2)
+SELECT party, block AS proposed, 'proposed' AS fate, block FROM p UNION ALL SELECT party, block, 'committed', done FROM f WHERE done IS NOT NULL UNION ALL SELECT party, block, 'expired', block + 10 FROM f, tip WHERE done IS NULL AND block + 11 < tip""", "txs")
+def T13_proposal_fates(spark, d):
+    """Every proposal with its commitment or expiry, told by a stream in three batches whose timers close the windows."""
+    t = v.txs(spark, d).where("kind IN ('signup', 'purchase')").select("party", "block", (F.col("kind") == "purchase").alias("done"))
+    # the last block of all, of no party, lets the watermark reach the tip whatever happened in it
+    last = v.txs(spark, d).agg(F.max("block").alias("block")).where("block IS NOT NULL").select(F.lit(None).cast("bigint").alias("party"), "block", F.lit(True).alias("done"))
+    rows, at = t.union(last), F.col("block")
+    tip = last.first()[1] if not last.isEmpty() else 0
+    folder, schema = io.work_folder(spark), "party long, proposed long, fate string, block long"
+
+    def start(source, out, checkpoint):
+        fates = streams.proposal_fates(source, "party", "block", "done", 2, 10)
+        return fates.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+
+    streams.feed([rows.where(at <= tip // 3), rows.where((at > tip // 3) & (at <= tip // 2)), rows.where(at > tip // 2)], folder, start)
+    return spark.read.schema(schema).parquet(f"{folder}/out")
+
+
+@query("""WITH tip AS (SELECT max(block) AS tip FROM txs), b AS (SELECT block, party, moved + CASE WHEN block > tip - 8 THEN 1 ELSE 0 END AS moved, CASE WHEN block > tip - 8 THEN day + 1 ELSE day END AS day FROM txs, tip)
+SELECT day, count(*) AS n, count(DISTINCT party) AS parties, CAST(sum(moved) AS BIGINT) AS moved FROM b GROUP BY day""", "txs")
+def T08_rolled_back_days(spark, d):
+    """Daily figures kept by a stream that takes back its last eight blocks for a branch whose blocks are a day later: only the days touched are written again."""
+    t = v.txs(spark, d).select("tx", "block", "party", "moved", "day")
+    tip, at = t.agg(F.max("block")).first()[0] or 0, F.col("block")
+    branch = t.where(at > tip - 8).withColumns({"moved": F.col("moved") + 1, "day": F.date_add("day", 1)})
+    daily = lambda rows: rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("party").alias("parties"), F.sum("moved").alias("moved"))
+    folder = streams.feed([t.where(at <= tip // 2), t.where(at > tip // 2), branch], io.work_folder(spark), lambda source, out, checkpoint: streams.stream_days(source, daily, out, checkpoint, "block", "day"))
+    return streams.read_days(spark, folder).select("day", "n", "parties", "moved")
+
+
 @query("""WITH m AS (SELECT max(block) AS tip FROM txs), a AS (SELECT DISTINCT party FROM txs, m WHERE block < tip * 3 // 10), b AS (SELECT DISTINCT party FROM txs, m WHERE block >= tip * 6 // 10 AND kind = 'view'), c AS (SELECT DISTINCT party FROM txs, m WHERE kind = 'purchase' AND block >= tip * 9 // 10)
 SELECT party, CASE WHEN party NOT IN (SELECT party FROM a) THEN 'arrived' WHEN party IN (SELECT party FROM b) THEN 'stayed' WHEN party IN (SELECT party FROM c) THEN 'committed' ELSE 'rejected' END AS change FROM (SELECT party FROM a UNION SELECT party FROM b)""", "txs")
 def T15_pool_diff(spark, d):

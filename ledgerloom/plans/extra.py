@@ -1,6 +1,7 @@
 """Queries of sources, sinks, streams, detectors and the remaining functions."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import exact
 from ..functions.calendar import day_end_ms, day_key
@@ -8,6 +9,7 @@ from ..functions.udf import blake2b
 from ..operators import joins, ledger, protocol, quality, sets
 from ..sources import io
 from ..streaming import ledger as streams
+from ..streaming import state
 from . import cells as c
 from . import views as v
 from .views import query
@@ -196,29 +198,23 @@ def T02_stream_buckets(spark, d):
 
 @query("SELECT party, CAST(sum(capacity + CASE WHEN outpoint > tip - 8 THEN 1 ELSE 0 END) AS BIGINT) AS capacity, count(*) AS n FROM outputs, (SELECT max(outpoint) AS tip FROM outputs) GROUP BY party", "outputs")
 def T04_running_state(spark, d):
-    """Balances kept by a stream: two batches, and a third that is another branch of the last eight blocks."""
-    agg = streams.IncrementalAgg("balances", lambda t: t.select("party", F.col("outpoint").alias("block"), "capacity", F.lit(1).cast("bigint").alias("n")), ["party"], ["capacity", "n"])
-    o = v.outputs(spark, d).select("party", "outpoint", "capacity")
-    tip = o.agg(F.max("outpoint")).first()[0] or 0
-    branch = o.where(F.col("outpoint") > tip - 8).withColumn("capacity", F.col("capacity") + 1)
-    parts = [o.where(F.col("outpoint") <= tip // 2), o.where(F.col("outpoint") > tip // 2), branch]
-    folder = streams.run_parts([p.withColumn("block", F.col("outpoint")) for p in parts], lambda df: {agg.name: agg.rebuild(df)}, io.work_folder(spark), "block")
-    return agg.current(streams.kept_state(spark, folder, agg))
+    """Balances kept by a stream and folded after each batch: two batches, and a third that is another branch of the last eight blocks."""
+    agg = streams.IncrementalAgg("balances", lambda t: t.select("party", "block", "capacity", F.lit(1).cast("bigint").alias("n")), ["party"], ["capacity", "n"])
+    o = v.outputs(spark, d).select("party", F.col("outpoint").alias("block"), "capacity")
+    tip, at = o.agg(F.max("block")).first()[0] or 0, F.col("block")
+    parts = [o.where(at <= tip // 2), o.where(at > tip // 2), o.where(at > tip - 8).withColumn("capacity", F.col("capacity") + 1)]
+    folder = streams.feed(parts, io.work_folder(spark), lambda source, out, checkpoint: state.stream_state(source, agg, out, checkpoint, every=1))
+    return agg.current(state.kept_state(spark, folder, agg))
 
 
 @query("WITH tip AS (SELECT max(ts_ms) AS tip FROM txs) SELECT count(*) AS rows, count(DISTINCT party) AS parties FROM txs, tip WHERE ts_ms > tip - 24 * 3600000", "txs")
 def T05_stream_rolling(spark, d):
-    """Hourly partials kept by a stream, rebuilt on a switch, and the rows of the hour that the window cuts."""
-    t = v.txs(spark, d).select("block", "hour", "party", "ts_ms")
-    tip = t.agg(F.max("block")).first()[0] or 0
-    derive = lambda df: {"hourly": df.groupBy("hour", "party", "block").agg(F.count(F.lit(1)).alias("n"), F.max("ts_ms").alias("latest")), "rows": df}
-    parts = [t.where(F.col("block") <= tip - 20), t.where(F.col("block") > tip - 20), t.where(F.col("block") > tip - 8)]
-    folder = streams.run_parts(parts, derive, io.work_folder(spark), "block")
-    hourly = streams.read_committed(spark, folder, "hourly", "block")
-    start = (hourly.agg(F.max("latest")).first()[0] or 0) - 24 * 3_600_000
-    edge = start // 3_600_000
-    cut = streams.read_committed(spark, folder, "rows", "block").where((F.col("hour") == edge) & (F.col("ts_ms") > start)).select("party", F.lit(1).cast("bigint").alias("n"))
-    return hourly.where(F.col("hour") > edge).select("party", "n").union(cut).groupBy("party").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("parties"))
+    """The last 24 hours kept by a stream that evicts older hours: two batches, and a third that is the last eight blocks once more."""
+    t = v.txs(spark, d).select("block", "party", "ts_ms")
+    tip, at = t.agg(F.max("block")).first()[0] or 0, F.col("block")
+    parts = [t.where(at <= tip // 2), t.where((at > tip // 2) & (at <= tip - 20)), t.where(at > tip - 20), t.where(at > tip - 8)]
+    folder = streams.feed(parts, io.work_folder(spark), lambda source, out, checkpoint: state.stream_rolling(source, "ts_ms", "party", out, checkpoint, every=1))
+    return state.rolling_now(spark, folder)
 
 
 @query("SELECT epoch_us(ts) // 3600000000 AS hour, count(DISTINCT user_id) AS parties FROM events GROUP BY 1")
@@ -269,17 +265,45 @@ def T12_incremental_instances(spark, d):
     return done[0].union(done[1]).union(done[2])
 
 
-@query("""WITH t AS (SELECT max(block) AS tip FROM txs), b AS (SELECT block, count(*) AS n FROM txs GROUP BY block), p AS (SELECT 0 AS k UNION ALL SELECT 1)
-SELECT 'block' AS topic, '{"number":' || block || ',"tx_count":' || n || '}' AS value FROM b, t, p WHERE k = 0 OR block > tip - 3 UNION ALL SELECT 'tx', '{"tx":' || tx || ',"kind":"' || kind || '"}' FROM txs, t, p WHERE k = 0 OR block > tip - 3
-UNION ALL SELECT 'status', '{"tip":' || (tip - 20) || '}' FROM t UNION ALL SELECT 'status', '{"tip":' || tip || '}' FROM t, p UNION ALL SELECT 'switch', '{"fork":' || (tip - 3) || ',"tip":' || tip || '}' FROM t""", "txs")
+FEED = """WITH t AS (SELECT max(block) AS tip FROM txs), b AS (SELECT block, count(*) AS n FROM txs GROUP BY block), p AS (SELECT 0 AS k UNION ALL SELECT 1),
+feed AS (SELECT CASE WHEN k = 1 THEN 2 WHEN block > tip - 20 THEN 1 ELSE 0 END AS batch, block, 1 AS step, 'block' AS topic, '{"number":' || block || ',"tx_count":' || n || '}' AS value FROM b, t, p WHERE k = 0 OR block > tip - 3
+UNION ALL SELECT CASE WHEN k = 1 THEN 2 WHEN block > tip - 20 THEN 1 ELSE 0 END, block, 2, 'tx', '{"tx":' || tx || ',"kind":"' || kind || '"}' FROM txs, t, p WHERE k = 0 OR block > tip - 3
+UNION ALL SELECT CASE WHEN k = 1 THEN 2 WHEN block > tip - 20 THEN 1 ELSE 0 END, block, 3, 'activity', '{"party":' || party || ',"kind":"' || kind || '","moved":' || CAST(sum(moved) AS BIGINT) || '}' FROM txs, t, p WHERE k = 0 OR block > tip - 3 GROUP BY k, tip, block, party, kind
+UNION ALL SELECT 0, tip - 20, 4, 'status', '{"tip":' || (tip - 20) || '}' FROM t UNION ALL SELECT k + 1, tip, 4, 'status', '{"tip":' || tip || '}' FROM t, p UNION ALL SELECT 2, tip - 3, 0, 'switch', '{"fork":' || (tip - 3) || ',"tip":' || tip || '}' FROM t)"""
+
+
+def pushed(spark, d):
+    """The folder of what a stream pushes over three batches, the last a switch."""
+    t = v.txs(spark, d).select("tx", "block", "kind", "party", "moved")
+    tip, at = t.agg(F.max("block")).first()[0] or 0, F.col("block")
+
+    def feed(df, switch):
+        return {
+            "feed": streams.ordered_feed({
+                "switch": switch.select("fork", "tip", F.col("fork").alias("block")),
+                "block": df.groupBy("block").agg(F.count(F.lit(1)).alias("tx_count")).select("block", F.col("block").alias("number"), "tx_count"),
+                "tx": df.select("block", "tx", "kind"),
+                "activity": df.groupBy("block", "party", "kind").agg(F.sum("moved").alias("moved")),
+                "status": df.agg(F.max("block").alias("tip")).select(F.col("tip").alias("block"), "tip"),
+            })
+        }
+
+    return streams.run_parts([t.where(at <= tip - 20), t.where(at > tip - 20), t.where(at > tip - 3)], feed, io.work_folder(spark), "block", tell_switch=True)
+
+
+@query(FEED + " SELECT topic, value FROM feed WHERE topic <> 'activity'", "txs")
 def T14_push_feed(spark, d):
     """What a stream pushes over three batches, the last a switch: blocks, transactions, sync status, and the switch."""
-    t = v.txs(spark, d).select("tx", "block", "kind")
-    tip = t.agg(F.max("block")).first()[0] or 0
-    feed = lambda df: {"feed": streams.push_feed({"block": df.groupBy(F.col("block").alias("number")).agg(F.count(F.lit(1)).alias("tx_count")), "tx": df.select("tx", "kind"), "status": df.agg(F.max("block").alias("tip"))})}
-    at = F.col("block")
-    folder = streams.run_parts([t.where(at <= tip - 20), t.where(at > tip - 20), t.where(at > tip - 3)], feed, io.work_folder(spark), "block")
-    return streams.read_committed(spark, folder, "feed").union(streams.push_feed({"switch": streams.switches(spark, folder).select("fork", "tip")}))
+    return streams.read_committed(spark, pushed(spark, d), "feed").where("topic <> 'activity'").select("topic", "value")
+
+
+@query(FEED + " SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY block, step, value) AS place, topic, value FROM feed", "txs")
+def T14_ordered_feed(spark, d):
+    """All five topics in the order in which each batch pushes them: a switch comes before the blocks that replace others."""
+    written = spark.read.parquet(f"{pushed(spark, d)}/feed")
+    # a batch's files follow each other, and so do the rows of each: the order is that of the rows as they were written
+    at = F.struct(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return written.select("batch", "topic", "value", at.alias("at")).select(F.col("batch").cast("int").alias("batch"), F.row_number().over(Window.partitionBy("batch").orderBy("at")).alias("place"), "topic", "value")
 
 
 @query("SELECT DISTINCT tx, 'small' AS action, 'tokens' AS protocol FROM legs WHERE token < 10 UNION ALL SELECT tx, 'many', 'lines' FROM legs GROUP BY tx HAVING count(*) > 5", "legs")

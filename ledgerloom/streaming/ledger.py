@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: Fixed value: a switch deeper than this many blocks stops the stream.
@@ -21,47 +22,106 @@ def _marks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_MARKS).parquet(f"{path}/_commits")
 
 
-def stream_ledger(source: DataFrame, derive: Callable[[DataFrame], dict[str, DataFrame]], path: str, checkpoint: str, block: str | None = None) -> DataStreamWriter:
+def _switch(df: DataFrame, number: int, path: str, block: str) -> tuple[int | None, int | None]:
+    """The tip after a micro-batch, and the fork if it is a switch; both as its marker will say."""
+    spark = df.sparkSession
+    low, tip = df.agg(F.min(block), F.max(block)).first()
+    seen = _marks(spark, path).where((F.col("batch") < number) & F.col("tip").isNotNull()).agg(F.max_by("tip", "batch"), F.max("tip")).first() if number else (None, None)
+    if tip is None or seen[0] is None or low > seen[0]:
+        return (seen[0] if tip is None else tip), None
+    reachable(seen[1], low - 1)
+    return tip, low - 1
+
+
+def _write_mark(spark: SparkSession, path: str, number: int, tip: int | None, fork: int | None) -> None:
+    mark = spark.range(1).select(F.lit(tip).cast("long").alias("tip"), F.lit(fork).cast("long").alias("fork"))
+    mark.write.mode("overwrite").parquet(f"{path}/_commits/batch={number}")
+
+
+def stream_ledger(source: DataFrame, derive: Callable[..., dict[str, DataFrame]], path: str, checkpoint: str, block: str | None = None, tell_switch: bool = False) -> DataStreamWriter:
     """Derived tables of every micro-batch, written under the batch's number so that a repeated batch replaces itself.
 
     The commit marker is the last write; readers take committed batches only (read_committed()). With a block column,
     blocks come in order, and one at or below the tip so far is a switch: the marker says from which fork, rows of earlier
-    batches above it don't count any more, and the batch's own are the new branch (T08). A switch below DEEPEST blocks
-    stops the stream.
+    batches above it don't count any more, and the batch's own are the new branch (T08). A switch more than DEEPEST blocks
+    below the highest block so far stops the stream. With tell_switch, derive also gets a table of the batch's switch
+    (fork, tip), which has no row where there is none.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         df.persist()
-        tip = fork = None
-        if block:
-            low, tip = df.agg(F.min(block), F.max(block)).first()
-            before = _marks(spark, path).where((F.col("batch") < number) & F.col("tip").isNotNull()).agg(F.max_by("tip", "batch")).first()[0] if number else None
-            if tip is None:
-                tip = before
-            elif before is not None and low <= before:
-                fork = low - 1
-                _reachable(before, fork)
-        for name, table in derive(df).items():
-            table.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-        mark = spark.range(1).select(F.lit(tip).cast("long").alias("tip"), F.lit(fork).cast("long").alias("fork"))
-        mark.write.mode("overwrite").parquet(f"{path}/_commits/batch={number}")
-        df.unpersist()
+        try:
+            tip, fork = _switch(df, number, path, block) if block else (None, None)
+            switch = [spark.range(0 if fork is None else 1).select(F.lit(fork).cast("long").alias("fork"), F.lit(tip).cast("long").alias("tip"))] if tell_switch else []
+            for name, table in derive(df, *switch).items():
+                table.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+            _write_mark(spark, path, number, tip, fork)
+        finally:
+            df.unpersist()
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
-def _reachable(tip: int, fork: int) -> None:
+def stream_days(source: DataFrame, daily: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, block: str, day: str) -> DataStreamWriter:
+    """Rows of a ledger by day, and a daily table of which each micro-batch recomputes the days it touches.
+
+    Rows are kept under (batch, day). A batch touches the days of its own rows, and after a switch those of the rows that it takes
+    back; only their rows are read, and only their partitions of the daily table are overwritten. daily maps rows to a table with the
+    day column; a day that a switch has left without rows keeps a partition with one marked row, which read_days() leaves out.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        df.persist()
+        try:
+            tip, fork = _switch(df, number, path, block)
+            df.write.mode("overwrite").partitionBy(day).parquet(f"{path}/rows/batch={number}")
+            before = _counted_rows(spark, path, df, number, block)
+            gone = before.where(F.col(block) > fork) if fork is not None else before.limit(0)
+            touched = [r[0] for r in df.select(day).union(gone.select(day)).distinct().collect()]  # days of a micro-batch
+            if touched:
+                kept = (before if fork is None else before.where(F.col(block) <= fork)).where(F.col(day).isin(touched))
+                made = daily(kept.unionByName(df)).withColumn("_gone", F.lit(False))
+                left = spark.createDataFrame([(x,) for x in touched], f"{day} {df.schema[day].dataType.simpleString()}")
+                empty = left.join(made.select(day), day, "left_anti").withColumn("_gone", F.lit(True))
+                made.unionByName(empty, allowMissingColumns=True).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(f"{path}/daily")
+            _write_mark(spark, path, number, tip, fork)
+        finally:
+            df.unpersist()
+
+    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def _limits(marks: DataFrame) -> DataFrame:
+    """(batch, _limit): up to which block the rows of each batch count after the switches that came later; null for all."""
+    later = Window.orderBy("batch").rowsBetween(1, Window.unboundedFollowing)  # one row a batch
+    return marks.select("batch", F.min("fork").over(later).alias("_limit"))
+
+
+def _counted_rows(spark: SparkSession, path: str, like: DataFrame, number: int, block: str) -> DataFrame:
+    """The rows of the batches before one that no switch has taken back."""
+    if not number:
+        return like.limit(0)
+    schema = StructType([*like.schema.fields, StructField("batch", LongType())])
+    rows = spark.read.schema(schema).parquet(f"{path}/rows").where(F.col("batch") < number)
+    kept = rows.join(_limits(_marks(spark, path).where(F.col("batch") < number)), "batch")
+    return kept.where(F.col("_limit").isNull() | (F.col(block) <= F.col("_limit"))).select(*like.columns)
+
+
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    """The daily table that stream_days() keeps. Between a batch's last write and its marker it is that batch ahead."""
+    return spark.read.parquet(f"{path}/daily").where(~F.col("_gone")).drop("_gone")
+
+
+def reachable(tip: int, fork: int) -> None:
     if tip - fork > DEEPEST:
         raise ValueError(f"a switch from block {tip} to a fork at {fork} is deeper than {DEEPEST} blocks")
 
 
 def read_committed(spark: SparkSession, path: str, name: str, block: str | None = None) -> DataFrame:
     """The rows of a derived table from committed batches; with a block column, without what later switches took back."""
-    marks = _marks(spark, path).select("batch", "fork")
-    later = Window.orderBy("batch").rowsBetween(1, Window.unboundedFollowing)  # one row a batch
-    limits = marks.select("batch", F.min("fork").over(later).alias("_limit"))
-    rows = spark.read.parquet(f"{path}/{name}").join(limits, "batch")
+    rows = spark.read.parquet(f"{path}/{name}").join(_limits(_marks(spark, path)), "batch")
     return (rows.where(F.col("_limit").isNull() | (F.col(block) <= F.col("_limit"))) if block else rows).drop("batch", "_limit")
 
 
@@ -70,24 +130,22 @@ def switches(spark: SparkSession, path: str) -> DataFrame:
     return _marks(spark, path).where(F.col("fork").isNotNull())
 
 
-def run_parts(parts: list[DataFrame], derive: Callable[[DataFrame], dict[str, DataFrame]], folder: str, block: str | None = None) -> str:
-    """Feed parts of a ledger to a stream one after the other, as files that arrive later, and give the folder of what it derived."""
+def feed(parts: list[DataFrame], folder: str, start: Callable[[DataFrame, str, str], DataStreamWriter]) -> str:
+    """Feed parts of a ledger to a stream one after the other, as files that arrive later, and give the folder that it writes to.
+
+    start makes the writer from the source, that folder and the checkpoint.
+    """
     spark = parts[0].sparkSession
     for part in parts:
         part.write.mode("append").parquet(f"{folder}/in")
         source = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
-        stream_ledger(source, derive, f"{folder}/out", f"{folder}/checkpoint", block).trigger(availableNow=True).start().awaitTermination()
+        start(source, f"{folder}/out", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return f"{folder}/out"
 
 
-def stream_state(source: DataFrame, agg: "IncrementalAgg", path: str, checkpoint: str) -> DataStreamWriter:
-    """An incremental aggregate kept by a stream (T04): each batch adds its deltas per (keys, block) and rewrites nothing."""
-    return stream_ledger(source, lambda df: {agg.name: agg.rebuild(df)}, path, checkpoint, agg.block)
-
-
-def kept_state(spark: SparkSession, path: str, agg: "IncrementalAgg") -> DataFrame:
-    """What stream_state() has kept, after switches; agg.current() sums it."""
-    return read_committed(spark, path, agg.name, agg.block)
+def run_parts(parts: list[DataFrame], derive: Callable[..., dict[str, DataFrame]], folder: str, block: str | None = None, tell_switch: bool = False) -> str:
+    """feed() with a stream of derived tables."""
+    return feed(parts, folder, lambda source, out, checkpoint: stream_ledger(source, derive, out, checkpoint, block, tell_switch))
 
 
 def stream_buckets(stream: DataFrame, ts: str, length: str, offset: str = "0 seconds", late: str = "0 seconds", keys: list[str] | None = None, **measures: Column) -> DataFrame:
@@ -175,7 +233,7 @@ def detect_switch(new: DataFrame, stored: DataFrame, number: str = "number", has
 def rollback(tables: dict[str, DataFrame], fork: int, number: str = "number", tip: int | None = None) -> dict[str, DataFrame]:
     """Every table without rows above the fork (T08); with the tip given, a fork too deep below it is an error."""
     if tip is not None:
-        _reachable(tip, fork)
+        reachable(tip, fork)
     return {name: df.where(F.col(number) <= fork) for name, df in tables.items()}
 
 
@@ -224,6 +282,47 @@ def pending_proposals(proposals: DataFrame, committed: DataFrame, tip: int, key:
     return proposals.where(F.col(proposed) + farthest >= tip).join(committed.select(key), key, "left_anti")
 
 
+def proposal_fates(stream: DataFrame, key: str, block: str, commits: str, near: int, farthest: int, late: int = 1) -> DataFrame:
+    """What becomes of proposals, told by the stream itself (T13): rows (key, proposed, fate, block).
+
+    The stream has a row for each proposal and, with commits true, for each commitment; blocks come in order and without
+    switches, so it belongs behind the blocks that a switch can reach. A proposal is "proposed" when it comes,
+    "committed" by the first commitment `near` to `farthest` blocks after it, and "expired" by a timer as soon as the blocks are more
+    than `late` past its window, with rows of its key or without. Block numbers are the event time, a second each from late + 1 on, and `late` is the
+    watermark's delay: a block may be dealt over so many batches. The state of a key is its open proposals.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    kind, first = stream.schema[key].dataType.simpleString(), late + 1  # the second of block 0: times at the first watermark, 0, would be late
+
+    def step(keys, parts, state):
+        """The rows of one key in order, or its timer."""
+        open_ = list(state.get[0]) if state.exists else []
+        told = []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(parts))
+            for at, done in sorted(set(zip(rows["at"].tolist(), rows["done"].tolist(), strict=True)), key=lambda r: (r[0], not r[1])):
+                if not done and at not in open_:
+                    open_.append(at)
+                    told.append((at, "proposed", at))
+                elif done:
+                    told += [(p, "committed", at) for p in open_ if p + near <= at <= p + farthest]
+                    open_ = [p for p in open_ if not p + near <= at <= p + farthest]
+        now = state.getCurrentWatermarkMs() - first * 1000
+        told += [(p, "expired", p + farthest) for p in open_ if (p + farthest) * 1000 < now]
+        open_ = [p for p in open_ if (p + farthest) * 1000 >= now]
+        if open_:
+            state.update((open_,))
+            state.setTimeoutTimestamp(max((min(open_) + farthest) * 1000, now) + first * 1000 + 1)
+        else:
+            state.remove()
+        yield pd.DataFrame({key: [keys[0]] * len(told), "proposed": [p for p, *_ in told], "fate": [f for _, f, _ in told], "block": [b for *_, b in told]})
+
+    rows = stream.select(key, F.col(block).cast("long").alias("at"), F.col(commits).alias("done"), F.timestamp_seconds(F.col(block) + first).alias("_time")).withWatermark("_time", f"{late} seconds")
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, proposed long, fate string, block long", "open array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def push_feed(feeds: dict[str, DataFrame]) -> DataFrame:
     """Rows of several kinds as (topic, value JSON), ready for a Kafka or file sink."""
     from functools import reduce
@@ -232,6 +331,22 @@ def push_feed(feeds: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
+#: Order of the topics of one block in a feed: a switch comes before the blocks that replace others, the status after all.
+TOPICS = ("switch", "block", "tx", "activity", "status")
+
+
+def ordered_feed(feeds: dict[str, DataFrame], block: str = "block") -> DataFrame:
+    """Rows of several topics as (block, step, topic, value JSON) in the order in which they are to be pushed.
+
+    Each table has the block that a row belongs to, which is no part of the value; a switch belongs to its fork, a status to the tip.
+    """
+    from functools import reduce
+
+    step = {t: k for k, t in enumerate(TOPICS)}
+    rows = [df.select(F.col(block).alias("block"), F.lit(step[t]).alias("step"), F.lit(t).alias("topic"), F.to_json(F.struct(*(c for c in df.columns if c != block))).alias("value")) for t, df in feeds.items()]
+    return reduce(DataFrame.unionByName, rows).orderBy("block", "step", "value")
+
+
 def pool_diff(before: DataFrame, after: DataFrame, committed: DataFrame, key: str) -> DataFrame:
     """arrived, stayed, committed or rejected per transaction of two pool snapshots."""
     b, a, c = (df.select(key).distinct().withColumn(n, F.lit(True)) for df, n in ((before, "_b"), (after, "_a"), (committed, "_c")))
