@@ -29,6 +29,8 @@ from .units import Memory, after_words, distinct, flat_lists, spaced
 LANE = 64
 #: Pairs whose counts all tasks hold: 12 bytes each.
 HELD = 1 << 20
+#: Distinct units that a worker remembers with the ids of both tokenizers, some 100 bytes each.
+REMEMBERED = 500_000
 
 _pairs: dict[tuple[str, str], "Tokenizers"] = {}
 
@@ -48,6 +50,7 @@ class Tokenizers:
         b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a_bytes = [_level(a.id_to_token(i) or "") for i in range(a.get_vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, b.id_to_piece(i)) for i in range(b.get_piece_size()))]
+        self.pair = np.int32 if len(self.a_bytes) * len(self.b_bytes) < 1 << 31 else np.int64
         self.a_size, self.b_size = (np.array([len(x) for x in xs], np.int64) for xs in (self.a_bytes, self.b_bytes))
         space = [b.piece_to_id("▁")]
         self.lossy: set[bytes] = set()  # units that a tokenizer does not give back
@@ -56,6 +59,7 @@ class Tokenizers:
             lambda units: self._checked(units, *_together(units, encode_a, self.a_size), self.a_bytes),
             # a unit starts with the space that the tokenizer adds
             lambda units: self._checked(units, *flat_lists([ids or space for ids in b.encode([u[1:].decode() for u in units], num_threads=1)]), self.b_bytes),
+            most=REMEMBERED,
         )
         names = [f"{i}{mark}" for mark, size in ((",", len(self.a_size)), ("|", len(self.a_size)), (",", len(self.b_size)), (";", len(self.b_size))) for i in range(size)]
         self.names = pa.array([n.encode() for n in names], pa.large_binary())
@@ -182,13 +186,13 @@ def align_rows(both: Tokenizers, column: pa.Array) -> dict[str, pa.Array]:
     digests = [hashlib.sha256(body[x : max(x, y - 1)]).hexdigest() if ok else "" for x, y, ok in zip(edges[:-1], edges[1:], good.tolist(), strict=True)]  # the last group has no mark after it
     return {
         "n_a": pa.array(np.diff(a_rows)), "n_b": pa.array(np.diff(b_rows)), "n_groups": pa.array(groups), "n_links": pa.array(links), "groups_sha256": pa.array(digests, pa.string()),
-        "pairs": _lists(links, a[link_a] * len(both.b_size) + b[link_b]), "a_tokens": _lists(np.diff(a_rows), a), "b_tokens": _lists(np.diff(b_rows), b),
+        "pairs": _lists(links, (a[link_a] * len(both.b_size) + b[link_b]).astype(both.pair)), "a_tokens": _lists(np.diff(a_rows), a), "b_tokens": _lists(np.diff(b_rows), b),
         "a_group_sizes": _lists(groups, np.diff(cut_a, prepend=-1)), "b_group_sizes": _lists(groups, np.diff(cut_b, prepend=-1)),
     }
 
 
 def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
 
 
 _ALIGNED = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs")
@@ -212,7 +216,8 @@ def align(documents: DataFrame, a_path: str, b_path: str, groups: bool = False)
             count += part.num_rows
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), row, *(found[n] for n in names)], ["doc_id", "row", *names])
 
-    lists = ", ".join(f"{n} array<long>" for n in names[5:])
+    pair = "int" if tokenizers(a_path, b_path).pair is np.int32 else "long"
+    lists = ", ".join(f"{n} array<{pair if n == 'pairs' else 'long'}>" for n in names[5:])
     return texts(documents, "doc_id").mapInArrow(run, f"doc_id {kind}, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, {lists}")
 
 
@@ -259,7 +264,7 @@ def score_links(aligned: DataFrame, b_size: int, held: int = HELD) -> DataFrame:
     spark = aligned.sparkSession
     counts = cut(pair_counts(aligned))
     best = np.zeros(b_size, np.int64)
-    for r in counts.groupBy((F.col("pair") % b_size).alias("b")).agg(F.max("n").alias("n")).collect():  # one a B id
+    for r in counts.groupBy((F.col("pair") % b_size).cast("int").alias("b")).agg(F.max("n").alias("n")).collect():  # one a B id
         best[r["b"]] = r["n"]
     least = _commonest(counts, held)
     common = counts.where(F.col("n") >= least).toPandas().sort_values("pair")  # at most `held`
@@ -280,7 +285,7 @@ def score_links(aligned: DataFrame, b_size: int, held: int = HELD) -> DataFrame:
         pairs_known, n_known, best_of = known.value
         for batch in _parts(batches):
             column, row = batch.column("pairs"), batch.column("row").to_numpy()
-            pairs = column.flatten().to_numpy(zero_copy_only=False)
+            pairs = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             rows = np.repeat(row, pc.list_value_length(column).to_numpy(zero_copy_only=False))
             left = ~_values(pairs, pairs_known, n_known)[1]
             both, times = np.unique(np.stack([rows[left], pairs[left]], 1), axis=0, return_counts=True)
@@ -297,13 +302,6 @@ def score_links(aligned: DataFrame, b_size: int, held: int = HELD) -> DataFrame:
     return joined.select(*columns, (F.col("n_best") + F.coalesce("_best", F.lit(0))).alias("n_best"), (F.col("count_sum") + F.coalesce("_sum", F.lit(0))).alias("count_sum"))
 
 
-def pieces_of(b_path: str) -> int:
-    """The size of a piece vocabulary."""
-    import sentencepiece
-
-    return sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size()
-
-
 def find_links(documents: DataFrame, a_path: str, b_path: str, held: int = HELD) -> DataFrame:
     """align() and score_links(), the aligned rows written between them so that texts are encoded once."""
-    return score_links(cut(align(documents, a_path, b_path)), pieces_of(b_path), held)
+    return score_links(cut(align(documents, a_path, b_path)), len(tokenizers(a_path, b_path).b_bytes), held)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct units, and bytes of units, that a worker remembers; beyond that it starts afresh.
-REMEMBERED, REMEMBERED_BYTES = 2_000_000, 64 << 20
+REMEMBERED, REMEMBERED_BYTES = 1_500_000, 64 << 20
 
 
 def spaced(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +90,8 @@ class Memory:
     Units are found by a hash and then compared byte by byte; one that differs is encoded again each time.
     """
 
-    def __init__(self, *encoders: Callable[[list[bytes]], Flat]):
-        self.encoders = encoders
+    def __init__(self, *encoders: Callable[[list[bytes]], Flat], most: int = REMEMBERED):
+        self.encoders, self.most = encoders, most
         self._clear()
 
     def _clear(self) -> None:
@@ -114,7 +114,7 @@ class Memory:
 
     def look_up(self, units: list[bytes], which: np.ndarray) -> list[Flat]:
         """For each encoder, the ids of the units which[0], which[1], ... in one array, and where each one's end; units are distinct."""
-        if self.text.count + len(units) > REMEMBERED or self.text.used > REMEMBERED_BYTES:
+        if self.text.count + len(units) > self.most or self.text.used > REMEMBERED_BYTES:
             self._clear()
         keys, size = np.fromiter(map(hash, units), np.int64, len(units)), np.fromiter(map(len, units), np.int64, len(units))
         slots = self._known(keys, np.frombuffer(b"".join(units), np.uint8), size)

@@ -103,9 +103,8 @@ def test_alignment_of_no_documents(spark):
     assert crosswalk.find_links(spark.createDataFrame([], "doc_id long, text string"), A, B).collect() == []
 
 
-def test_units_are_remembered_by_their_bytes(monkeypatch):
-    monkeypatch.setattr(units, "REMEMBERED", 50)
-    memory = units.Memory(lambda xs: units.flat_lists([[len(x), x[0]] for x in xs]), lambda xs: units.flat_lists([[7] * len(x) for x in xs]))
+def test_units_are_remembered_by_their_bytes():
+    memory = units.Memory(lambda xs: units.flat_lists([[len(x), x[0]] for x in xs]), lambda xs: units.flat_lists([[7] * len(x) for x in xs]), most=50)
     rng = random.Random(1)
     for _ in range(60):
         names = [bytes([rng.randrange(65, 70)]) * rng.randint(1, 9) for _ in range(40)]
