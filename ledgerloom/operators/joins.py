@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .series import carried, in_ranges
+
 
 def cell_state(outputs: DataFrame, inputs: DataFrame, keys: list[str], spent: str) -> DataFrame:
     """Outputs with their consumer's columns; live where `spent` (a column of inputs) is null."""
@@ -110,28 +112,76 @@ def pool_stage(pool: DataFrame, proposals: DataFrame, tip: int, key: str, propos
     return pool.join(best, key, "left").select(*pool.columns, stage.alias("stage"), F.coalesce("_ready", "_gap").alias(proposed))
 
 
-def match_transfers(legs: DataFrame, tx: str, token: str, party: str, delta: str) -> DataFrame:
+#: Legs of one (tx, token) from which on its parties are matched range by range.
+LARGE = 1_000_000
+
+
+def match_transfers(legs: DataFrame, tx: str, token: str, party: str, delta: str, path: str, large: int = LARGE) -> DataFrame:
     """Net senders paired with net receivers per (tx, token) in party order; the rest is mint or burn.
 
     The greedy pairing equals the overlap of both sides' cumulative intervals. The starts of all intervals, put in one
     order, cut the line into stretches that have one sender and one receiver each, carried forward from the last start
     of their side; so the work is linear in the parties of a (tx, token). Rows: tx, token, sender, receiver, amount;
-    sender null is a mint, receiver null a burn. Legs are dealt by (tx, token) once, for all steps.
+    sender null is a mint, receiver null a burn. Legs are dealt by (tx, token) once, for all steps; a (tx, token) of more than
+    `large` legs, such as an airdrop, lies in ranges of parties and then of places instead, written below path, and
+    sums and last starts are carried from range to range.
     """
-    net = legs.select(tx, token, party, delta).repartition(tx, token).groupBy(tx, token, party).agg(F.sum(delta).alias("_net")).where(F.col("_net") != 0)
-    order = Window.partitionBy(tx, token, F.col("_net") > 0).orderBy(party)
-    hi = F.sum(F.abs("_net")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = net.withColumns({"_hi": hi, "_end": F.lead(party).over(order).isNull()}).withColumn("_lo", F.col("_hi") - F.abs("_net"))
-    kind = legs.schema[party].dataType
-    nobody = F.lit(None).cast(kind)
+    keys = [tx, token]
+    crowded = legs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_legs")).where(F.col("_legs") > large).select(*keys)
+    few = legs.select(*keys, party, delta)
+    if crowded.isEmpty():
+        return _matched(few.repartition(*keys), keys, party, delta)
+    wide = _wide_points(few.join(crowded, keys, "left_semi"), keys, party, delta, path)
+    return _matched(few.join(crowded, keys, "left_anti").repartition(*keys), keys, party, delta).unionByName(_cut_ranges(wide, keys, f"{path}/points"))
+
+
+def _net(legs: DataFrame, keys: list[str], party: str, delta: str) -> DataFrame:
+    return legs.groupBy(*keys, party).agg(F.sum(delta).alias("_net")).where(F.col("_net") != 0)
+
+
+def _points(placed: DataFrame, keys: list[str], party: str) -> DataFrame:
+    """(_at, _s, _r) of each group: where an interval of a sender or receiver starts, and where the last of a side (_end) ends."""
+    nobody = F.lit(None).cast(placed.schema[party].dataType)
     side = lambda rule, p: F.when(rule, F.struct(p.alias("p")))
     sends, gets = F.col("_net") < 0, F.col("_net") > 0
     point = lambda at, who: F.struct(F.col(at).alias("_at"), side(sends, who).alias("_s"), side(gets, who).alias("_r"))
-    points = placed.select(tx, token, F.inline(F.array_compact(F.array(point("_lo", F.col(party)), F.when(F.col("_end"), point("_hi", nobody))))))
-    points = points.groupBy(tx, token, "_at").agg(F.max("_s").alias("_s"), F.max("_r").alias("_r"))
-    along = Window.partitionBy(tx, token).orderBy("_at")
+    points = placed.select(*keys, F.inline(F.array_compact(F.array(point("_lo", F.col(party)), F.when(F.col("_end"), point("_hi", nobody))))))
+    return points.groupBy(*keys, "_at").agg(F.max("_s").alias("_s"), F.max("_r").alias("_r"))
+
+
+def _matched(legs: DataFrame, keys: list[str], party: str, delta: str) -> DataFrame:
+    order = Window.partitionBy(*keys, F.col("_net") > 0).orderBy(party)
+    hi = F.sum(F.abs("_net")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = _net(legs, keys, party, delta).withColumns({"_hi": hi, "_end": F.lead(party).over(order).isNull()}).withColumn("_lo", F.col("_hi") - F.abs("_net"))
+    along = Window.partitionBy(*keys).orderBy("_at")
     so_far = along.rowsBetween(Window.unboundedPreceding, 0)
-    cut = points.select(tx, token, F.last("_s", True).over(so_far)["p"].alias("sender"), F.last("_r", True).over(so_far)["p"].alias("receiver"), (F.lead("_at").over(along) - F.col("_at")).alias("amount"))
+    cut = _points(placed, keys, party).select(*keys, F.last("_s", True).over(so_far)["p"].alias("sender"), F.last("_r", True).over(so_far)["p"].alias("receiver"), (F.lead("_at").over(along) - F.col("_at")).alias("amount"))
+    return cut.where(F.col("amount").isNotNull())
+
+
+def _wide_points(legs: DataFrame, keys: list[str], party: str, delta: str, path: str) -> DataFrame:
+    """The points of groups whose parties lie in several ranges: sums of the ranges before are added to those inside."""
+    side = [*keys, "_gets"]
+    ranged = in_ranges(_net(legs, keys, party, delta).withColumn("_gets", F.col("_net") > 0), side, [party], f"{path}/parties")
+    along = Window.partitionBy(*side).orderBy("_range")  # a row for each range of a group
+    sums = carried(ranged, side, _sum=F.sum(F.abs("_net"))).select(*side, "_range", F.coalesce(F.sum("_sum").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_range").over(along).isNull().alias("_last"))
+    inside = Window.partitionBy(*side, "_range").orderBy(party)
+    hi = F.sum(F.abs("_net")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    placed = ranged.join(sums, [*side, "_range"]).withColumns({"_hi": hi, "_end": F.lead(party).over(inside).isNull() & F.col("_last")}).withColumn("_lo", F.col("_hi") - F.abs("_net"))
+    return _points(placed, keys, party)
+
+
+def _cut_ranges(points: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """The stretches between points that lie in several ranges: the last starts before a range and the first point after it are carried."""
+    ranged = in_ranges(points, keys, ["_at"], path)
+    along = Window.partitionBy(*keys).orderBy("_range")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    ends = carried(ranged, keys, _ls=F.max_by("_s", F.when(F.col("_s").isNotNull(), F.col("_at"))), _lr=F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_at"))), _first=F.min("_at"))
+    ends = ends.select(*keys, "_range", F.last("_ls", True).over(before).alias("_ls"), F.last("_lr", True).over(before).alias("_lr"), F.lead("_first").over(along).alias("_next"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("_at")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    who = lambda own, last, name: F.coalesce(F.last(own, True).over(so_far), F.col(last))["p"].alias(name)
+    cut = ranged.join(ends, [*keys, "_range"]).select(*keys, who("_s", "_ls", "sender"), who("_r", "_lr", "receiver"), (F.coalesce(F.lead("_at").over(inside), "_next") - F.col("_at")).alias("amount"))
     return cut.where(F.col("amount").isNotNull())
 
 
@@ -212,10 +262,11 @@ def bind_info(tokens: DataFrame, info: DataFrame, keys: list[str], order: str, v
     return tokens.join(first, keys, "left")
 
 
-def expand_deps(txs: DataFrame, members: str, cells: DataFrame, key: str, used: DataFrame, tx: str, code: str) -> DataFrame:
+def expand_deps(members: DataFrame, cells: DataFrame, key: str, used: DataFrame, tx: str, code: str) -> DataFrame:
     """Transactions with the cells their dependency groups list, and which script of the transaction each supplies, if any.
 
-    used has the scripts that each transaction runs (tx, code); a cell supplies its own code.
+    members lists the cells of each transaction, a row for each (tx, cell), as a table of membership does; a cell that is
+    listed twice counts once. used has the scripts that each transaction runs (tx, code); a cell supplies its own code.
     """
-    listed = txs.withColumn(key, F.explode(members)).join(cells, key, "left")
+    listed = members.select(tx, key).distinct().join(cells, key, "left")
     return listed.join(used.select(tx, code, F.col(code).alias("supplies")).distinct(), [tx, code], "left")

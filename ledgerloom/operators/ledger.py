@@ -106,9 +106,13 @@ def parse_scope(query: str) -> tuple[str | None, str]:
 
 
 def items_of(df: DataFrame, owner: str, who) -> DataFrame:
-    """The rows of an owner, the children of a parent name, or, where the column is an array, what a party takes part in."""
-    member = df.schema[owner].dataType.typeName() == "array"
-    return df.where(F.array_contains(owner, who) if member else F.col(owner) == who)
+    """The rows of an owner, or the children of a parent name."""
+    return df.where(F.col(owner) == who)
+
+
+def groups_of(membership: DataFrame, group: str, member: str, who) -> DataFrame:
+    """What a party takes part in, each once, looked up in a table of (member, group) rows (P24): only the party's own rows are read on."""
+    return items_of(membership, member, who).select(group).distinct()
 
 
 def name_match(df: DataFrame, text: str, *columns: str) -> DataFrame:
@@ -303,10 +307,18 @@ def script_usage(cells: DataFrame, roles: dict[str, str], live: str, capacity: s
     return used.groupBy("role", "script").agg(F.count(F.lit(1)).alias("cells"), F.count_if(live).alias("live_cells"), alive(capacity).alias("live_capacity"), alive(occupied).alias("live_occupied"))
 
 
-def block_fee_stats(txs: DataFrame, block: str, fee: str, size: str) -> DataFrame:
-    """Count, size, and least and greatest fee rate per block by exact comparison (A37); udf.rational_mean() has the mean of the rates."""
-    rate = F.col(fee).cast("decimal(20,0)") * 1_000_000 / F.col(size)
-    return txs.groupBy(block).agg(F.count(F.lit(1)).alias("txs"), F.sum(size).alias("size"), F.min_by(F.struct(fee, size), rate).alias("least"), F.max_by(F.struct(fee, size), rate).alias("most"))
+def block_fee_stats(txs: DataFrame, block: str, fee: str, size: str, cellbase: str) -> DataFrame:
+    """Count and size per block, and the least, greatest and mean fee rate of its transactions but the cellbase.
+
+    least and greatest are (fee, size) of the transaction: a decimal quotient with more digits than two sizes can differ by
+    orders the rates. The mean is that of the rates, not weighted, and exact before it is cut. Without other transactions all three are null.
+    """
+    from ..functions.udf import rational_mean
+
+    rate = (F.col(fee).cast("decimal(18,0)") * F.lit(1_000_000_000_000).cast("decimal(13,0)")).cast("decimal(38,0)") / F.col(size).cast("decimal(10,0)")
+    paid = F.when(~F.col(cellbase), rate)
+    stats = txs.groupBy(block).agg(F.count(F.lit(1)).alias("txs"), F.sum(size).alias("size"), F.min_by(F.struct(fee, size), paid).alias("least"), F.max_by(F.struct(fee, size), paid).alias("most"))
+    return stats.join(rational_mean(txs.where(~F.col(cellbase)), block, fee, size), block, "left")
 
 
 def concentration(df: DataFrame, measure: str, key: str, tops: tuple[int, ...] = (1, 10, 100)) -> DataFrame:

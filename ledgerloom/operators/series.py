@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -81,6 +82,41 @@ def all_positions(df: DataFrame, measure: str, key: str, path: str, name: str =
     return ranged.join(offsets, "_range").withColumn(name, inside + F.col("_before")).drop("_range", "_before")
 
 
+def in_ranges(df: DataFrame, keys: list[str], order: list[str], path: str) -> DataFrame:
+    """The rows written in ranges of (keys, order), with their range's number: a group, however large, lies in consecutive ranges."""
+    spread = [F.col(c) for c in (*keys, *order)]
+    df.repartitionByRange(*spread).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path)
+
+
+def carried(ranged: DataFrame, keys: list[str], **folds: Column) -> DataFrame:
+    """Aggregates of the ranges of each group, (keys, _range, names), to be carried from range to range in a window over few rows."""
+    return ranged.groupBy(*keys, "_range").agg(*(f.alias(n) for n, f in folds.items()))
+
+
+def exact_quantiles(df: DataFrame, by: str, value: str, wanted: dict[str, float], path: str) -> DataFrame:
+    """Exact interpolated quantiles of each group, by rank selection over ranges of its values.
+
+    Equal values are counted first. The counts of ranges say which of them hold a wanted rank, and only those are put in
+    order, so no task holds a group. Null values don't count; a group without values has nulls.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = in_ranges(counted, [by], ["_v"], path)
+    along = Window.partitionBy(by).orderBy("_range")  # a row for each range of a group
+    ranges = carried(ranged, [by], _rows=F.sum("_n")).withColumns({"_after": F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_rows").over(Window.partitionBy(by))})
+    asked = F.explode(F.array(*(F.struct(F.lit(n).alias("_name"), F.lit(float(q)).alias("_q")) for n, q in wanted.items())))
+    groups = ranges.groupBy(by, "_all").agg().select(by, "_all", asked.alias("_a")).select(by, "_a.*", (F.col("_a._q") * (F.col("_all") - 1)).alias("_at"))
+    low = F.floor("_at")
+    ends = F.array(F.struct(low.alias("_rank"), (low + 1 - F.col("_at")).alias("_weight")), F.struct(F.ceil("_at").alias("_rank"), (F.col("_at") - low).alias("_weight")))
+    ranks = groups.select(by, "_name", F.inline(ends)).where(F.col("_weight") > 0)
+    inside = (F.col("_rank") < F.col("_after")) & (F.col("_rank") >= F.col("_after") - F.col("_rows"))
+    held = ranks.join(ranges, by).where(inside).select(by, "_range", "_name", "_weight", (F.col("_rank") - F.col("_after") + F.col("_rows")).alias("_rank"))
+    needed = ranged.join(held.select(by, "_range").distinct(), [by, "_range"], "left_semi")
+    upto = needed.withColumn("_upto", F.sum("_n").over(Window.partitionBy(by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    hit = upto.join(held, [by, "_range"]).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
+    return hit.groupBy(by).agg(*(F.sum(F.when(F.col("_name") == n, F.col("_weight") * F.col("_v"))).alias(n) for n in wanted))
+
+
 def positions(df: DataFrame, measure: str | Column, key: str, *by: str, name: str = "position") -> DataFrame:
     """Places 1..n by measure descending, then key, within `by` (W07); without it for bounded tables only, such as a page."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(measure) if isinstance(measure, str) else measure.desc(), F.asc(key))))

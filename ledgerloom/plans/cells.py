@@ -131,8 +131,7 @@ def P21_has_traits(spark, d):
 def P24_items_of(spark, d):
     """The newest items of an owner, the children of a parent name, and the channels that a party is in."""
     page = ranking.page(ledger.items_of(v.outputs(spark, d), "party", 77).select("outpoint"), ["outpoint"], 10)
-    channels = v.legs(spark, d).groupBy("tx").agg(F.collect_set("party").alias("parties"))  # those of one transaction
-    parts = {"item": page.select(F.col("outpoint").alias("id")), "child": ledger.items_of(v.items(spark, d), "collection", "Brand#13").select(F.col("item").alias("id")), "channel": ledger.items_of(channels, "parties", 7).select(F.col("tx").alias("id"))}
+    parts = {"item": page.select(F.col("outpoint").alias("id")), "child": ledger.items_of(v.items(spark, d), "collection", "Brand#13").select(F.col("item").alias("id")), "channel": ledger.groups_of(v.legs(spark, d), "tx", "party", 7).select(F.col("tx").alias("id"))}
     return sets.union_feed(parts)
 
 
@@ -412,31 +411,50 @@ y AS (SELECT day, sum(c) AS c, sum(n) AS n, sum(g) AS g, sum(a) AS a, sum(w) AS
 snapshot AS (SELECT y.day, CAST(sum(c) OVER o AS BIGINT) AS deposited, CAST(sum(n) OVER o AS BIGINT) AS deposits, CAST(sum(g) OVER o AS BIGINT) AS gross, CAST(a AS BIGINT) AS new_deposits, CAST(g AS BIGINT) AS new_capacity, CAST(w AS BIGINT) AS withdrawals, CAST(sum(h) OVER o AS BIGINT) AS depositors, CAST(sum(f) OVER o AS BIGINT) AS ever_depositors, CAST(p AS BIGINT) AS depositing, last_value(ar IGNORE NULLS) OVER o AS ar FROM y LEFT JOIN rates ON y.day = rates.day WINDOW o AS (ORDER BY y.day ROWS UNBOUNDED PRECEDING))"""
 
 
-@query(f"WITH {SNAPSHOT} SELECT * FROM snapshot", "deposits", "rates")
+FIELDS = SNAPSHOT + """, pr AS (SELECT day, sum(q) AS q FROM (SELECT deposit_day AS day, capacity AS q FROM deposits UNION ALL SELECT complete_day, -capacity FROM deposits WHERE complete_day IS NOT NULL) GROUP BY day),
+bl AS (SELECT created_day AS day, max(outpoint) AS last_block, sum(capacity) AS cap, sum(occupied) AS occ, sum(data_size) AS ds FROM outputs GROUP BY 1),
+fl AS (SELECT day, last_block, CAST(2 * sum(cap) OVER o AS BIGINT) AS c, CAST(sum(ds) OVER o AS BIGINT) AS s, CAST(sum(occ) OVER o AS BIGINT) AS u FROM bl WINDOW o AS (ORDER BY day ROWS UNBOUNDED PRECEDING)),
+full_days AS (SELECT a.*, CAST(sum(coalesce(q, 0)) OVER o AS BIGINT) AS protocol, last_value(last_block IGNORE NULLS) OVER o AS last_block, last_value(c IGNORE NULLS) OVER o AS c, last_value(fl.s IGNORE NULLS) OVER o AS s, last_value(u IGNORE NULLS) OVER o AS u
+FROM snapshot a LEFT JOIN pr ON a.day = pr.day LEFT JOIN fl ON a.day = fl.day WINDOW o AS (ORDER BY a.day ROWS UNBOUNDED PRECEDING))"""
+
+
+def header_fields(spark, d):
+    """Day, last block and its fields: C (issued), S (not yet claimed) and U (occupied), as running sums of the days' blocks."""
+    days = v.outputs(spark, d).groupBy(F.col("created_day").alias("day")).agg(F.max("outpoint").alias("last_block"), *(F.sum(c).alias(c) for c in ("capacity", "occupied", "data_size")))
+    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # one row a day
+    return days.select("day", "last_block", (F.sum("capacity").over(w) * 2).alias("c"), F.sum("data_size").over(w).alias("s"), F.sum("occupied").over(w).alias("u"))
+
+
+@query(f"WITH {FIELDS} SELECT * FROM full_days", "deposits", "rates")
 def A43_savings_daily(spark, d):
-    """Daily state of savings: facts of each day are summed, and only the days are ordered."""
+    """Daily state of savings: facts of each day are summed, and only the days are ordered.
+
+    deposited is what is active, protocol what is locked until its withdrawal is complete; C, S, U and the rate are those of the last block.
+    """
     x, one = v.deposits(spark, d), F.count(F.lit(1))
     day = lambda c: F.col(c).alias("day")
     facts = [
-        x.groupBy(day("deposit_day")).agg(F.sum("capacity").alias("c"), one.alias("n"), F.sum("capacity").alias("new_capacity"), one.alias("new_deposits")),
+        x.groupBy(day("deposit_day")).agg(F.sum("capacity").alias("c"), one.alias("n"), F.sum("capacity").alias("new_capacity"), one.alias("new_deposits"), F.sum("capacity").alias("q")),
         x.where("request_day IS NOT NULL").groupBy(day("request_day")).agg((-F.sum("capacity")).alias("c"), (-one).alias("n")),
-        x.where("complete_day IS NOT NULL").groupBy(day("complete_day")).agg(one.alias("withdrawals")),
+        x.where("complete_day IS NOT NULL").groupBy(day("complete_day")).agg(one.alias("withdrawals"), (-F.sum("capacity")).alias("q")),
         x.groupBy("party").agg(F.min("deposit_day").alias("day")).groupBy("day").agg(one.alias("first")),
         x.select("party", day("deposit_day")).distinct().groupBy("day").agg(one.alias("depositing")),
         series.holder_steps(state_steps(x, "deposit_day", "request_day"), "party", "day", "n"),
     ]
-    daily = ledger.sum_facts(facts, ["day"]).join(v.rates(spark, d), "day", "left")
+    daily = ledger.sum_facts(facts, ["day"]).withColumnRenamed("c", "active").join(v.rates(spark, d), "day", "left").join(header_fields(spark, d), "day", "left")
     w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     run = lambda c, name: F.sum(c).over(w).alias(name)
     return daily.select(
-        "day", run("c", "deposited"), run("n", "deposits"), run("new_capacity", "gross"), "new_deposits", "new_capacity", "withdrawals", run("step", "depositors"), run("first", "ever_depositors"), "depositing", F.last("ar", True).over(w).alias("ar")
-    )
+        "day", run("active", "deposited"), run("n", "deposits"), run("new_capacity", "gross"), "new_deposits", "new_capacity", "withdrawals", run("step", "depositors"), run("first", "ever_depositors"), "depositing",
+        run("q", "protocol"), *(F.last(c, True).over(w).alias(c) for c in ("ar", "last_block", "c", "s", "u")),
+    )
 
 
-@query(f"WITH {SNAPSHOT} SELECT day, deposited, CAST(deposited - lag(deposited) OVER (ORDER BY day) AS BIGINT) AS change_deposited, depositors, new_deposits, new_capacity, depositing, ever_depositors, {cut_text('deposited', 'gross')} AS ratio FROM snapshot", "deposits", "rates")
+@query(f"WITH {FIELDS} SELECT day, deposited, CAST(deposited - lag(deposited) OVER (ORDER BY day) AS BIGINT) AS change_deposited, depositors, new_deposits, new_capacity, depositing, ever_depositors, {cut_text('deposited', '(c - s)', 4)} AS ratio FROM full_days", "deposits", "rates")
 def A44_savings_charts(spark, d):
+    """Series of savings; the ratio is that of active deposits to the circulating supply, what is issued and claimed."""
     s = series.daily_change(A43_savings_daily(spark, d), [], "day", "deposited")
-    return s.select("day", "deposited", "change_deposited", "depositors", "new_deposits", "new_capacity", "depositing", "ever_depositors", exact.ratio_cut("deposited", "gross").alias("ratio"))
+    return s.select("day", "deposited", "change_deposited", "depositors", "new_deposits", "new_capacity", "depositing", "ever_depositors", exact.ratio_cut("deposited", F.col("c") - F.col("s"), 4).alias("ratio"))
 
 
 @query("""WITH t AS (SELECT max(deposit_day) AS tip FROM deposits), b AS (SELECT 30 - (date_diff('day', deposit_day, tip)) % 30 AS bucket, count(*) AS n FROM deposits, t WHERE request_day IS NULL GROUP BY 1),
@@ -757,7 +775,7 @@ UNION ALL SELECT i.tx, i.token, NULL, receiver, CAST(d - greatest(c, sent) AS BI
 UNION ALL SELECT o.tx, o.token, sender, NULL, CAST(b - greatest(a, got) AS BIGINT) FROM o JOIN t ON o.tx = t.tx AND o.token = t.token WHERE b > got""", "legs")
 def J15_match_transfers(spark, d):
     signed = v.legs(spark, d).withColumn("delta", F.when(F.col("side") == "input", -F.col("amount")).otherwise(F.col("amount")))
-    return joins.match_transfers(signed, "tx", "token", "party", "delta")
+    return joins.match_transfers(signed, "tx", "token", "party", "delta", io.work_folder(spark))
 
 
 @query("SELECT tx, line, coalesce(s_name, 'unknown') AS name FROM legs LEFT JOIN supplier ON party = s_suppkey AND s_acctbal > 0", "legs")
@@ -810,9 +828,8 @@ def J27_bind_token_info(spark, d):
 
 @query("""WITH u AS (SELECT DISTINCT tx, token FROM legs) SELECT g.tx, g.item, p_name AS name, u.token AS supplies FROM (SELECT DISTINCT tx, item FROM legs) g LEFT JOIN part ON item = p_partkey LEFT JOIN u ON u.tx = g.tx AND u.token = p_size % 50""", "legs")
 def J28_expand_deps(spark, d):
-    groups = v.legs(spark, d).groupBy("tx").agg(F.collect_set("item").alias("members"))  # the cells of one transaction
     cells = v.items(spark, d).select("item", "name", (F.col("size") % 50).alias("token"))
-    return joins.expand_deps(groups, "members", cells, "item", v.legs(spark, d).select("tx", "token"), "tx", "token").select("tx", "item", "name", "supplies")
+    return joins.expand_deps(v.legs(spark, d), cells, "item", v.legs(spark, d).select("tx", "token"), "tx", "token").select("tx", "item", "name", "supplies")
 
 
 @query("SELECT outpoint, CAST(capacity // 100 AS VARCHAR) || CASE WHEN capacity % 100 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(capacity % 100 AS VARCHAR), 2, '0'), '0') END AS text FROM outputs", "outputs")

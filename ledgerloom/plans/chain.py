@@ -219,11 +219,18 @@ def A19_value_moved(spark, d):
 @query("WITH x AS (SELECT 'day' AS grain, CAST(date_diff('day', DATE '1970-01-01', day) AS BIGINT) AS bucket, * FROM txs UNION ALL SELECT 'hour', hour, * FROM txs) SELECT grain, bucket, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS \"{k}\"" for k in KINDS)
 + ", count(*) FILTER (WHERE tx_index = 0) AS cellbase, CAST(sum(moved) AS BIGINT) AS moved, count(DISTINCT json_extract_string(props, '$.k')) AS scripts, count(DISTINCT (block, party, kind)) AS actions FROM x GROUP BY grain, bucket", "txs")
 def A20_activity_stats(spark, d):
-    """Kinds, cellbases, value, scripts and distinct actions per day and per hour."""
-    grains = F.array(F.struct(F.lit("day").alias("grain"), F.datediff("day", F.lit("1970-01-01").cast("date")).cast("bigint").alias("bucket")), F.struct(F.lit("hour").alias("grain"), F.col("hour").alias("bucket")))
-    t = v.txs(spark, d).select(F.inline(grains), "kind", "tx_index", "moved", "block", "party", F.get_json_object("props", "$.k").alias("script"))
+    """Kinds, cellbases, value, scripts and distinct actions per day and per hour: what is distinct by hour comes first, days are made of that."""
+    t = v.txs(spark, d).select("day", "hour", "kind", "tx_index", "moved", "block", "party", F.get_json_object("props", "$.k").alias("script"))
     kinds = {k: F.count_if(F.col("kind") == k) for k in KINDS}
-    return ledger.totals(t, ["grain", "bucket"], **kinds, cellbase=F.count_if(F.col("tx_index") == 0), moved=F.sum("moved"), scripts=F.count_distinct("script"), actions=F.count_distinct("block", "party", "kind"))
+    sums = ledger.totals(t, ["day", "hour"], **kinds, cellbase=F.count_if(F.col("tx_index") == 0), moved=F.sum("moved"))
+    facts = []
+    for grain, at in (("hour", F.col("hour")), ("day", F.datediff("day", F.lit("1970-01-01").cast("date")).cast("bigint"))):
+        place = [F.lit(grain).alias("grain"), at.alias("bucket")]
+        facts.append(sums.select(*place, *KINDS, "cellbase", "moved"))
+        for name, columns in (("scripts", ["script"]), ("actions", ["block", "party", "kind"])):
+            by_hour = t.where(F.greatest(*(F.col(c).isNull().cast("int") for c in columns), F.lit(0)) == 0).select("day", "hour", *columns).distinct()
+            facts.append(by_hour.select(*place, *columns).distinct().groupBy("grain", "bucket").agg(F.count(F.lit(1)).alias(name)))
+    return ledger.sum_facts(facts, ["grain", "bucket"])
 
 
 @query("SELECT day, count(DISTINCT party) AS parties FROM txs GROUP BY day", "txs")
@@ -273,10 +280,11 @@ def fees(spark, d):
     return v.txs(spark, d).select("tx", "block", (F.col("moved") + 1).alias("fee"), (F.col("tx") % 5 + 1).alias("size"), (F.col("tx") % 1000 + 500).alias("cycles"), "ts_ms")
 
 
-@query(f"WITH f AS ({FEES}) SELECT block, count(*) AS txs, CAST(sum(size) AS BIGINT) AS size, arg_min(fee * 1000 // size, fee / size) AS least_rate, arg_max(fee * 1000 // size, fee / size) AS most_rate FROM f GROUP BY block", "txs")
+@query(f"WITH f AS ({FEES}) SELECT block, count(*) AS txs, CAST(sum(size) AS BIGINT) AS size, arg_min(fee * 1000 // size, fee / size) FILTER (WHERE tx % 10 <> 0) AS least_rate, arg_max(fee * 1000 // size, fee / size) FILTER (WHERE tx % 10 <> 0) AS most_rate, CAST(sum(fee * 60 // size * 1000) FILTER (WHERE tx % 10 <> 0) // 60 // count(*) FILTER (WHERE tx % 10 <> 0) AS BIGINT) AS mean FROM f GROUP BY block", "txs")
 def A37_block_fee_stats(spark, d):
-    s = ledger.block_fee_stats(fees(spark, d), "block", "fee", "size")
-    return s.select("block", "txs", "size", exact.fee_rate("least.fee", "least.size").alias("least_rate"), exact.fee_rate("most.fee", "most.size").alias("most_rate"))
+    """Fee rates of a block's transactions but the cellbase, which has the first place."""
+    s = ledger.block_fee_stats(fees(spark, d).withColumn("cellbase", F.col("tx") % 10 == 0), "block", "fee", "size", "cellbase")
+    return s.select("block", "txs", "size", exact.fee_rate("least.fee", "least.size").alias("least_rate"), exact.fee_rate("most.fee", "most.size").alias("most_rate"), "mean")
 
 
 @query(f"WITH f AS ({FEES}) SELECT block, CAST(sum(fee * 60 // size * 1000) // 60 // count(*) AS BIGINT) AS mean FROM f GROUP BY block", "txs")

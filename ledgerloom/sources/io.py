@@ -95,9 +95,13 @@ def entity_series(events: DataFrame, key: str, day: str, measure: str, anchor: D
 
 def latency_summary(samples: DataFrame, by: str, ms: str, failed: str, at_ms: str | None = None) -> DataFrame:
     """Count, error rate, exact p50, p95, p99, and samples a second from the first to the last (where times are given) per endpoint."""
-    p = lambda q: F.percentile(ms, q)
+    from ..operators.series import exact_quantiles
+
     rate = [(F.count(F.lit(1)) * 1000 / F.nullif(F.max(at_ms) - F.min(at_ms), F.lit(0))).alias("throughput")] if at_ms else []
-    return samples.groupBy(by).agg(F.count(F.lit(1)).alias("n"), (F.count_if(failed) / F.count(F.lit(1))).alias("error_rate"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), *rate)
+    totals = samples.groupBy(by).agg(F.count(F.lit(1)).alias("n"), (F.count_if(failed) / F.count(F.lit(1))).alias("error_rate"), *rate)
+    found = exact_quantiles(samples, by, ms, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, work_folder(samples.sparkSession))
+    joined = totals.alias("t").join(found.alias("q"), F.col(f"t.{by}").eqNullSafe(F.col(f"q.{by}")), "left")
+    return joined.select(*(F.col(f"t.{c}") for c in (by, "n", "error_rate")), "p50", "p95", "p99", *(["throughput"] if at_ms else []))
 
 
 def compare_summaries(base: DataFrame, current: DataFrame, by: str, slower: float = 0.2, faster: float = 0.1) -> DataFrame:

@@ -34,13 +34,23 @@ def test_age_bands(spark):
     assert last == {b: 10 * (k + 1) for k, (b, *_) in enumerate(bands)}
 
 
-def test_match_transfers_equals_greedy(spark):
+@pytest.fixture
+def small_ranges(spark):
+    """Ranges that Spark would put together, being small, stay apart."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.usefixtures("small_ranges")
+@pytest.mark.parametrize("large", [1_000_000, 3, 0])
+def test_match_transfers_equals_greedy(spark, tmp_path, large):
     import random
 
     rng = random.Random(2)
     legs = [(tx, 1, party, rng.randint(-9, 9)) for tx in range(60) for party in rng.sample(range(9), rng.randint(1, 7))]
     got = {}
-    for r in joins.match_transfers(spark.createDataFrame(legs, "tx long, token long, party long, delta long"), "tx", "token", "party", "delta").collect():
+    for r in joins.match_transfers(spark.createDataFrame(legs, "tx long, token long, party long, delta long"), "tx", "token", "party", "delta", str(tmp_path), large).collect():
         got.setdefault(r.tx, set()).add((r.sender, r.receiver, r.amount))
     want = {}
     for tx in range(60):
@@ -254,3 +264,46 @@ def test_small_stream_helpers(spark):
     assert streams.rollback({"x": df}, 1, "at")["x"].count() == 2
     with pytest.raises(ValueError):
         joins.neighbourhood(df, df.select("k"), "k", "at", 6)
+
+
+@pytest.mark.usefixtures("small_ranges")
+def test_a_crowded_transaction_is_matched_in_several_tasks(spark, tmp_path):
+    """An airdrop of 40,000 receivers and a swap of many parties: no task holds a transaction."""
+    drop = spark.range(40_000).select(F.lit(1).alias("tx"), F.lit(1).alias("token"), F.col("id").alias("party"), (F.col("id") % 7 + 1).alias("delta"))
+    sender = spark.createDataFrame([(1, 1, 50_000, -150_000), (2, 1, 3, -5), (2, 1, 4, 5)], "tx int, token int, party long, delta long")
+    found = joins.match_transfers(drop.union(sender), "tx", "token", "party", "delta", str(tmp_path), 1000)
+    rows = found.where("tx = 1")
+    total = rows.agg(F.sum("amount"), F.count_if(F.col("sender").isNull()), F.count(F.lit(1)), F.count_if(F.col("receiver").isNull())).first()
+    given = sum(k % 7 + 1 for k in range(40_000))
+    assert total[0] == given and total[3] == 0 and total[1] > 0 and total[2] in (40_000, 40_001)
+    assert rows.where("sender IS NOT NULL").agg(F.sum("amount")).first()[0] == 150_000
+    assert [tuple(r) for r in found.where("tx = 2").collect()] == [(2, 1, 3, 4, 5)]
+    parts = spark.read.parquet(f"{tmp_path}/parties").where("tx = 1").groupBy("_range").count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 40_000
+
+
+@pytest.mark.usefixtures("small_ranges")
+@pytest.mark.parametrize("seed", [1, 2])
+def test_exact_quantiles(spark, tmp_path, seed):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(seed)
+    groups = {"hot": [rng.choice([1, 2, 5, rng.randint(0, 10**6)]) for _ in range(3000)], "one": [7], "two": [1, 4], "same": [3] * 50, "null": [None, None]}
+    rows = [(g, x) for g, xs in groups.items() for x in xs]
+    rng.shuffle(rows)
+    wanted = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    got = {r["g"]: r for r in series.exact_quantiles(spark.createDataFrame(rows, "g string, x long").repartition(7), "g", "x", wanted, str(tmp_path / "ranges")).collect()}
+    assert set(got) == set(groups) - {"null"}
+    for g in got:
+        for name, q in wanted.items():
+            assert got[g][name] == pytest.approx(float(np.quantile(groups[g], q)))
+    assert spark.read.parquet(str(tmp_path / "ranges")).where("g = 'hot'").select("_range").distinct().count() > 1
+
+
+def test_fee_stats_leave_out_the_cellbase(spark):
+    rows = [(1, 0, 1, True), (1, 30, 7, False), (1, 31, 7, False), (1, 10, 3, False), (2, 5, 2, True)]
+    got = {r["b"]: r for r in ledger.block_fee_stats(spark.createDataFrame(rows, "b long, fee long, size long, base boolean"), "b", "fee", "size", "base").collect()}
+    assert (got[1]["txs"], got[1]["size"], tuple(got[1]["least"]), tuple(got[1]["most"]), got[1]["mean"]) == (4, 18, (10, 3), (31, 7), (30 * 3 + 31 * 3 + 10 * 7) * 1000 // 63)
+    assert (got[2]["txs"], got[2]["least"], got[2]["mean"]) == (1, None, None)
