@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import Words, slices
-from .shared import packed, texts, unpacked
+from .shared import cut, packed, texts, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels: outside, then first word and further word of each kind.
@@ -31,7 +31,7 @@ TRAINING_STRETCHES, STRETCH_WORDS = 2_000, 40
 #: Words to either side of one with a digit or at sign that are labelled, and bytes from which on a word is outside.
 AROUND, LONGEST = 3, 200
 #: Variants of each built-in labelled sentence.
-VARIANTS = 4
+VARIANTS = 10
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -198,11 +198,14 @@ def likelihood(chain: Chain, features: np.ndarray, first: np.ndarray, labels: np
     n, most = len(size), int(size.max())
     weight = np.ones(n) if weight is None else weight
     of_word = np.repeat(weight, size)
+    order = np.argsort(-size, kind="stable")  # long stretches first: at each place only those that reach it are looked at
+    size, weight, begins_at = size[order], weight[order], first[:-1][order]
+    live = np.searchsorted(-size, -np.arange(most), "left")
     inside = np.arange(most) < size[:, None]
-    place = np.minimum(first[:-1, None] + np.arange(most), len(scores) - 1)
+    place = np.minimum(begins_at[:, None] + np.arange(most), len(scores) - 1)
     step = chain.step + np.where(_ALLOWED, 0, _NEVER)
     begin = chain.begin + np.where(_FIRST, 0, _NEVER)
-    padded = np.where(inside[:, :, None], scores[place], 0)
+    padded = scores[place]
 
     def summed(x: np.ndarray, axis: int) -> np.ndarray:
         top = x.max(axis, keepdims=True)
@@ -211,24 +214,28 @@ def likelihood(chain: Chain, features: np.ndarray, first: np.ndarray, labels: np
     fore, hind = np.zeros((n, most, LABELS)), np.zeros((n, most, LABELS))
     fore[:, 0] = padded[:, 0] + begin
     for t in range(1, most):
-        fore[:, t] = np.where(inside[:, t, None], summed(fore[:, t - 1, :, None] + step, 1) + padded[:, t], fore[:, t - 1])
+        on = slice(0, live[t])
+        fore[on, t] = summed(fore[on, t - 1, :, None] + step, 1) + padded[on, t]
     for t in range(most - 2, -1, -1):
-        hind[:, t] = np.where(inside[:, t + 1, None], summed(step + (padded[:, t + 1] + hind[:, t + 1])[:, None], 2), 0)
-    total = summed(fore[:, -1], 1)
-    chance = np.exp(fore + hind - total[:, None, None])[inside]
-    slope = (np.eye(LABELS)[labels] - chance) * of_word[:, None]
+        on = slice(0, live[t + 1])
+        hind[on, t] = summed(step + (padded[on, t + 1] + hind[on, t + 1])[:, None], 2)
+    total = summed(fore[np.arange(n), size - 1], 1)
+    slope = np.eye(LABELS)[labels]
+    slope[place[inside]] -= np.exp((fore + hind - total[:, None, None])[inside])
+    slope *= of_word[:, None]
     steps = np.zeros((LABELS, LABELS))
     for t in range(1, most):
-        on = inside[:, t]
-        steps -= np.exp(fore[on, t - 1, :, None] + step + (padded[on, t] + hind[on, t])[:, None] - total[on, None, None] + np.log(weight[on, None, None])).sum(0)
+        on = slice(0, live[t])
+        steps -= (np.exp(fore[on, t - 1, :, None] + step + (padded[on, t] + hind[on, t])[:, None] - total[on, None, None]) * weight[on, None, None]).sum(0)
     follows = np.ones(len(labels), bool)
     follows[first[:-1]] = False
-    np.add.at(steps, (labels[np.flatnonzero(follows) - 1], labels[follows]), of_word[follows])
-    value = scores[np.arange(len(labels)), labels] @ of_word + step[labels[np.flatnonzero(follows) - 1], labels[follows]] @ of_word[follows] + (begin[labels[first[:-1]]] - total) @ weight
+    pairs = labels[np.flatnonzero(follows) - 1], labels[follows]
+    np.add.at(steps, pairs, of_word[follows])
+    value = scores[np.arange(len(labels)), labels] @ of_word + step[pairs] @ of_word[follows] + begin[labels[begins_at]] @ weight - total @ weight
     return float(value), slope, steps, slope[first[:-1]].sum(0)
 
 
-def train(features: np.ndarray, first: np.ndarray, labels: np.ndarray, weight: np.ndarray | None = None, epochs: int = 120, shrink: float = 1e-5) -> Chain:
+def train(features: np.ndarray, first: np.ndarray, labels: np.ndarray, weight: np.ndarray | None = None, epochs: int = 120, shrink: float = 3e-5) -> Chain:
     """Fit by Adam on the mean log-likelihood with shrinkage; the result depends on the rows and their weights only."""
     chain = Chain(np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros(LABELS))
     if len(first) < 2:
@@ -257,6 +264,8 @@ def train(features: np.ndarray, first: np.ndarray, labels: np.ndarray, weight: n
 _EXAMPLES = """
 Call me at [phone 555-0143] after lunch.
 Phone: [phone (212) 555-0187]
+Dial [phone 555-0150] for help, or [phone 555-0151] at night.
+Ask for me on [phone 555-0166] tomorrow.
 Tel. [phone 030 23125 014] or write to us.
 Our office number is [phone 020 7946 0958] on weekdays.
 His mobile is [phone 07700 900461] now.
@@ -304,6 +313,7 @@ They sold 5,555,555 of 7,777,777 shares.
 At 7:45 pm, 23 of 40 people left.
 Section 12-345 and table 6-7 agree.
 Populations of 1 234 567 and 890 123 were given.
+Population of 8 214 905 in the year 2004.
 Lot A1-B2-C3 weighs 250 kg.
 """.strip()
 _MARKED = re.compile(r"\[(\w+) ([^\]]*)\]")
@@ -362,8 +372,8 @@ _TRAINING = "mark long, features array<int>, labels array<int>"
 
 
 def _training(batches: Iterable[pa.RecordBatch], most: int):
-    """Stretches with labels, cut at STRETCH_WORDS, and a hash of each; of a task only the smallest hashes go on."""
-    held: list[tuple[int, list, list]] = []
+    """Different stretches with labels, cut at STRETCH_WORDS, and a hash of each; of a task only the smallest hashes go on."""
+    held: dict[int, tuple[list, list]] = {}
     for part in slices(batches):
         bodies, given = ((x or "" for x in part.column("text").to_pylist()), part.column("spans").to_pylist() if "spans" in part.schema.names else None)
         bodies = list(bodies)
@@ -376,23 +386,36 @@ def _training(batches: Iterable[pa.RecordBatch], most: int):
                 if labels[0] and labels[0] % 2 == 0:
                     labels[0] -= 1  # a span that the cut parts
                 mark = int.from_bytes(hashlib.blake2b(features.tobytes() + labels.tobytes(), digest_size=8).digest(), "big", signed=True)
-                held.append((mark, features.ravel().tolist(), labels.tolist()))
+                held[mark] = features.ravel().tolist(), labels.tolist()
         if len(held) > 4 * most:
-            held = sorted(held)[:most]
-    for mark, features, labels in sorted(held)[:most]:
+            held = dict(sorted(held.items())[:most])
+    for mark, (features, labels) in sorted(held.items())[:most]:
         yield pa.RecordBatch.from_arrays([pa.array([mark]), pa.array([features], pa.list_(pa.int32())), pa.array([labels], pa.list_(pa.int32()))], ["mark", "features", "labels"])
 
 
+def _smallest(stretches_: DataFrame, most: int) -> list:
+    """The rows of the smallest marks, in order: counts by a step of the mark say up to which one they are asked for."""
+    kept = cut(stretches_).dropDuplicates(["mark"])
+    step = F.shiftright("mark", 48)
+    counts = sorted((r["step"], r["count"]) for r in kept.groupBy(step.alias("step")).count().collect())
+    upto, total = None, 0
+    for upto, n in counts:
+        total += n
+        if total >= most:
+            break
+    return [] if upto is None else sorted(kept.where(step <= upto).collect(), key=lambda r: r["mark"])[:most]
+
+
 def fit(labelled: DataFrame, documents: DataFrame | None = None, most: int = TRAINING_STRETCHES) -> Chain:
     """Train on a labelled table (text, spans) and on at most so many stretches of documents, labelled by the plain patterns.
 
-    Of each table at most that many stretches (the smallest by a hash of their features) reach the driver, whatever its size and however its rows are dealt.
-    The two tables weigh the same. Nulls are empty texts, and rows without stretches teach nothing.
+    Of each table that many different stretches (the smallest by a hash of their features) are learned from, whatever its size and however its rows are dealt; the
+    driver gets those and at most the rows of one of 65,536 steps of the hash besides. The two tables weigh the same. Nulls are empty texts, and rows without stretches teach nothing.
     """
     tables = [labelled.select("text", "spans")] + ([documents.select("text")] if documents is not None else [])
     rows, weights = [], []
     for table in tables:
-        found = table.mapInArrow(lambda batches: _training(batches, most), _TRAINING).orderBy("mark", "labels", "features").limit(most).collect()
+        found = _smallest(table.mapInArrow(lambda batches: _training(batches, most), _TRAINING), most)
         rows += [(r["features"], r["labels"]) for r in found]
         weights += [1 / max(1, len(found))] * len(found)
     width = len(_STARTS) - 1
@@ -406,6 +429,8 @@ def fit(labelled: DataFrame, documents: DataFrame | None = None, most: int = TRA
 # -- scans -------------------------------------------------------------------------------------------------------
 
 _TRIM = ".,;:!?\"'<>[]{}*#$%&|"
+#: Numbers with several groups that are none of a phone: grouped by thousands, dates, and book numbers.
+_NO_PHONE = re.compile(r"[1-9][0-9]{0,2}(?:[ .][0-9]{3})+|(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|97[89](?:[ -][0-9]+){4}")
 _AT = re.compile(r"@|[(\[{ ]at[)\]} ]", re.I)
 
 
@@ -420,7 +445,7 @@ def _credible(kind: int, text: str) -> bool:
     if kind == 2:
         return 12 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn(digits) and not re.search(r"[^0-9 .-]", text)
     groups = re.findall(r"[0-9]+", text)
-    return 7 <= len(digits) <= 15 and len(groups) >= 2 and not re.search(r"[^0-9 ()+./-]", text)
+    return 7 <= len(digits) <= 15 and len(groups) >= 2 and not re.search(r"[^0-9 ()+./-]", text) and not _NO_PHONE.fullmatch(text)
 
 
 def more_spans(chain: Chain, words: Words, texts_: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
