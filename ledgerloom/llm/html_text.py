@@ -1,16 +1,20 @@
 """HTML extraction: the best contiguous content region of a page by a maximum-scoring subsequence.
 
-A page is read as a row of words and tags. Page furniture (menus, adverts, comments and so on, told by element, role
-and name) is passed over. Of the rest, words score positive and tags negative; the weights are learned from pages
-whose article element marks the content, and score every page alike, with or without such an element. One linear
-scan finds the contiguous stretch with the highest sum, whose blocks are the text.
+A page is read as a row of words and tags, each with a weight that is learned from pages whose article element marks
+the content. A word's weight follows from its block, the length of that block and whether it is in a link, and from its
+place: inside the article, beside one, or on a page without one, which is scored as if nothing were known. Words beside an
+article and in short blocks of links come out negative, and so do tags. One linear scan finds the contiguous
+stretch with the highest sum, whose blocks are the text. Page furniture (menus, adverts, comments and so on, told by
+element, role and name) counts against the stretch and is no part of its text; inside an article it is passed over.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -21,8 +25,12 @@ from .arrays import slices
 
 #: Marked pages that weights are learned from, at most (the smallest by hash of page id and url).
 TRAINING_PAGES = 2000
-#: The score of a word or tag that the marked pages don't show, and how much a tag that is never in an article costs.
-UNSEEN_WORD, UNSEEN_TAG, TAG_COST = 0.5, -0.05, 4.0
+#: The score of a word or tag that the marked pages don't show, by its place: on a page without an article, inside one, beside one.
+UNSEEN_WORD, UNSEEN_TAG = {"": 0.5, "i": 0.5, "o": -0.5}, {"": -0.05, "i": -0.01, "o": -0.5}
+#: How much a tag that is never in an article costs.
+TAG_COST = 4.0
+#: Words from which on a block counts as longer, and the share of a page's words that its article holds at least.
+LENGTHS, ARTICLE_SHARE = (4, 11, 26), 1 / 3
 
 #: Fixed lists of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,7 +39,7 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-FURNITURE = frozenset("aside button datalist dialog footer head header iframe label menu nav object select title".split())
+FURNITURE = frozenset("aside button datalist dialog footer head header iframe menu nav object select title".split())
 #: Elements whose content is not markup: it runs to the end tag, or to the end of the page.
 RAW = frozenset("script style textarea iframe".split())
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I) for name in RAW}
@@ -53,16 +61,18 @@ IN_PARAGRAPH = frozenset("body caption head html legend option optgroup tbody td
 #: Fixed lists of the words that names (class and id) are made of. Plain furniture, furniture unless the element is named or filled
 #: like content, content, and words that go with any of them.
 PLAIN = frozenset(
-    "ad ads adsense advert adverts advertisement advertisements advertising adbox adslot banner banners breadcrumb breadcrumbs comment comments commentlist commenter consent cookie cookies "
-    "disqus footer gdpr menu menus modal nav navbar navigation newsletter pagination pager popup respond replies sidebar sponsor sponsored sponsors subscribe toolbar".split()
+    "ad ads adsbygoogle adsense adunit advert adverts advertisement advertisements advertising adbox adslot banner banners breadcrumb breadcrumbs comment commentarea comments commentlist commenter consent cookie cookieconsent cookies "
+    "dfp disqus footer gdpr menu menus modal nav navbar navigation newsletter outbrain pagination pager paid popup respond replies sidebar sitenav sponsor sponsored sponsors subscribe taboola toolbar".split()
 )
 DOUBTFUL = frozenset("copyright disclaimer header login masthead notice notices promo promos promotion related search share sharing signup skip social widget widgets".split())
+#: Furniture on elements that only group, but a section of a text or its heading may be called so.
+TALK = frozenset("discussion discussions responses".split())
 CONTENT = frozenset("article articles body content entry hentry main page post prose story text".split())
 NEUTRAL = frozenset(
-    "area author bar blog block bottom box btn button buttons card cell center col column container content count desktop fixed float form global group icon icons inner item items js large "
-    "left link links list main meta mobile new outer panel policy primary reader reply right row secondary section site slot small span sticky thread title to top unit user web wp wrap wrapper".split()
+    "area author bar blog block bottom box btn button buttons card cell center col column container content count desktop fb fixed float form global google group icon icons inner item items js large "
+    "left link links list main meta mobile new outer overlay panel policy primary reader reply right row secondary section site slot small span sticky thread title to top unit user web wp wrap wrapper".split()
 )
-ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation note search toolbar".split())
+ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]*+)))?""")
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
@@ -72,23 +82,24 @@ _PARTS = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _named(value: str) -> int:
-    """2 if one of the names is plain furniture, 1 if one is doubtful and none is content, else 0.
+def _named(value: str, grouping: bool) -> int:
+    """2 if one of the names is plain furniture, 1 if one is doubtful, else 0; 0 as well if another name is that of content.
 
-    A name is furniture only if all its parts are furniture or neutral: "comment-list" is, "search-engines-article" isn't.
+    A name is furniture only if all its parts are furniture or neutral: "comment-list" is, "search-engines-article" isn't. Parts
+    count together too ("side-bar").
     """
-    doubtful = content = False
+    level = 0
     for name in value.split():
         parts = [p for p in _PARTS.split(_CAMEL.sub("-", name).lower()) if p]
         if not parts:
             continue
         if all(p in CONTENT for p in parts):
-            content = True
+            return 0
+        if "".join(parts) in PLAIN or (grouping and "".join(parts) in TALK):
+            level = 2
         elif all(p in PLAIN or p in DOUBTFUL or p in NEUTRAL or p in CONTENT for p in parts):
-            if any(p in PLAIN for p in parts):
-                return 2
-            doubtful = doubtful or any(p in DOUBTFUL for p in parts)
-    return int(doubtful and not content)
+            level = max(level, 2 if any(p in PLAIN for p in parts) else int(any(p in DOUBTFUL for p in parts)))
+    return level
 
 
 def _furniture(name: str, attributes: str) -> int:
@@ -96,6 +107,7 @@ def _furniture(name: str, attributes: str) -> int:
     level = 2 if name in FURNITURE else 1 if name == "form" else 0
     if level == 2 or not attributes or name in ("html", "body"):
         return level
+    kept = name in HEADINGS or name in ("article", "main", "section")
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDING.search(value)):
@@ -103,7 +115,7 @@ def _furniture(name: str, attributes: str) -> int:
         if key == "role" and value.lower() in ROLES:
             return 2
         if key in ("class", "id"):
-            found = _named(value)
+            found = _named(value, not kept)
             if found == 1 and (name in HEADINGS or name in ("article", "main")):
                 found = 0
             level = max(level, found)
@@ -119,6 +131,10 @@ class Token:
     dropped: bool  # inside page furniture
     marked: bool  # inside an article or main element
     doubt: int = 0  # the innermost element around that may be furniture
+    link: bool = False
+    words: int = 0
+    place: str = ""  # "i" inside the page's article, "o" beside it, "" on a page without one
+    length: int = 0  # of its block, as a step of LENGTHS
 
 
 @dataclass
@@ -170,7 +186,8 @@ class _Page:
     def text(self, start: int, end: int) -> None:
         top = self.top()
         if end > start and top.passed < 2:
-            self.tokens.append(Token(f"w:{top.block}", self.page[start:end], top.dropped, top.marked, top.doubt))
+            body = self.page[start:end]
+            self.tokens.append(Token(f"w:{top.block}", body, top.dropped, top.marked, top.doubt, self.open["a"] > 0, len(body.split())))
 
     def tag(self, key: str) -> None:
         top = self.top()
@@ -254,7 +271,7 @@ def page_tokens(page: str) -> list[Token]:
             at = RAW_END[name].search(page, at).end()
         else:
             state.begin(name, attributes)
-    return _judged(state)
+    return _placed(_judged(state))
 
 
 def _judged(state: _Page) -> list[Token]:
@@ -263,10 +280,9 @@ def _judged(state: _Page) -> list[Token]:
         return state.tokens
     words, total, marked = [0] * len(state.doubts), 0, False
     for t in state.tokens:
-        if t.text and not t.dropped and not t.text.isspace():
-            n = len(t.text.split())
-            words[t.doubt] += n
-            total += n
+        if t.words and not t.dropped:
+            words[t.doubt] += t.words
+            total += t.words
             marked = marked or t.marked
     for k in range(len(words) - 1, 0, -1):
         words[state.doubts[k]] += words[k]
@@ -278,6 +294,29 @@ def _judged(state: _Page) -> list[Token]:
     return state.tokens
 
 
+def _placed(tokens: list[Token]) -> list[Token]:
+    """Each token's place, and the length of each word's block. A page has an article if that holds a third of the words at least."""
+    inside = sum(t.words for t in tokens if t.marked and not t.dropped)
+    total = sum(t.words for t in tokens if not t.dropped)
+    has = inside > 0 and inside >= ARTICLE_SHARE * total
+    block: list[Token] = []
+
+    def close() -> None:
+        length = bisect_right(LENGTHS, sum(t.words for t in block))
+        for t in block:
+            t.length = length
+        block.clear()
+
+    for t in tokens:
+        t.place = ("i" if t.marked else "o") if has else ""
+        if t.text:
+            block.append(t)
+        elif t.key.lstrip("/") in BLOCK:
+            close()
+    close()
+    return tokens
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """First and last place of the contiguous scores with the highest sum (the first to end of equals); (0, -1) if none is positive."""
     best, first, last = 0.0, 0, -1
@@ -291,27 +330,38 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return first, last
 
 
-def extract(page: str, weights: dict[str, float]) -> str:
-    """The blocks of the best region, one a line."""
+def _keys(t: Token, place: str) -> list[str]:
+    """The keys of a token's weight, the most telling first."""
+    if not t.text:
+        return [f"{t.key}:{place}", f"tag:{place}", t.key] if place else [t.key]
+    seen = f"{t.length}{'a' if t.link else ''}{place}"
+    return [f"{t.key}:{seen}", f"w::{seen}", *([f"w::{place}"] if place else []), t.key]
+
+
+def score(t: Token, weights: dict[str, float]) -> float:
+    for key in _keys(t, t.place):
+        if key in weights:
+            return weights[key] * (t.words if t.text else 1)
+    return UNSEEN_WORD[t.place] * t.words if t.text else UNSEEN_TAG[t.place]
+
+
+def extract(page: str, weights: dict[str, float], region: Callable[[list[float]], tuple[int, int]] = best_region) -> str:
+    """The blocks of the best region without page furniture, one a line."""
     blocks: list[list[str]] = [[]]
     scores, places = [], []
     for t in page_tokens(page):
-        if t.key[:2] == "w:":
-            if t.dropped:
-                continue
-            blocks[-1].append(t.text)
-            scores.append(len(t.text.split()) * weights.get(t.key, UNSEEN_WORD))
-        else:
+        if not t.text:
             name = t.key.lstrip("/")
             if name in BLOCK and blocks[-1]:
                 blocks.append([])
             elif name == "br":
                 blocks[-1].append(" ")
-            if t.dropped:
-                continue
-            scores.append(weights.get(t.key, UNSEEN_TAG))
-        places.append(len(blocks) - 1)
-    first, last = best_region(scores)
+        elif not t.dropped:
+            blocks[-1].append(t.text)
+        if not (t.dropped and t.marked):
+            scores.append(min(score(t, weights), 0.0) if t.dropped else score(t, weights))
+            places.append(len(blocks) - 1)
+    first, last = region(scores)
     found = blocks[places[first] : places[last] + 1] if last >= 0 else ()
     lines = (" ".join(html.unescape("".join(parts)).split()) for parts in found)
     return "\n".join(x for x in lines if x)
@@ -322,26 +372,24 @@ _WEIGHED = BLOCK | VOID | frozenset("a abbr b big cite code del em font i ins kb
 
 
 def _learn(batches):
+    """How often each key stands inside an article and outside; furniture inside one doesn't count. Pages whose article is none teach nothing."""
     inside, outside = Counter(), Counter()
     for part in slices(batches, "html"):
         for page in part.column("html").to_pylist():
             for t in page_tokens(page):
-                if t.dropped:
+                if not t.place or (t.dropped and t.marked) or not (t.words or (not t.text and t.key.lstrip("/") in _WEIGHED)):
                     continue
-                if t.key[:2] == "w:":
-                    if n := len(t.text.split()):
-                        (inside if t.marked else outside)[t.key] += n
-                elif t.key.lstrip("/") in _WEIGHED:
-                    (inside if t.marked else outside)[t.key] += 1
+                for key in {*_keys(t, t.place), *_keys(t, "")}:
+                    (inside if t.marked else outside)[key] += t.words or 1
     keys = sorted(set(inside) | set(outside))
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([outside[k] for k in keys], pa.int64())], ["key", "inside", "outside"])
 
 
 def learn_weights(pages: DataFrame, rows: int = TRAINING_PAGES) -> dict[str, float]:
-    """Weights of words (by enclosing block) and of tags, from at most so many pages with an article element.
+    """Weights of words (by block, its length, links and place, and by less of these) and of tags, from at most so many pages with an article element.
 
     With p the share of a key's occurrences that lie inside, a word weighs 2 p - 1 and a tag -(1 - p) times TAG_COST,
-    less a little. Furniture counts on neither side. Keys are names of known elements, so the result has a fixed bound.
+    less a little. Furniture beside the article counts outside. Keys are made of names of known elements and a few steps, so the result has a fixed bound.
     """
     marked = pages.where(F.col("html").contains("<article")).withColumn("_order", F.xxhash64(F.col("page_id").cast("string"), F.col("url")))
     last = marked.select("_order").orderBy("_order").limit(rows).agg(F.max("_order")).first()[0]
