@@ -33,6 +33,13 @@ _BYTE_FOLDED[65:91] = _BYTE[97:123]
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _powers: tuple[np.ndarray, np.ndarray] | None = None
+#: A prime, and for each of two hashes modulo it a base and the values of the bytes.
+_PRIME, _31 = np.uint64(2**31 - 1), np.uint64(31)
+_BASES = [int(b) for b in _rng.integers(2**20, 2**31 - 2, 2)]
+_VALUES = _rng.integers(1, 2**31 - 1, (2, 256), dtype=np.uint64)
+_VALUES_FOLDED = _VALUES.copy()
+_VALUES_FOLDED[:, 65:91] = _VALUES[:, 97:123]
+_prime_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 #: Words of a document: whatever is not blank.
 NOT_BLANK = np.ones(256, bool)
@@ -88,23 +95,67 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def prefix_hash(data: np.ndarray, fold: bool = False) -> np.ndarray:
-    """Running sums of byte values times powers of the base; differences of two of them identify the bytes between."""
+def rough_sums(data: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Running sums of byte values times powers of a base, modulo 2^64: quick, for rolling windows and short spans whose bytes are compared or don't matter."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_BYTE_FOLDED if fold else _BYTE)[data] * powers(len(data))[0], out=sums[1:])
     return sums
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, wherever it stands."""
+def rough_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span. Modulo 2^64 there are words of 1,024 letters that meet whatever the base is: never take it for equality of long spans."""
     down = powers(len(sums))[1]
     return mix((sums[end] - sums[start]) * down[start] ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Values below 2^63 modulo the prime, or the prime itself for 0."""
+    x = (x & _PRIME) + (x >> _31)
+    return (x & _PRIME) + (x >> _31)
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    done, step = 1, base
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = _reduced(out[:more] * np.uint64(step))
+        done, step = done + more, step * step % int(_PRIME)
+    return out
+
+
+def prime_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of the two bases, the first n powers of it and of its inverse modulo the prime."""
+    global _prime_powers
+    if not _prime_powers or len(_prime_powers[0][0]) < n:
+        size = max(n, SLICE_BYTES + 65536)
+        _prime_powers = [(_powers_of(b, size), _powers_of(pow(b, -1, int(_PRIME)), size)) for b in _BASES]
+    return _prime_powers
+
+
+def prefix_hash(data: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Two rows of running sums of byte values times powers of a base modulo a prime; differences identify the bytes between."""
+    sums = np.zeros((2, len(data) + 1), np.uint64)
+    for out, (up, _), values in zip(sums, prime_powers(len(data)), _VALUES_FOLDED if fold else _VALUES, strict=True):
+        terms = values[data]
+        terms *= up[: len(data)]
+        np.cumsum((terms & _PRIME) + (terms >> _31), out=out[1:])  # each below 2^33
+    return sums
+
+
+def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, wherever it stands: 62 bits of two hashes modulo a prime, and the length."""
+    both = np.zeros(len(start), np.uint64)
+    for row, (_, down) in zip(sums, prime_powers(sums.shape[1]), strict=True):
+        value = _reduced(_reduced(row[end] - row[start]) * down[start])
+        both = (both << _31) ^ np.where(value >= _PRIME, value - _PRIME, value)
+    return mix(both ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 class Words:
-    """The words of a slice: byte spans, hashes with A-Z folded, and where each row's words start."""
+    """The words of a slice: byte spans, hashes with A-Z folded, and where each row's words start; rough hashes where words are only dealt into buckets."""
 
-    def __init__(self, column: pa.Array, letters: np.ndarray = NOT_BLANK):
+    def __init__(self, column: pa.Array, letters: np.ndarray = NOT_BLANK, rough: bool = False):
         self.data, self.rows = flat(column)
         inside = letters[self.data]
         opens, closes = inside.copy(), inside.copy()
@@ -117,8 +168,8 @@ class Words:
             closes[edges - 1] = inside[edges - 1]
         self.start, self.end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.start, self.rows)
-        self.sums = prefix_hash(self.data, fold=True)
-        self.hash = span_hash(self.sums, self.start, self.end)
+        self.sums = (rough_sums if rough else prefix_hash)(self.data, fold=True)
+        self.hash = (rough_hash if rough else span_hash)(self.sums, self.start, self.end)
 
     def count(self) -> np.ndarray:
         return np.diff(self.first)

@@ -20,18 +20,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .arrays import flat, prefix_hash, slices, span_hash
+from .arrays import flat, rough_hash, rough_sums, slices
 from .shared import texts
+from .units import Memory, distinct
 
 _UNIT = re.compile(r" *[^ ]+| +")
-#: Units, and pieces of units, that a worker remembers; beyond that it starts afresh, which changes no result.
-REMEMBERED, REMEMBERED_PIECES = 1_000_000, 16_000_000
+#: Units that a worker remembers; beyond that it starts afresh, which changes no result.
+REMEMBERED = 800_000
 _NONE = -(10**17)
 #: Bytes of a unit up to which many are passed at once.
 _SHORT = 48
 _models: dict[str, "Pieces"] = {}
 
 
+class _Units(Memory):
+    """Units with their best pieces, scores and losses."""
+
+    def __init__(self, pieces: "Pieces"):
+        self.pieces = pieces
+        super().__init__(self._learned, most=REMEMBERED)
+
+    def _clear(self) -> None:
+        super()._clear()
+        self.scores, self.losses = np.zeros(0, np.int64), np.zeros(0)
+
+    def _learned(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes, scores, losses = self.pieces.learn(units)
+        self.scores, self.losses = np.concatenate([self.scores, scores]), np.concatenate([self.losses, losses])
+        return ids, sizes
+
+    def best(self, units: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the units which[0], which[1], ...: their ids in one array, where each one's end, scores and losses."""
+        slots = self.find(units)
+        ids, ends = self.held[0].take(slots, which)
+        return ids, ends, self.scores[slots[which]], self.losses[slots[which]]
+
+
 class Pieces:
     """A vocabulary with scores as a lattice over characters; characters without a piece go byte by byte."""
 
@@ -61,7 +85,8 @@ class Pieces:
         self.unknown = min((s for s in (score for _, score in self.id.values()) if s > -(10**8)), default=0) - 10
         self.units: dict[str, tuple[bytes, int, float]] = {}
         self._index()
-        self._forget()
+        self.bytes_of = [(t or "").encode() if i not in self.byte_value else bytes([self.byte_value[i]]) for i, t in enumerate(self.text)]
+        self.memory = _Units(self)
 
     def _index(self) -> None:
         """The vocabulary as an open-addressed table from the hash of a piece's bytes to its id, and the pieces' scores."""
@@ -70,7 +95,7 @@ class Pieces:
             whole.setdefault(chr(byte), (self.byte[byte], self.unknown))
         names = list(whole)
         data, at = flat(pa.array(names, pa.large_string()))
-        keys = span_hash(prefix_hash(data), at[:-1], at[1:])
+        keys = rough_hash(rough_sums(data), at[:-1], at[1:])
         self.score_of = np.zeros(len(self.text), np.int64)
         self.score_of[[whole[x][0] for x in names]] = [whole[x][1] for x in names]
         self.longest = int(np.diff(at).max())
@@ -82,11 +107,6 @@ class Pieces:
                 spot = (spot + 1) % (1 << self.table_bits)
             self.table_key[spot], self.table_id[spot] = key, whole[name][0]
 
-    def _forget(self) -> None:
-        self.hashes, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, self.kind)
-        self.scores, self.losses = np.zeros(0, np.int64), np.zeros(0)
-
     def _ids_at(self, keys: np.ndarray) -> np.ndarray:
         """Ids of pieces by their hashes, -1 where there's none."""
         spot = (keys >> np.uint64(64 - self.table_bits)).astype(np.int64)
@@ -116,7 +136,7 @@ class Pieces:
             now, other, back, which = best[t, :live], second[t, :live], step[t, :live], piece[t, :live]
             end = start[:live] + t
             for length in range(min(t, self.longest), 0, -1):
-                ids = self._ids_at(span_hash(sums, end - length, end))
+                ids = self._ids_at(rough_hash(sums, end - length, end))
                 hit = np.flatnonzero((ids >= 0) & (best[t - length, :live] > _NONE))
                 if not len(hit):
                     continue
@@ -153,27 +173,29 @@ class Pieces:
         ids = out[np.repeat(begin - spread[:-1], keep) + np.arange(spread[-1])]
         return ids, final, total[place], losses[place]
 
-    def _learn(self, keys: np.ndarray, data: np.ndarray, sums: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        short, slow = np.flatnonzero(size <= _SHORT), [np.flatnonzero(size > _SHORT)]
-        parts = []  # keys, ids, sizes, scores, losses
+    def learn(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The best pieces of many units in one array, how many each has, their scores, and what the second-best way loses."""
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        data, start = np.frombuffer(b"".join(units), np.uint8), np.cumsum(size) - size
+        short, slow, parts, sums = np.flatnonzero(size <= _SHORT), [np.flatnonzero(size > _SHORT)], [], rough_sums(data)
         for at in range(0, len(short), 16384):
             some = short[at : at + 16384]
             ids, sizes, scores, losses = self._forward_all(data, sums, start[some], size[some])
             ok = sizes >= 0
+            if b"".join(map(self.bytes_of.__getitem__, ids.tolist())) != b"".join([units[k] for k in some[ok].tolist()]):
+                ok[:] = False  # a hash of other bytes than a piece's: all of these one by one
+                ids = ids[:0]
             slow.append(some[~ok])
-            parts.append((keys[some[ok]], ids, sizes[ok], scores[ok], losses[ok]))
+            parts.append((some[ok], ids, sizes[ok], scores[ok], losses[ok]))
         for i in np.concatenate(slow).tolist():
-            own, score, loss = self.unit(data[start[i] : start[i] + size[i]].tobytes().decode())
+            own, score, loss = self.unit(units[i].decode())
             ids = np.frombuffer(own, self.kind)
-            parts.append((keys[i : i + 1], ids, np.array([len(ids)]), np.array([score]), np.array([loss], float)))
-        new, ids, sizes, scores, losses = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        first = len(self.scores)
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, ids])
-        self.scores, self.losses = np.concatenate([self.scores, scores]), np.concatenate([self.losses, losses])
-        order = np.argsort(new)
-        at = np.searchsorted(self.hashes, new[order])
-        self.hashes, self.slot = np.insert(self.hashes, at, new[order]), np.insert(self.slot, at, first + order)
+            parts.append((np.array([i]), ids, np.array([len(ids)]), np.array([score]), np.array([loss], float)))
+        place, ids, sizes, scores, losses = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        order = np.argsort(place)
+        begin, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        ends = np.cumsum(sizes)
+        return ids[np.repeat(begin - ends + sizes, sizes) + np.arange(int(ends[-1]))], sizes, scores[order], losses[order]
 
     def encode_all(self, column: pa.Array, n: int) -> list[tuple[np.ndarray, int, list]]:
         """encode() for a column of texts: units are found, looked up and joined for all of them at once."""
@@ -188,24 +210,8 @@ class Pieces:
         opens[rows[:-1][np.diff(rows) > 0]] = True
         start = np.flatnonzero(opens)
         size = np.diff(np.append(start, len(data)))
-        sums = prefix_hash(data)
-        keys = span_hash(sums, start, start + size)
-        known, which, back = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, known)
-        new = np.ones(len(known), bool)
-        inside = at < len(self.hashes)
-        new[inside] = self.hashes[at[inside]] != known[inside]
-        if new.any():
-            if len(self.scores) + int(new.sum()) > REMEMBERED or len(self.ids) > REMEMBERED_PIECES:
-                self._forget()
-                new[:] = True
-            self._learn(known[new], data, sums, start[which[new]], size[which[new]])
-            at = np.searchsorted(self.hashes, known)
-        slot = self.slot[at][back]
-        begin, many = self.begin[slot], self.begin[slot + 1] - self.begin[slot]
-        ends = np.concatenate([[0], np.cumsum(many)])
-        ids = self.ids[np.repeat(begin - ends[:-1], many) + np.arange(ends[-1])]
-        scores, losses = self.scores[slot], self.losses[slot]
+        ids, ends, scores, losses = self.memory.best(*distinct(data, np.append(start, len(data))))
+        ids, ends = ids.astype(self.kind), np.concatenate([[0], ends])
         first = np.searchsorted(start, rows)
         out = []
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ALPHANUMERIC, Words, mix, slices, span_hash
+from .arrays import ALPHANUMERIC, Words, mix, rough_hash, slices
 from .shared import cut, packed, texts, unpacked
 
 #: Labelled rows that a model is trained on, at most (the smallest by hash of the id).
@@ -29,7 +29,7 @@ PREFIXES = (4, 5, 6, 7, 8)
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of every distinct term of every row of a slice."""
-    words = Words(column, ALPHANUMERIC)
+    words = Words(column, ALPHANUMERIC, rough=True)
     size = words.end - words.start
     row = np.repeat(np.arange(len(column)), words.count())
     rows, hashes = [row], [words.hash]
@@ -37,7 +37,7 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         long = size > n
         start = words.start[long]
         rows.append(row[long])
-        hashes.append(span_hash(words.sums, start, start + n) ^ np.uint64(n))
+        hashes.append(rough_hash(words.sums, start, start + n) ^ np.uint64(n))
     row, bucket = np.concatenate(rows), (np.concatenate(hashes) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     key, seen = np.unique((row << BUCKET_BITS) | bucket, return_counts=True)
     row, bucket = key >> BUCKET_BITS, key & ((1 << BUCKET_BITS) - 1)
@@ -123,14 +123,17 @@ def _chosen_slots(batches, slot: np.ndarray):
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Machine:
-    """Train on at most so many labelled ids (doc_id, toxic 0/1); rows of unknown label or id are left out.
+    """Train on at most so many labelled rows (doc_id, toxic 0/1); rows of unknown label or id are left out.
 
-    An id that is labelled both ways counts as toxic. Documents that share a labelled id are all learned from,
-    repeated ones as often as they stand there; a null text is empty.
+    An id that is labelled both ways counts as toxic. Of the documents with one of the labelled ids of smallest hash, the
+    different (id, text) of smallest hash are learned from, each once, so neither an id that very many
+    documents share nor a row that is repeated brings more to the driver; a null text is empty.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, hence broadcast
-    training = cut(texts(documents, "doc_id").join(F.broadcast(sample), "doc_id").select("toxic", "text"))
+    labelled = texts(documents, "doc_id").join(F.broadcast(sample), "doc_id").select(F.sha2(F.concat_ws(" ", "doc_id", "text"), 256).alias("mark"), "toxic", "text")
+    marks = cut(labelled.select("mark").distinct().orderBy("mark").limit(rows))
+    training = cut(labelled.join(F.broadcast(marks), "mark").groupBy("mark").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text"))
     counts = training.mapInArrow(_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = training.groupBy("toxic").count().collect()
     n = {r["toxic"]: r["count"] for r in sizes}

@@ -114,6 +114,11 @@ class Memory:
 
     def look_up(self, units: list[bytes], which: np.ndarray) -> list[Flat]:
         """For each encoder, the ids of the units which[0], which[1], ... in one array, and where each one's end; units are distinct."""
+        slots = self.find(units)
+        return [lists.take(slots, which) for lists in self.held]
+
+    def find(self, units: list[bytes]) -> np.ndarray:
+        """The slots of distinct units, new ones encoded in their order."""
         if self.text.count + len(units) > self.most or self.text.used > REMEMBERED_BYTES:
             self._clear()
         keys, size = np.fromiter(map(hash, units), np.int64, len(units)), np.fromiter(map(len, units), np.int64, len(units))
@@ -128,7 +133,7 @@ class Memory:
             order = fresh[np.argsort(keys[fresh], kind="stable")]
             at = np.searchsorted(self.keys, keys[order])
             self.keys, self.slots = np.insert(self.keys, at, keys[order]), np.insert(self.slots, at, slots[order])
-        return [lists.take(slots, which) for lists in self.held]
+        return slots
 
 
 class _Lists:

@@ -555,5 +555,5 @@ def test_empty_tables(spark, operator, tmp_path):
 
 def test_queries_are_registered():
     names = list(queries.queries())
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert F is not None
