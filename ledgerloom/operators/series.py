@@ -105,7 +105,7 @@ def exact_quantiles(df: DataFrame, by: str, value: str, wanted: dict[str, float]
     along = Window.partitionBy(by).orderBy("_range")  # a row for each range of a group
     ranges = carried(ranged, [by], _rows=F.sum("_n")).withColumns({"_after": F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_rows").over(Window.partitionBy(by))})
     asked = F.explode(F.array(*(F.struct(F.lit(n).alias("_name"), F.lit(float(q)).alias("_q")) for n, q in wanted.items())))
-    groups = ranges.groupBy(by, "_all").agg().select(by, "_all", asked.alias("_a")).select(by, "_a.*", (F.col("_a._q") * (F.col("_all") - 1)).alias("_at"))
+    groups = ranges.select(by, "_all").distinct().select(by, "_all", asked.alias("_a")).select(by, "_a.*", (F.col("_a._q") * (F.col("_all") - 1)).alias("_at"))
     low = F.floor("_at")
     ends = F.array(F.struct(low.alias("_rank"), (low + 1 - F.col("_at")).alias("_weight")), F.struct(F.ceil("_at").alias("_rank"), (F.col("_at") - low).alias("_weight")))
     ranks = groups.select(by, "_name", F.inline(ends)).where(F.col("_weight") > 0)
