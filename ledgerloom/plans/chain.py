@@ -521,7 +521,7 @@ def T08_rolled_back_days(spark, d):
     branch = t.where(at > tip - 8).withColumns({"moved": F.col("moved") + 1, "day": F.date_add("day", 1)})
     daily = lambda rows: rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("party").alias("parties"), F.sum("moved").alias("moved"))
     folder = streams.feed([t.where(at <= tip // 2), t.where(at > tip // 2), branch], io.work_folder(spark), lambda source, out, checkpoint: streams.stream_days(source, daily, out, checkpoint, "block", "day"))
-    return streams.read_days(spark, folder).select("day", "n", "parties", "moved")
+    return streams.read_days(spark, folder, "day date, n long, parties long, moved long")
 
 
 @query("""WITH m AS (SELECT max(block) AS tip FROM txs), a AS (SELECT DISTINCT party FROM txs, m WHERE block < tip * 3 // 10), b AS (SELECT DISTINCT party FROM txs, m WHERE block >= tip * 6 // 10 AND kind = 'view'), c AS (SELECT DISTINCT party FROM txs, m WHERE kind = 'purchase' AND block >= tip * 9 // 10)

@@ -80,7 +80,7 @@ def stream_days(source: DataFrame, daily: Callable[[DataFrame], DataFrame], path
             before = _counted_rows(spark, path, df, number, block)
             gone = before.where(F.col(block) > fork) if fork is not None else before.limit(0)
             touched = [r[0] for r in df.select(day).union(gone.select(day)).distinct().collect()]  # days of a micro-batch
-            if touched:
+            if touched or not number:  # the first batch makes the table, with or without days
                 kept = (before if fork is None else before.where(F.col(block) <= fork)).where(F.col(day).isin(touched))
                 made = daily(kept.unionByName(df)).withColumn("_gone", F.lit(False))
                 left = spark.createDataFrame([(x,) for x in touched], f"{day} {df.schema[day].dataType.simpleString()}")
@@ -109,9 +109,10 @@ def _counted_rows(spark: SparkSession, path: str, like: DataFrame, number: int,
     return kept.where(F.col("_limit").isNull() | (F.col(block) <= F.col("_limit"))).select(*like.columns)
 
 
-def read_days(spark: SparkSession, path: str) -> DataFrame:
-    """The daily table that stream_days() keeps. Between a batch's last write and its marker it is that batch ahead."""
-    return spark.read.parquet(f"{path}/daily").where(~F.col("_gone")).drop("_gone")
+def read_days(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The daily table that stream_days() keeps, with the schema stated where it may have no days. Between a batch's last write and its marker it is that batch ahead."""
+    reader = spark.read.schema(f"{schema}, _gone boolean") if schema else spark.read
+    return reader.parquet(f"{path}/daily").where(~F.col("_gone")).drop("_gone")
 
 
 def reachable(tip: int, fork: int) -> None:

@@ -8,7 +8,7 @@ import pytest
 from ledgerloom import plans
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = "S01_read_ledger S06_write_events S07_write_snapshot S08_write_sealed S09_export_history J14_pool_stage L02_ranked_page T05_stream_rolling T07_detect_switch T08_rollback T09_canonical T11_incremental T14_push_feed W07_rank W08_rolling_window A39_savings_stats A46_concentration P22_pool_of X03_run_checks".split()
+NAMES = "S01_read_ledger S06_write_events S07_write_snapshot S08_write_sealed S09_export_history J14_pool_stage L02_ranked_page S10_latency_summary J15_match_transfers A20_activity_stats A43_savings_daily T04_running_state T05_stream_rolling T07_detect_switch T08_rollback T08_rolled_back_days T09_canonical T11_incremental T13_proposal_fates T14_push_feed T14_ordered_feed W07_rank W08_rolling_window A39_savings_stats A46_concentration P22_pool_of X03_run_checks".split()
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
