@@ -103,3 +103,21 @@ def test_udfs(spark):
     assert bytes(one(spark, x=blake2b(F.lit(b"abc"), b"p")).x) == hashlib.blake2b(b"abc", digest_size=32, person=b"p").digest()
     df = spark.createDataFrame([("a", 1, 3), ("a", 1, 3), ("a", 1, 6), ("b", 5, 1)], "k string, fee long, size long")
     assert {r.k: r["mean"] for r in rational_mean(df, "k", "fee", "size").collect()} == {"a": 277, "b": 5000}
+
+
+def test_rational_means_of_many_groups_are_added_up_in_one_pass(spark):
+    from fractions import Fraction
+
+    rows = [(None if g == 70 else g, g * 7919 % 211 + k, (g + k) % 9 + 1) for g in range(300) for k in range(6)] + [(5, -40, 7)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups lie across batches
+    try:
+        found = rational_mean(spark.createDataFrame(rows, "k long, fee long, size int"), "k", "fee", "size")
+        got = {r["k"]: r["mean"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    shares = {}
+    for k, fee, n in rows:
+        shares.setdefault(k, []).append(Fraction(fee, n) * 1000)
+    assert got == {k: (sum(x) / len(x)).__floor__() for k, x in shares.items()}
+    assert "InPandas" not in found._jdf.queryExecution().toString()  # no call for each group
