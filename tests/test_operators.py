@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -307,3 +308,12 @@ def test_fee_stats_leave_out_the_cellbase(spark):
     got = {r["b"]: r for r in ledger.block_fee_stats(spark.createDataFrame(rows, "b long, fee long, size long, base boolean"), "b", "fee", "size", "base").collect()}
     assert (got[1]["txs"], got[1]["size"], tuple(got[1]["least"]), tuple(got[1]["most"]), got[1]["mean"]) == (4, 18, (10, 3), (31, 7), (30 * 3 + 31 * 3 + 10 * 7) * 1000 // 63)
     assert (got[2]["txs"], got[2]["least"], got[2]["mean"]) == (1, None, None)
+
+
+def test_block_fee_stats_call_nothing_for_each_block(spark):
+    txs = spark.createDataFrame([(b, t, b * 13 % 7 + t, t % 5 + 1, t == 0) for b in range(50) for t in range(6)], "block long, tx long, fee long, size long, cellbase boolean")
+    found = ledger.block_fee_stats(txs, "block", "fee", "size", "cellbase")
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+    got = {r["block"]: (r["txs"], r["size"], r["mean"]) for r in found.collect()}
+    rates = {b: [Fraction((b * 13 % 7 + t) * 1000, t % 5 + 1) for t in range(1, 6)] for b in range(50)}
+    assert got == {b: (6, 16, (sum(x) / 5).__floor__()) for b, x in rates.items()}
