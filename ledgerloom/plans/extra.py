@@ -300,10 +300,7 @@ def T14_push_feed(spark, d):
 @query(FEED + " SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY block, step, value) AS place, topic, value FROM feed", "txs")
 def T14_ordered_feed(spark, d):
     """All five topics in the order in which each batch pushes them: a switch comes before the blocks that replace others."""
-    written = spark.read.parquet(f"{pushed(spark, d)}/feed")
-    # a batch's files follow each other, and so do the rows of each: the order is that of the rows as they were written
-    at = F.struct(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row"))
-    return written.select("batch", "topic", "value", at.alias("at")).select(F.col("batch").cast("int").alias("batch"), F.row_number().over(Window.partitionBy("batch").orderBy("at")).alias("place"), "topic", "value")
+    return streams.read_places(spark, f"{pushed(spark, d)}/feed").select(F.col("batch").cast("int").alias("batch"), "place", "topic", "value")
 
 
 @query("SELECT DISTINCT tx, 'small' AS action, 'tokens' AS protocol FROM legs WHERE token < 10 UNION ALL SELECT tx, 'many', 'lines' FROM legs GROUP BY tx HAVING count(*) > 5", "legs")

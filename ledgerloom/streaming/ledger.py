@@ -126,6 +126,19 @@ def read_committed(spark: SparkSession, path: str, name: str, block: str | None
     return (rows.where(F.col("_limit").isNull() | (F.col(block) <= F.col("_limit"))) if block else rows).drop("batch", "_limit")
 
 
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table of batches with their place, from 1, in the order in which each batch wrote them.
+
+    A batch's files follow each other, and so do the rows of each. So a place is that in the file and the counts of the few files
+    before it; no row is put in order again.
+    """
+    written = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = written.groupBy("batch", "_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("batch").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
+    starts = files.select("batch", "_file", F.coalesce(before, F.lit(0)).alias("_before"))
+    return written.join(F.broadcast(starts), ["batch", "_file"]).withColumn("place", F.col("_before") + F.col("_row") + 1).drop("_file", "_row", "_before")
+
+
 def switches(spark: SparkSession, path: str) -> DataFrame:
     """(batch, fork, tip) of the switches that a stream has seen."""
     return _marks(spark, path).where(F.col("fork").isNotNull())

@@ -162,3 +162,13 @@ def test_a_switch_is_pushed_before_the_blocks_that_replace_others(spark, tmp_pat
     out = ledger.run_parts(parts, derive, str(tmp_path), "block", tell_switch=True)
     rows = [(r["topic"], r["value"]) for r in spark.read.parquet(f"{out}/feed/batch=1").collect()]
     assert rows == [("switch", '{"fork":1,"tip":3}'), ("block", '{"number":2,"amount":1}'), ("block", '{"number":3,"amount":1}'), ("status", '{"tip":3}')]
+
+
+def test_places_in_a_feed_come_from_its_files(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 7).withColumn("k", F.col("id") * 7 % 1000)
+    for number in (0, 1):
+        rows.repartitionByRange(5, "k").sortWithinPartitions("k").write.option("maxRecordsPerFile", 60).parquet(f"{tmp_path}/feed/batch={number}")
+    found = ledger.read_places(spark, f"{tmp_path}/feed")
+    assert sorted((r["batch"], r["place"], r["k"]) for r in found.collect()) == [(b, k + 1, k) for b in (0, 1) for k in range(1000)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()  # the one window is over the counts of files
+    assert plan.count("Window [") == 1 and plan.index("Window [") < plan.rindex("Aggregate [batch")
