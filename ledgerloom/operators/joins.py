@@ -114,6 +114,8 @@ def pool_stage(pool: DataFrame, proposals: DataFrame, tip: int, key: str, propos
 
 #: Legs of one (tx, token) from which on its parties are matched range by range.
 LARGE = 1_000_000
+#: Legs that a task matches on average: its sorts and aggregates hold some 550 bytes a leg at once, so tasks grow in number.
+TASK_LEGS = 100_000
 
 
 def match_transfers(legs: DataFrame, tx: str, token: str, party: str, delta: str, path: str, large: int = LARGE) -> DataFrame:
@@ -122,17 +124,18 @@ def match_transfers(legs: DataFrame, tx: str, token: str, party: str, delta: str
     The greedy pairing equals the overlap of both sides' cumulative intervals. The starts of all intervals, put in one
     order, cut the line into stretches that have one sender and one receiver each, carried forward from the last start
     of their side; so the work is linear in the parties of a (tx, token). Rows: tx, token, sender, receiver, amount;
-    sender null is a mint, receiver null a burn. Legs are dealt by (tx, token) once, for all steps; a (tx, token) of more than
+    sender null is a mint, receiver null a burn. Legs are dealt by (tx, token) once, for all steps, to tasks of about TASK_LEGS legs; a (tx, token) of more than
     `large` legs, such as an airdrop, lies in ranges of parties and then of places instead, written below path, and
     sums and last starts are carried from range to range.
     """
     keys = [tx, token]
-    crowded = legs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_legs")).where(F.col("_legs") > large).select(*keys)
     few = legs.select(*keys, party, delta)
+    tasks = few.count() // TASK_LEGS + 1
+    crowded = few.repartition(tasks, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_legs")).where(F.col("_legs") > large).select(*keys)
     if crowded.isEmpty():
-        return _matched(few.repartition(*keys), keys, party, delta)
+        return _matched(few.repartition(tasks, *keys), keys, party, delta)
     wide = _wide_points(few.join(crowded, keys, "left_semi"), keys, party, delta, path)
-    return _matched(few.join(crowded, keys, "left_anti").repartition(*keys), keys, party, delta).unionByName(_cut_ranges(wide, keys, f"{path}/points"))
+    return _matched(few.join(crowded, keys, "left_anti").repartition(tasks, *keys), keys, party, delta).unionByName(_cut_ranges(wide, keys, f"{path}/points"))
 
 
 def _net(legs: DataFrame, keys: list[str], party: str, delta: str) -> DataFrame:

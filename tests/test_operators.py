@@ -317,3 +317,12 @@ def test_block_fee_stats_call_nothing_for_each_block(spark):
     got = {r["block"]: (r["txs"], r["size"], r["mean"]) for r in found.collect()}
     rates = {b: [Fraction((b * 13 % 7 + t) * 1000, t % 5 + 1) for t in range(1, 6)] for b in range(50)}
     assert got == {b: (6, 16, (sum(x) / 5).__floor__()) for b, x in rates.items()}
+
+
+def test_tasks_that_match_transfers_grow_in_number_with_the_legs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_LEGS", 500)
+    legs = spark.range(4000).select(F.floor(F.col("id") / 2).alias("tx"), (F.floor(F.col("id") / 2) % 3).alias("token"), (F.col("id") % 2).alias("party"), (F.col("id") % 2 * 2 - 1).alias("delta"))
+    found = joins.match_transfers(legs, "tx", "token", "party", "delta", str(tmp_path))
+    tasks = [r[1] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 4 and max(tasks) < 500 and sum(tasks) == 2000
+    assert found.where("sender = 0 AND receiver = 1 AND amount = 1").count() == 2000
