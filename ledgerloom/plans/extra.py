@@ -245,21 +245,24 @@ def T10_switch_events(spark, d):
 
 @query(f"WITH {c.ACTED} SELECT 'savings' AS instance, CAST(party AS VARCHAR) AS entity, count(*) AS n FROM deposits WHERE request_day IS NULL GROUP BY party UNION ALL SELECT 'activity', token || '/' || action, count(*) FROM acted GROUP BY token, action UNION ALL SELECT 'items', party || '/' || item, count(*) FROM legs GROUP BY party, item", "legs", "deposits")
 def T12_incremental_instances(spark, d):
-    """Each instance is rebuilt up to a block, taken on to the tip, taken back eight blocks and on again; verify() finds nothing."""
+    """Each instance is rebuilt up to a block, taken on to the tip, taken back eight blocks and on again; verify() finds nothing.
+
+    Every state is written once, since the next one, its tip and the check all read it; so are the deposits and actions, which are joined and grouped.
+    """
     one = F.lit(1).cast("bigint").alias("n")
     make = lambda name, entity, block: streams.IncrementalAgg(name, lambda t: t.select(entity.alias("entity"), block.cast("bigint").alias("block"), one), ["entity"], ["n"])
     parts = [
-        (make("savings", F.col("party").cast("string"), F.col("outpoint")), v.deposits(spark, d).where("request_day IS NULL"), "outpoint"),
-        (make("activity", F.concat_ws("/", "token", "action"), F.col("tx")), c.acted(spark, d), "tx"),
+        (make("savings", F.col("party").cast("string"), F.col("outpoint")), io.written(v.deposits(spark, d).where("request_day IS NULL").select("party", "outpoint")), "outpoint"),
+        (make("activity", F.concat_ws("/", "token", "action"), F.col("tx")), io.written(c.acted(spark, d).select("token", "action", "tx")), "tx"),
         (make("items", F.concat_ws("/", "party", "item"), F.col("tx")), v.legs(spark, d), "tx"),
     ]
     tip = v.outputs(spark, d).agg(F.max("outpoint")).first()[0] or 0
     done = []
     for agg, rows, block in parts:
-        at = F.col(block)
-        state = agg.apply(agg.rebuild(rows.where(at <= tip - 20)), rows.where(at > tip - 20))
+        at, last = F.col(block), rows.agg(F.max(block)).first()[0]
+        state = io.written(agg.apply(agg.rebuild(rows.where(at <= tip - 20)), rows.where(at > tip - 20), last))
         fork = min(tip - 8, state.agg(F.max("block")).first()[0] or 0)
-        state = agg.apply(agg.roll_back(state, fork), rows.where(at > fork))
+        state = io.written(agg.apply(agg.roll_back(state, fork), rows.where(at > fork), last))
         wrong = agg.verify(state, rows).select(F.lit(agg.name).alias("instance"), F.concat(F.lit("wrong: "), "key").alias("entity"), F.lit(-1).cast("bigint").alias("n"))
         done.append(agg.current(state).select(F.lit(agg.name).alias("instance"), "entity", "n").union(wrong))
     return done[0].union(done[1]).union(done[2])

@@ -122,6 +122,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table written once, for what is read several times."""
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stream_table(spark: SparkSession, folder: str, name: str, schema: T.StructType, files: int = 1) -> DataFrame:
     """A given table as a file stream."""
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files).parquet(folder)

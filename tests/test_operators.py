@@ -326,3 +326,14 @@ def test_tasks_that_match_transfers_grow_in_number_with_the_legs(spark, tmp_path
     tasks = [r[1] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert len(tasks) > 4 and max(tasks) < 500 and sum(tasks) == 2000
     assert found.where("sender = 0 AND receiver = 1 AND amount = 1").count() == 2000
+
+
+def test_a_known_tip_and_a_check_sum_each_table_once(spark):
+    agg = streams.IncrementalAgg("sums", lambda t: t.select("k", "block", "v"), ["k"], ["v"])
+    old, new = (spark.createDataFrame([(k % 3, b, b * k) for b in blocks for k in range(4)], "k long, block long, v long") for blocks in (range(60), range(60, 70)))
+    state = agg.apply(agg.rebuild(old), new, 69)
+    assert rows(state) == rows(agg.apply(agg.rebuild(old), new))
+    sums = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [")
+    assert sums(state) == 2  # the rebuild, and the fold of both
+    checked = agg.verify(spark.createDataFrame(state.collect(), state.schema), old.union(new))
+    assert sums(checked) == 2 and checked.count() == 0  # sums by key of rows and state, none by block
