@@ -300,45 +300,54 @@ def pending_proposals(proposals: DataFrame, committed: DataFrame, tip: int, key:
     return proposals.where(F.col(proposed) + farthest >= tip).join(committed.select(key), key, "left_anti")
 
 
-def proposal_fates(stream: DataFrame, key: str, block: str, commits: str, near: int, farthest: int, late: int = 1) -> DataFrame:
+def proposal_fates(stream: DataFrame, key: str, block: str, commits: str, near: int, farthest: int, late: int = 1, buckets: int = 4096) -> DataFrame:
     """What becomes of proposals, told by the stream itself (T13): rows (key, proposed, fate, block).
 
     The stream has a row for each proposal and, with commits true, for each commitment; blocks come in order and without
     switches, so it belongs behind the blocks that a switch can reach. A proposal is "proposed" when it comes,
     "committed" by the first commitment `near` to `farthest` blocks after it, and "expired" by a timer as soon as the blocks are more
     than `late` past its window, with rows of its key or without. Block numbers are the event time, a second each from late + 1 on, and `late` is the
-    watermark's delay: a block may be dealt over so many batches. The state of a key is its open proposals.
+    watermark's delay: a block may be dealt over so many batches. Keys are dealt to buckets by hash, and the state of a bucket is its
+    open proposals: a call and a timer serve all keys of a bucket, so their number doesn't grow with the keys.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     kind, first = stream.schema[key].dataType.simpleString(), late + 1  # the second of block 0: times at the first watermark, 0, would be late
 
-    def step(keys, parts, state):
-        """The rows of one key in order, or its timer."""
-        open_ = list(state.get[0]) if state.exists else []
-        told = []
+    def step(_, parts, state):
+        """The rows of one bucket in order, or its timer."""
+        open_, told = {}, []
+        for k, p in zip(*state.get, strict=True) if state.exists else ():
+            open_.setdefault(k, []).append(p)
         if not state.hasTimedOut:
-            rows = pd.concat(list(parts))
-            for at, done in sorted(set(zip(rows["at"].tolist(), rows["done"].tolist(), strict=True)), key=lambda r: (r[0], not r[1])):
-                if not done and at not in open_:
-                    open_.append(at)
-                    told.append((at, "proposed", at))
-                elif done:
-                    told += [(p, "committed", at) for p in open_ if p + near <= at <= p + farthest]
-                    open_ = [p for p in open_ if not p + near <= at <= p + farthest]
+            rows = set()
+            for part in parts:
+                keys = part["key"].astype(object).where(part["key"].notna(), None)
+                rows.update(zip(keys.tolist(), part["at"].tolist(), part["done"].tolist(), strict=True))
+            for k, at, done in sorted(rows, key=lambda r: (r[1], not r[2])):
+                mine = open_.get(k, [])
+                if not done and at not in mine:
+                    open_[k] = [*mine, at]
+                    told.append((k, at, "proposed", at))
+                elif done and mine:
+                    told += [(k, p, "committed", at) for p in mine if p + near <= at <= p + farthest]
+                    open_[k] = [p for p in mine if not p + near <= at <= p + farthest]
         now = state.getCurrentWatermarkMs() - first * 1000
-        told += [(p, "expired", p + farthest) for p in open_ if (p + farthest) * 1000 < now]
-        open_ = [p for p in open_ if (p + farthest) * 1000 >= now]
-        if open_:
-            state.update((open_,))
-            state.setTimeoutTimestamp(max((min(open_) + farthest) * 1000, now) + first * 1000 + 1)
+        told += [(k, p, "expired", p + farthest) for k, mine in open_.items() for p in mine if (p + farthest) * 1000 < now]
+        left = [(k, p) for k, mine in open_.items() for p in mine if (p + farthest) * 1000 >= now]
+        if left:
+            state.update(([k for k, _ in left], [p for _, p in left]))
+            state.setTimeoutTimestamp(max((min(p for _, p in left) + farthest) * 1000, now) + first * 1000 + 1)
         else:
             state.remove()
-        yield pd.DataFrame({key: [keys[0]] * len(told), "proposed": [p for p, *_ in told], "fate": [f for _, f, _ in told], "block": [b for *_, b in told]})
+        yield pd.DataFrame({"key": [k for k, *_ in told], "proposed": [p for _, p, *_ in told], "fate": [f for *_, f, _ in told], "block": [b for *_, b in told]})
 
-    rows = stream.select(key, F.col(block).cast("long").alias("at"), F.col(commits).alias("done"), F.timestamp_seconds(F.col(block) + first).alias("_time")).withWatermark("_time", f"{late} seconds")
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, proposed long, fate string, block long", "open array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    # keys pass as text: pandas would make floats of integers beside a null
+    text, back = (F.hex(key), F.unhex("key")) if kind == "binary" else (F.col(key).cast("string"), F.col("key").cast(kind))
+    rows = stream.select(F.pmod(F.xxhash64(text), F.lit(buckets)).alias("bucket"), text.alias("key"), F.col(block).cast("long").alias("at"), F.col(commits).alias("done"), F.timestamp_seconds(F.col(block) + first).alias("_time")).withWatermark("_time", f"{late} seconds")
+    told = rows.groupBy("bucket").applyInPandasWithState(step, "key string, proposed long, fate string, block long", "keys array<string>, open array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.select(back.alias(key), "proposed", "fate", "block")
 
 
 def push_feed(feeds: dict[str, DataFrame]) -> DataFrame:

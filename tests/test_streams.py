@@ -172,3 +172,16 @@ def test_places_in_a_feed_come_from_its_files(spark, tmp_path):
     assert sorted((r["batch"], r["place"], r["k"]) for r in found.collect()) == [(b, k + 1, k) for b in (0, 1) for k in range(1000)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()  # the one window is over the counts of files
     assert plan.count("Window [") == 1 and plan.index("Window [") < plan.rindex("Aggregate [batch")
+
+
+def test_state_and_calls_of_proposals_do_not_grow_with_their_keys(spark, tmp_path):
+    rows = [(2**62 + k, k % 5, False) for k in range(200)] + [(2**62 + k, k % 5 + 3, True) for k in range(0, 200, 2)] + [(None, 1, False), (None, 40, True)]
+    spark.createDataFrame(rows, "key long, block long, done boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("key long, block long, done boolean").parquet(f"{tmp_path}/in")
+    fates = ledger.proposal_fates(source, "key", "block", "done", 2, 6, buckets=4)
+    stream = fates.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in stream.recentProgress) <= 4
+    got = sorted((str(r["key"]), r["proposed"], r["fate"], r["block"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    want = [(str(2**62 + k), k % 5, *end) for k in range(200) for end in (("proposed", k % 5), ("committed", k % 5 + 3) if k % 2 == 0 else ("expired", k % 5 + 6))]
+    assert got == sorted([*want, ("None", 1, "proposed", 1), ("None", 1, "expired", 7)])
