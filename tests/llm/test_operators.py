@@ -535,6 +535,29 @@ def test_repeated_bytes_with_shared_and_missing_ids(spark):
     assert repeats.remove_repeats(docs_of(spark, [(1, text)]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [1000, 1])
+def test_rows_of_one_id_take_nothing_from_one_another(spark, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    base = corpus(seed=5)
+    rows = [(i if i is None else i % 7, t) for i, t in base] + [(3, t) for _, t in base[:20]] + [(None, t[30:] + t) for _, t in base[:8]] + [(k % 2, "y" * 300) for k in range(4)]
+    length, before = 100, lambda i: -1 if i is None else i  # rows without id come first
+    least, want = {}, Counter()
+    strings = [[data[p : p + length] for p in range(len(data) - length + 1)] for data in ((t or "").encode() for _, t in rows)]
+    for (i, _), listed in zip(rows, strings, strict=True):
+        for x in listed:
+            least[x] = min(before(i), least.get(x, before(i)))
+    for (i, t), listed in zip(rows, strings, strict=True):
+        data, seen = (t or "").encode(), set()
+        gone = bytearray(len(data))
+        for p, x in enumerate(listed):
+            if x in seen or least[x] < before(i):
+                gone[p : p + length] = b"\1" * length
+            seen.add(x)
+        spans = sum(1 for k in range(len(gone)) if gone[k] and (not k or not gone[k - 1]))
+        want[i, len(data), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(data, gone, strict=True) if not g)).hexdigest()] += 1
+    assert Counter(tuple(r) for r in repeats.remove_repeats(docs_of(spark, rows)).collect()) == want
+
+
 @pytest.mark.parametrize("operator", ["near", "tokens", "licenses", "secrets", "contamination", "pieces"])
 def test_empty_tables(spark, operator, tmp_path):
     empty = docs_of(spark, [(1, "x")]).limit(0)
